@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, ngram_join, packing, pii, quality
+from . import chat, embeddings, licenses, lm, mixing, ngram_join, packing, pii, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,20 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+#: A conversation that says the template's control strings; it comes as a record of another layout.
+CONTROL_RECORD = '{"id": -7, "messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
+    more = spark.range(1).select(F.lit(CONTROL_RECORD).alias("record"))
+    return chat.digest(chat.format_turns(turns.unionByName(chat.canonical_turns(more))))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -46,9 +64,24 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents"), kinds="kinds")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_ngram_jaccard_join, op4_source_mixing, op5_lm_scoring, op8_quality_rules, op9_pii_pseudonyms)
+    for f in (
+        op1_best_fit_packing,
+        op2_license_scan,
+        op3_ngram_jaccard_join,
+        op4_source_mixing,
+        op5_lm_scoring,
+        op6_chat_formatting,
+        op7_embedding_near_dedup,
+        op8_quality_rules,
+        op9_pii_pseudonyms,
+        op10_url_filter,
+    )
 }
 
 _W = r"'[^\x20\x09-\x0D]+'"
@@ -79,4 +112,21 @@ r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON
 SELECT w.doc_id, coalesce(c.class_id, w.doc_id) AS class_id, coalesce(c.n_copies, 1)::BIGINT AS n_copies,
   (SELECT count(*) FROM l WHERE l.a = w.doc_id)::BIGINT AS n_links, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS component_id
 FROM w LEFT JOIN c USING (doc_id)""",
+    "op6_chat_formatting": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'prompter' THEN 'user' ELSE role END, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r)),
+e AS (SELECT *, regexp_replace(regexp_replace(replace(role, '\', '\\'), '(<)(s>|/s>|\|)|(\|)(>)|(\[)(INST\]|/INST\])', '\1\3\5\\\2\4\6', 'g'), '', '') AS er,
+  regexp_replace(replace(text, '\', '\\'), '(<)(s>|/s>|\|)|(\|)(>)|(\[)(INST\]|/INST\])', '\1\3\5\\\2\4\6', 'g') AS et FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(length(er) + length(et) + 10)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+    "op7_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id""",
 }
