@@ -148,8 +148,3 @@ def cusum_ends(r: DataFrame, z: DataFrame, slack: float = 1.0, least: int = 6, h
     t = t.withColumn("c", F.col("p") - low)
     top = t.groupBy("entity", "start").agg(F.max(F.struct("c", "idx")).alias("m"), F.max("idx").alias("last"))
     return top.select("entity", "start", F.least(F.greatest(F.col("m.idx") + 1, F.col("start") + least), F.col("last") + 1).alias("end"))
-
-
-def first_hit(flags: DataFrame, events: DataFrame) -> DataFrame:
-    """(event columns, first flagged row, delay): null where an event has none."""
-    return events.join(flags.where("flag").select("entity", "idx"), "entity", "left")
