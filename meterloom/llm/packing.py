@@ -175,6 +175,9 @@ class Plan:
         begin = np.searchsorted(t[:, 0], t[:, 0])
         return Plan(t[:, 0], before - before[begin] if len(t) else before, t[:, 2], t[:, 3], t[:, 4])
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.length, self.start, self.each, self.sequence, self.offset
+
     def place(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = self.length.astype(np.float64) * 2.0**40  # lengths are below 2**13, numbers below 2**40
         e = np.searchsorted(key.astype(np.int64) + self.start, (length << 40) + number, side="right") - 1
@@ -265,12 +268,13 @@ def pack(docs: DataFrame, tokenizer_path: str, most: int = MAX_LEN, grid: int =
     counts = np.zeros(most + 1, np.int64)
     for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``most`` rows
         counts[r["length"]] = r["n"]
-    plan = docs.sparkSession.sparkContext.broadcast(Plan.of(packed(counts, most, grid)))
+    # plain arrays: broadcasts are pickled by reference to classes, which workers may lack
+    plan = docs.sparkSession.sparkContext.broadcast(Plan.of(packed(counts, most, grid)).arrays())
     groups = int(max(16, min(4096, counts.max(initial=0) // 2000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seq, off = plan.value.place(batch.column("length").to_numpy(), batch.column("number").to_numpy())
+            seq, off = Plan(*plan.value).place(batch.column("length").to_numpy(), batch.column("number").to_numpy())
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
