@@ -1,8 +1,8 @@
 """Generic detectors in numpy, fitted on a bounded sample and scored on the executors.
 
 A detector has ``fit(x)`` and ``score(x)`` (higher: more unusual). Fitting draws at most ``most`` training
-rows by hash over all entities, the same rows in every run; the fitted detector, of bounded size, is
-sent to the tasks that score. Other estimators plug in the same way."""
+rows by hash over all entities, the same rows in every run; the fitted detector, of bounded size, goes
+to the tasks with their function. Other estimators plug in the same way."""
 
 from __future__ import annotations
 
@@ -45,9 +45,9 @@ class IsolationForest:
             me = len(col)
             if parent >= 0:
                 (right if is_right else left)[parent] = me
-            lo, hi = x[at].min(0), x[at].max(0)
+            lo, hi = (x[at].min(0), x[at].max(0)) if len(at) > 1 else (x[0], x[0])
             open_ = np.nonzero(hi > lo)[0]
-            c = int(rng.choice(open_)) if depth < self.limit and len(at) > 1 and len(open_) else -1
+            c = int(rng.choice(open_)) if depth < self.limit and len(open_) else -1
             col.append(c)
             size.append(len(at))
             cut.append(rng.uniform(lo[c], hi[c]) if c >= 0 else 0.0)
@@ -166,14 +166,13 @@ def fit(train: DataFrame, detector, cols: list[str] = FEATURES, most: int = 50_0
 
 def score(df: DataFrame, detector, cols: list[str] = FEATURES, out: str = "s") -> DataFrame:
     """Adds the detector's score; rows with a missing feature get null."""
-    shared = df.sparkSession.sparkContext.broadcast(detector)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[cols].to_numpy(float)
             ok, s = ~np.isnan(x).any(axis=1), np.full(len(pdf), np.nan)
-            s[ok] = shared.value.score(x[ok])
+            s[ok] = detector.score(x[ok])
             yield pdf.assign(**{out: pd.Series(s, index=pdf.index).where(ok)})
 
     return df.mapInPandas(run, f"{schema}, `{out}` double").withColumn(out, F.when(~F.isnan(out), F.col(out)))

@@ -102,13 +102,13 @@ def towt_residual(df: DataFrame, train: Column, slot: str = "slot", x: str = "x"
 
 def excursions(df: DataFrame, ref: DataFrame, x: str = "r") -> DataFrame:
     """Per entity: shares of rows with |z| over 3 and 5 and the longest stretch over 3, z by the
-    reference's median and MAD (no epsilon)."""
+    reference's median and MAD (no epsilon; a MAD of 0 gives no excursions)."""
     from .windows import runs
 
     st = median_mad(ref, ["entity"], x)
-    z = df.join(st, "entity").withColumn("__z", F.abs((F.col(x) - F.col("med")) / F.col("mad"))).withColumn("flag", F.coalesce(F.col("__z") > 3, F.lit(False)))
+    z = df.join(st, "entity").withColumn("__z", F.abs(F.try_divide(F.col(x) - F.col("med"), F.col("mad")))).withColumn("flag", F.coalesce(F.col("__z") > 3, F.lit(False)))
     longest = runs(z).groupBy("entity").agg(F.max(F.col("end") - F.col("start")).alias("longest"))
-    share = z.groupBy("entity").agg(F.avg((F.col("__z") > 3).cast("double")).alias("over3"), F.avg((F.col("__z") > 5).cast("double")).alias("over5"))
+    share = z.groupBy("entity").agg(*[F.avg(F.coalesce(F.col("__z") > k, F.lit(False)).cast("double")).alias(f"over{k}") for k in (3, 5)])
     return share.join(longest, "entity", "left").withColumn("longest", F.coalesce("longest", F.lit(0)))
 
 

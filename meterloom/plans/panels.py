@@ -28,7 +28,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     without orders."""
     o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderdate", "o_totalprice")
     d = P.dense(P.resample(o, "o_orderpriority", "o_orderdate", "o_totalprice", "day", "sum", 2), "1 day")
-    d = d.withColumns({"x": F.coalesce(F.round(F.col("x") / 1000, 3), F.lit(0.0)), "slot": F.weekday("ts")})
+    d = d.withColumns({"x": F.coalesce(F.col("x") / 1000, F.lit(0.0)), "slot": F.weekday("ts")})
     return P.split(d)
 
 
@@ -47,7 +47,7 @@ def planted(d: DataFrame) -> DataFrame:
         "entity", F.col("k").alias("event_id"), start.alias("start"), (start + n).alias("end"),
         F.element_at(F.array(*map(F.lit, KINDS)), (F.col("k") % 3 + 1).cast("int")).alias("type"), (F.floor(F.col("k") / 2) + 1).cast("int").alias("severity"), "sd",
     )
-    return e.withColumn("true_kwh", F.round((F.col("end") - F.col("start")) * F.col("severity") * F.col("sd"), 3)).withColumn("add", F.col("severity") * F.col("sd")).drop("sd")
+    return e.withColumn("true_kwh", F.round((F.col("end") - F.col("start")) * F.col("severity") * F.col("sd"), 6)).withColumn("add", F.col("severity") * F.col("sd")).drop("sd")
 
 
 def injected(d: DataFrame, ev: DataFrame) -> DataFrame:
