@@ -3,7 +3,10 @@ by priority, split by time, with planted events whose increments are known."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
@@ -17,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        app = spark.sparkContext.applicationId
+        found = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="meterloom-")
+    return found.rstrip("/")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, idx, ts, x): hourly value sums by event type on a dense grid; null where nothing came."""
     e = table(spark, sf_dir, "events").select("event_type", "ts", "value")
@@ -59,3 +74,17 @@ def injected(d: DataFrame, ev: DataFrame) -> DataFrame:
 def test_span(d: DataFrame) -> DataFrame:
     """The test rows, with idx counted from the span's start."""
     return d.where("span = 'test'").drop("idx").withColumnRenamed("span_idx", "idx")
+
+
+def drained(spark: SparkSession, sf_dir: str, plan, mode: str, source: DataFrame | None = None) -> DataFrame:
+    """What a streaming plan gives once it has read all of the events files (or of ``source``, which is
+    written first): files in the folder that driver and executors share."""
+    base = f"{shared_dir(spark)}/meterloom/stream-{uuid.uuid4().hex}"
+    if source is None:
+        source = table(spark, sf_dir, "events")
+    source.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(source.schema).parquet(f"{base}/in")
+    out = plan(stream)
+    q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").format("parquet").trigger(availableNow=True).start(f"{base}/out")
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")

@@ -528,10 +528,12 @@ SELECT entity, n_events, tp_events, n_runs, tp_runs, round(precision, 6) AS prec
 @query
 def type_severity_recall(spark, sf_dir):
     _, ev, _, fl = scored(spark, sf_dir)
-    return E.recall_by(E.event_detail(fl, ev.drop("add")), "type", "severity", total=True).select("type", "severity", "n", *r6("recall", "delay"))
+    return E.recall_by(E.event_detail(fl, ev.drop("add")), "type", "severity", total=True).select(
+        F.coalesce("type", F.lit("all")).alias("type"), F.coalesce(F.col("severity").cast("string"), F.lit("all")).alias("severity"), "n", *r6("recall", "delay")
+    )
 
 
-SQL["type_severity_recall"] = f'WITH {_DET} SELECT type, severity::INT AS severity, count(*) AS n, round(avg((hit IS NOT NULL)::INT::DOUBLE), 6) AS recall, round(avg(hit - "start"), 6) AS delay FROM ed GROUP BY ROLLUP (type, severity)'
+SQL["type_severity_recall"] = f'WITH {_DET} SELECT coalesce(type, 'all') AS type, coalesce(severity::VARCHAR, 'all') AS severity, count(*) AS n, round(avg((hit IS NOT NULL)::INT::DOUBLE), 6) AS recall, round(avg(hit - "start"), 6) AS delay FROM ed GROUP BY ROLLUP (type, severity)'
 
 
 @query
@@ -877,3 +879,36 @@ def one_class_svm(spark, sf_dir):
 @query
 def dense_autoencoder(spark, sf_dir):
     return _detector(spark, sf_dir, M.Autoencoder((16, 8, 16), epochs=5))
+
+
+@query
+def stream_windows(spark, sf_dir):
+    """Event-time hourly windows over the events files as a stream, run until all is read."""
+    from ..streaming.online import windowed
+
+    return panels.drained(spark, sf_dir, lambda s: windowed(s, "ts", "event_type", "value", "1 hour"), "append").select(
+        F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 4).alias("total")
+    )
+
+
+# the watermark (latest event less an hour) keeps the last windows open
+SQL["stream_windows"] = """SELECT strftime(date_trunc('hour', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)::TIMESTAMP - INTERVAL 1 HOUR"""
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    from ..streaming.online import sessions
+
+    return panels.drained(spark, sf_dir, lambda s: sessions(s.where("user_id % 20 = 0"), "ts", "user_id", "30 minutes"), "append").select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+
+
+@query
+def stream_online_flags(spark, sf_dir):
+    """The online detector over the hourly panel as a stream, with the profile frozen on its first rows."""
+    from ..streaming.online import online_flags
+
+    h = P.split(P.interpolated(hourly(spark, sf_dir)).withColumn("slot", C.hour_slot(F.col("ts"))))
+    profile = S.median_mad(reference(h), ["entity", "slot"]).drop("n")
+    rows = h.where("span = 'test'").select("entity", "ts", "x")
+    return panels.drained(spark, sf_dir, lambda s: online_flags(s, profile, C.hour_slot, window=72), "append", rows)
