@@ -533,7 +533,7 @@ def type_severity_recall(spark, sf_dir):
     )
 
 
-SQL["type_severity_recall"] = f'WITH {_DET} SELECT coalesce(type, 'all') AS type, coalesce(severity::VARCHAR, 'all') AS severity, count(*) AS n, round(avg((hit IS NOT NULL)::INT::DOUBLE), 6) AS recall, round(avg(hit - "start"), 6) AS delay FROM ed GROUP BY ROLLUP (type, severity)'
+SQL["type_severity_recall"] = f"""WITH {_DET} SELECT coalesce(type, 'all') AS type, coalesce(severity::VARCHAR, 'all') AS severity, count(*) AS n, round(avg((hit IS NOT NULL)::INT::DOUBLE), 6) AS recall, round(avg(hit - "start"), 6) AS delay FROM ed GROUP BY ROLLUP (type, severity)"""
 
 
 @query
