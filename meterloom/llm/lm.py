@@ -38,7 +38,7 @@ from .shingles import mix as scramble
 ADD = 0.1
 GRID = (1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e7)
 #: A block ends once it has so many tokens (or at a partition's end); a bucket has about so many keys.
-BLOCK_TOKENS, BUCKET_KEYS = 3_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_KEYS = 1_000_000, 1_000_000
 END = b"\x00end"
 ROOT = -1
 
@@ -54,6 +54,12 @@ def _unsqueeze(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows, one at a time in Python: blocks are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
@@ -135,7 +141,7 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 b = Block(r["outs"], r["n_tokens"], r["words"], r["tokens"])
                 words, pairs = b.keys()
                 out = []
@@ -220,7 +226,7 @@ def fitted_prior(rows: DataFrame, total: int, distinct: int, buckets: int) -> fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(GRID))
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 b = Block(r["outs"], r["n_tokens"], r["words"], r["tokens"])
                 cw, cp = _counts(b, r["told"], buckets)
                 u, w, n = b.pairs >> 32, b.pairs & 0xFFFFFFFF, b.pair_counts
@@ -248,7 +254,7 @@ def score(docs: DataFrame, m: float | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 b = Block(r["outs"], r["n_tokens"], r["words"], r["tokens"])
                 cw, cp = _counts(b, r["told"], buckets)
                 auto = Automaton(cw, b.pairs, cp, train, distinct, m)
