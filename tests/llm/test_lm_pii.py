@@ -1,0 +1,146 @@
+import datetime as dt
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from meterloom.llm import lm, pii
+
+DOCS = "doc_id long, text string, source string"
+
+
+def corpus():
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(300):
+        x, t = rng.choice(words), []
+        for _ in range(rng.randint(0, 40)):
+            t.append(x)
+            x = words[(words.index(x) * 7 + rng.randint(0, 2)) % 60] if rng.random() < 0.8 else rng.choice(words)
+        docs.append((i, " ".join(w.upper() if rng.random() < 0.1 else w for w in t)))
+    docs += [(1000, None), (1001, ""), (1002, "É é"), (None, "w1 w2"), (5, docs[5][1]), (1003, "new words only")]
+    return docs
+
+
+def tokens(t):
+    return (t or "").encode().lower().split() + [None]
+
+
+def plain_scores(docs, m):
+    """The model by its definition, one token at a time."""
+    uni, bi = Counter(), Counter()
+    for i, t in docs:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            w = tokens(t)
+            uni.update(w)
+            bi.update(zip(w, w[1:]))
+    n, v = sum(uni.values()), len(uni)
+    p1 = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+    out = []
+    for _, t in docs:
+        w, base, score, state = tokens(t), 0.0, 0.0, None
+        for x in w:
+            base += math.log10(p1(x))
+            score += math.log10(p1(x) if state is None else (bi[state, x] + m * p1(x)) / (uni[state] + m))
+            state = x if uni[x] else None
+        out.append((len(w), sum(uni[x] > 0 for x in w), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("block,keys", [(1_000_000, 1_000_000), (200, 150)])
+def test_scores_equal_the_definition(spark, monkeypatch, block, keys):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lm, "BUCKET_KEYS", keys)
+    docs = corpus()
+    df = spark.createDataFrame([(i, t, "s") for i, t in docs], DOCS).repartition(3)
+    got = sorted((r for r in lm.score(df, m=20.0).collect()), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"]))
+    want = sorted(zip([d[0] for d in docs], plain_scores(docs, 20.0)), key=lambda x: (x[0] is None, x[0], x[1][0]))
+    assert len(got) == len(want)
+    for r, (i, w) in zip(got, want):
+        assert r["doc_id"] == i and (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3]
+        assert r["base_score"] == pytest.approx(w[3], rel=1e-9) and r["score"] == pytest.approx(w[4], rel=1e-9)
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 10 == 0)
+
+
+def test_the_model_beats_the_base_on_held_out_texts(spark):
+    df = spark.createDataFrame([(i, t, "s") for i, t in corpus()], DOCS)
+    s = lm.score(df).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert s[0] > s[1]
+
+
+def test_probabilities_sum_to_one():
+    import numpy as np
+
+    c, pairs, pc = np.array([5, 3, 2]), np.array([(0 << 32) | 1, (1 << 32) | 2]), np.array([4, 2])
+    a = lm.Automaton(c, pairs, pc, 10, 3, 7.0)
+    unknown = 0.1 / (10 + 0.1 * 4)
+    for state in (0, 1):
+        p, _ = a.step(np.full(3, state), np.arange(3))
+        total = (10.0**p).sum() + 7.0 / (c[state] + 7.0) * unknown
+        left = c[state] - pc[pairs >> 32 == state].sum()  # continuations that are not listed
+        assert total == pytest.approx(1 - left / (c[state] + 7.0))
+
+
+def test_lm_of_nothing(spark):
+    assert lm.score(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def replaced(spark, texts, **how):
+    df = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], DOCS + ", kinds string")
+    out = pii.replace_pii(df, **how)
+    assert out.columns[:4] == df.columns
+    return [r["text"] for r in out.orderBy("doc_id").collect()]
+
+
+def luhn(d):
+    d = [int(c) for c in reversed(d) if c.isdigit()]
+    return sum(d[::2] + [sum(divmod(2 * c, 10)) for c in d[1::2]]) % 10 == 0
+
+
+def test_formats_and_links(spark):
+    texts = [
+        "pay 4111 1111 1111 1111 now", "again 4111-1111-1111-1111!", "call +1 (017) 555-7713", "host 97.51.17.173.", "born 2001-02-28 or 28.02.2001", "a.34@mail7.example.com",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "ssn 078-05-1120", "9807915762804490$$$", "+44 20 7946 0958",
+    ]
+    out = replaced(spark, texts)
+    for a, b in zip(texts, out):
+        assert a != b
+    assert re.sub(r"\d", "9", out[0]) == re.sub(r"\d", "9", texts[0]) and luhn(out[0])
+    assert re.sub(r"\D", "", out[0]) == re.sub(r"\D", "", out[1])
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}", out[2])
+    assert all(int(x) < 256 for x in re.fullmatch(r"host (\d+)\.(\d+)\.(\d+)\.(\d+)\.", out[3]).groups())
+    m = re.fullmatch(r"born (\S+) or (\S+)", out[4])
+    assert dt.date.fromisoformat(m[1]) == dt.datetime.strptime(m[2], "%d.%m.%Y").date()
+    assert re.fullmatch(r"user\.[0-9a-f]{16}@[0-9a-f]{8}\.example", out[5])
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[6])
+    assert replaced(spark, texts) == out and replaced(spark, texts, key="other") != out
+
+
+def test_what_does_not_validate_stays(spark):
+    texts = ["256.1.1.1", "2023-02-30", "1.2.3.4.5", "3.14159265358979", "version 2.0.", "4111 1111 1111 1112 is no card of 15", "000-12-3456", "", None, "plain words", "year 2024", "a@b"]
+    out = replaced(spark, [t for t in texts if t is None or "card" not in t], cards="luhn")
+    assert out == [t for t in texts if t is None or "card" not in t]
+    assert replaced(spark, ["4111 1111 1111 1112"], cards="luhn") == ["4111 1111 1111 1112"]
+
+
+def test_permutations_are_one_to_one(spark):
+    n = 3000
+    ids = spark.range(n)
+    digits = ids.select(F.lpad(F.col("id").cast("string"), 5, "0").alias("d")).select(pii._permuted(F.col("d"), "k", "x").alias("p"))
+    assert digits.distinct().count() == n and digits.where("length(p) <> 5").isEmpty()
+    days = ids.select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d")).select(pii._shifted_day(F.col("d"), "k").alias("p"))
+    assert days.distinct().count() == n
+    ips = ids.select(F.concat(F.lit("10.0."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("d")).select(pii._ip(F.col("d"), "k").alias("p"))
+    assert ips.distinct().count() == n
+
+
+def test_long_texts_and_many_values(spark):
+    text = ("word " * 2000 + "91.2.3.4 ") * 20
+    out = replaced(spark, [text])[0]
+    assert "91.2.3.4" not in out and len(set(re.findall(r"\d+\.\d+\.\d+\.\d+", out))) == 1
+    assert re.sub(r"[\d.]+", "", out) == re.sub(r"[\d.]+", "", text)
