@@ -1,0 +1,162 @@
+import hashlib
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from meterloom.llm import chat, licenses, urls
+
+TURNS = "conv_id long, turn long, role string, text string"
+CONTROL = ["<s>", "</s>", "<|", "|>", "[INST]", "[/INST]"]
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def check(turns, out):
+    """turns: {conv: [(role, text)]}; out: rows of digest."""
+    got = {r["conv_id"]: r for r in out}
+    assert set(got) == set(turns)
+    for c, t in turns.items():
+        r, loss = got[c], "".join(x for role, x in t if role == "assistant")
+        assert r["n_turns"] == len(t)
+        assert r["turns_sha256"] == sha("".join(f"{a}\n{b}\n" for a, b in t))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
+
+
+def test_round_trip_of_hostile_texts(spark):
+    rng = random.Random(0)
+    bits = [*CONTROL, "\\", "\\\\", "$1", "\n", " ", "a", "é", "𝔘", "|", "<", ">", "[", "</s>\n", "<|user|>\n"]
+    turns = {c: [(rng.choice(["user", "assistant", "system", "tool", "<|x|>\n", ""]), "".join(rng.choices(bits, k=rng.randint(0, 12)))) for _ in range(rng.randint(1, 6))] for c in range(150)}
+    turns[500] = [("user", "x" * 100_000), ("assistant", "</s>" * 5000)]
+    rows = [(c, i, r, x) for c, t in turns.items() for i, (r, x) in enumerate(t)]
+    rng.shuffle(rows)
+    f = chat.format_turns(chat.canonical_turns(spark.createDataFrame(rows, TURNS)))
+    check(turns, chat.digest(f).collect())
+    for r in f.collect():
+        text, n = r["formatted"], len(turns[r["conv_id"]])
+        assert text.count("</s>") == n and text.count("<|") == n and text.count("|>") == n
+        assert not any(x in text for x in ("<s>", "[INST]", "[/INST]"))
+
+
+def test_nulls_and_repeats(spark):
+    rows = [(None, 0, "user", "a"), (None, None, None, None), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "assistant", None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], TURNS + ", head int")
+    out = chat.digest(chat.format_turns(chat.canonical_turns(df))).collect()
+    check({None: [("", ""), ("user", "a")], 1: [("assistant", ""), ("user", "b"), ("user", "b")]}, out)
+    assert chat.format_turns(chat.canonical_turns(df.limit(0))).count() == 0
+
+
+def test_layouts_give_the_same_turns(spark):
+    t = [("user", "question"), ("assistant", "answer")]
+    records = [
+        {"id": 1, "messages": [{"role": a, "content": b} for a, b in t]},
+        {"id": 2, "conversations": [{"from": {"user": "human", "assistant": "gpt"}[a], "value": b} for a, b in t]},
+        {"id": 3, "turns": [{"speaker": a, "text": b} for a, b in t]},
+        {"id": 4, "prompt": "question", "response": "answer"},
+        {"id": 5, "instruction": "question", "input": "", "output": "answer"},
+        {"id": 6, "question": "question", "answer": "answer"},
+    ]
+    odd = ['{"strange": {"deep": 1}}', "[1, 2]", "not json", "null", '"text"']
+    df = spark.createDataFrame([(json.dumps(r),) for r in records] + [(o,) for o in odd] + [(None,)], "record string")
+    turns = chat.canonical_turns(df)
+    check({r["id"]: t for r in records}, chat.digest(chat.format_turns(turns)).collect())
+    assert chat.fingerprints(df).where("known").agg(F.sum("n")).first()[0] == len(records)
+    table = spark.createDataFrame([(7, "question", "answer")], "id long, prompt string, completion string")
+    check({7: t}, chat.digest(chat.format_turns(chat.canonical_turns(table))).collect())
+
+
+def plain_judgement(url):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    best = None
+    for what, rule in urls.EXPLICIT:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+            best = (what, rule)
+    return host, path, best
+
+
+def test_explicit_rules(spark):
+    hosts = ["a.NET", "net", "x.example.net", "example.net", "example.com", "q.EXAMPLE.com", "notexample.com", "org", "w.org", "a.net:80", "É.net", ""]
+    tails = ["", "/", "/en/", "/en", "/de/a?x#y", "/fr/1", "?q=/en/", "#/de/", "/en/\nx"]
+    pages = [f"https://{h}{t}" for h in hosts for t in tails] + [None, "", "nourl", "a://b://c/d", "://x.net/"]
+    df = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(pages)], "page_id long, url string, html string, verdict string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for r in urls.url_filter(df, labels).collect():
+        host, path, best = plain_judgement(pages[r["page_id"]])
+        assert (r["host"], r["path"]) == (host, path)
+        assert (r["rule"], r["verdict"]) == ((best[1], best[0]) if best else (None, "allow"))
+    assert urls.url_filter(df.limit(0), labels).count() == 0
+
+
+def test_mined_rules_block(spark):
+    rng = random.Random(1)
+    pages, labels = [], []
+    for i in range(1500):
+        bad = i % 5 == 0
+        host = f"{'casino' if bad and i % 2 else 'news' if rng.random() < 0.5 else 'blog'}.site{rng.randrange(40)}.info"
+        path = f"/win/{i}" if bad and i % 2 == 0 else f"/read/{i}"
+        if i % 7 == 3:
+            path, host, bad = f"/win/{i}", f"sport.site{rng.randrange(40)}.info", False
+        pages.append((i, f"http://{host}{path}"))
+        if i < 1200:
+            labels.append((i, 0 if bad else 1, 0))
+    pages += [pages[0]] * 3
+    out = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for i, u in pages:
+        if "casino" in u:
+            assert out[i]["verdict"] == "block"
+        if "/read/" in u and "casino" not in u:
+            assert out[i]["verdict"] == "allow"
+        if "sport" in u:
+            assert out[i]["verdict"] == "allow"
+
+
+def brute_best(text, t=0.8):
+    """The best stretch of lines of each template, every stretch tried."""
+    lines = text.split("\n")
+    best = {}
+    for name, texts in licenses.TEMPLATES.items():
+        for x in texts:
+            b = licenses.bigrams(licenses.words_of(x))
+            for i in range(len(lines)):
+                for j in range(i, len(lines)):
+                    if licenses.words_of(lines[i]) and licenses.words_of(lines[j]):
+                        d = licenses.dice(licenses.bigrams(licenses.words_of("\n".join(lines[i : j + 1]))), b)
+                        if d >= t:
+                            best[name] = max(best.get(name, 0), d)
+    return best
+
+
+def test_license_scan_equals_brute_force(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = [None, "", "license", "the MIT License", "K License"]
+    for name, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            w = t.split()
+            for _ in range(rng.randint(0, max(1, len(w) // 15))):
+                w[rng.randrange(len(w))] = word()
+            cut = sorted(rng.sample(range(1, len(w)), min(2, len(w) - 1)))
+            lic = "\n".join(" ".join(p) for p in (w[: cut[0]], w[cut[0] : cut[-1]], w[cut[-1] :]) if p)
+            texts.append("\n".join([" ".join(word() for _ in range(8)), "", lic.upper() if rng.random() < 0.3 else lic, " ".join(word() for _ in range(8))]))
+    texts.append("Released under the MIT License.\n" + " ".join(word() for _ in range(30_000)) + "\nLicensed under CC BY-NC 4.0.")
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, dice double")
+    got = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
+    for i, t in enumerate(texts):
+        want = brute_best(t or "")
+        r = dict(zip(got[i]["licenses"], got[i]["dice"]))
+        assert got[i]["n_licenses"] == len(r) and set(r) <= set(want)
+        assert all(r[k] == pytest.approx(want[k]) for k in r)
+        if want:
+            assert max(r.values()) == pytest.approx(max(want.values()))
+    assert got[len(texts) - 1]["licenses"] == ["CC-BY-NC-4.0", "MIT"]
+    assert licenses.license_scan(df.limit(0)).count() == 0
