@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.autodiff import Adam, Var, stack
+from .windows import sliding, unslid
+
 FEATURES = ["load", "temp", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
 EULER = 0.5772156649015329
 
@@ -153,6 +156,187 @@ class Autoencoder:
         return np.abs(self._forward(x)[-1][:, 0] - x[:, 0]) if len(x) else np.empty(0)
 
 
+class WindowModel:
+    """A network over windows (n, length, features); the first feature is the load. Training keeps the
+    weights of the best loss on the last tenth of the windows and stops after ``patience`` epochs without
+    a better one."""
+
+    def __init__(self, epochs: int = 20, batch: int = 64, rate: float = 1e-3, patience: int = 5, seed: int = 0):
+        self.epochs, self.batch, self.rate, self.patience, self.seed = epochs, batch, rate, patience, seed
+
+    def build(self, length: int, features: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+        raise NotImplementedError
+
+    def predict(self, p: dict, x: np.ndarray) -> Var:
+        """The load of each row of each window."""
+        raise NotImplementedError
+
+    def loss(self, p: dict, x: np.ndarray, rng: np.random.Generator | None = None) -> Var:
+        d = self.predict(p, x) - x[:, :, 0]
+        return (d * d).mean()
+
+    def fit(self, x: np.ndarray) -> "WindowModel":
+        rng = np.random.default_rng(self.seed)
+        hold = max(1, len(x) // 10)
+        train, val = (x[:-hold], x[-hold:]) if len(x) > 10 else (x, x)
+        self.params = self.build(x.shape[1], x.shape[2], rng)
+        adam, best, worse = Adam(self.params, self.rate), (np.inf, None), 0
+        for _ in range(self.epochs):
+            order = rng.permutation(len(train))
+            for s in range(0, len(train), self.batch):
+                adam.update(lambda p, b=train[order[s : s + self.batch]]: self.loss(p, b, rng))
+            now = float(self.loss({k: Var(v) for k, v in self.params.items()}, val).value)
+            if now < best[0]:
+                best, worse = (now, {k: v.copy() for k, v in self.params.items()}), 0
+            elif (worse := worse + 1) >= self.patience:
+                break
+        self.params = best[1] or self.params
+        return self
+
+    def residuals(self, x: np.ndarray) -> np.ndarray:
+        """Load minus prediction, (n, length)."""
+        p = {k: Var(v) for k, v in self.params.items()}
+        return np.concatenate([x[i : i + 512, :, 0] - self.predict(p, x[i : i + 512]).value for i in range(0, len(x), 512)])
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.abs(self.residuals(x))
+
+
+class RecurrentAutoencoder(WindowModel):
+    """An LSTM reads the window, another writes it back from the last state."""
+
+    def __init__(self, hidden: int = 32, **how):
+        super().__init__(**how)
+        self.hidden = hidden
+
+    def build(self, length, features, rng):
+        h = self.hidden
+        w = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
+        return {"ex": w(features, 4 * h), "eh": w(h, 4 * h), "eb": np.zeros(4 * h), "dx": w(h, 4 * h), "dh": w(h, 4 * h), "db": np.zeros(4 * h), "ow": w(h, 1), "ob": np.zeros(1)}
+
+    def _cell(self, z: Var, c: Var | None) -> tuple[Var, Var]:
+        h = self.hidden
+        i, f, o, g = z[:, :h].sigmoid(), (z[:, h : 2 * h] + 1.0).sigmoid(), z[:, 2 * h : 3 * h].sigmoid(), z[:, 3 * h :].tanh()
+        c = i * g if c is None else f * c + i * g
+        return o * c.tanh(), c
+
+    def predict(self, p, x):
+        h = c = None
+        for t in range(x.shape[1]):
+            z = Var(x[:, t]) @ p["ex"] + p["eb"]
+            h, c = self._cell(z if h is None else z + h @ p["eh"], c)
+        given, h, c, out = h @ p["dx"] + p["db"], None, None, []
+        for _ in range(x.shape[1]):
+            h, c = self._cell(given if h is None else given + h @ p["dh"], c)
+            out.append((h @ p["ow"] + p["ob"])[:, 0])
+        return stack(out, 1)
+
+
+class MaskedPatches(WindowModel):
+    """A patch transformer that reconstructs the load from the other features: windows are cut into
+    overlapping patches (tokens), attention runs over them, and each token writes its patch's load;
+    overlaps are averaged and a linear map of each row's features is added. ``hide`` is the share of patches
+    whose load is hidden in training (1: all, so predictions never depend on the load); all are
+    hidden when scoring."""
+
+    def __init__(self, width: int = 32, heads: int = 4, layers: int = 2, patch: int = 16, stride: int = 8, hide: float = 1.0, **how):
+        super().__init__(**how)
+        self.width, self.heads, self.layers, self.patch, self.stride, self.hide = width, heads, layers, patch, stride, hide
+
+    def _places(self, length: int) -> np.ndarray:
+        """The rows of each patch."""
+        starts = np.arange(0, max(length - self.patch, 0) + 1, self.stride)
+        return starts[:, None] + np.arange(min(self.patch, length))[None]
+
+    def build(self, length, features, rng):
+        at = self._places(length)
+        d, n = self.width, at.shape[1]
+        w = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
+        p = {"in": w(n * features, d), "pos": rng.normal(0, 0.02, (len(at), d)), "out": w(d, n) * 0.1, "skip": np.zeros((features - 1, 1)), "bias": np.zeros(1)}
+        for i in range(self.layers):
+            p |= {f"{i}{k}": w(d, d) for k in "qkvo"} | {f"{i}up": w(d, 2 * d), f"{i}down": w(2 * d, d) * 0.5}
+        return p
+
+    def _forward(self, p: dict, x: np.ndarray, hidden: np.ndarray) -> Var:
+        n, length, features = x.shape
+        at = self._places(length)
+        x = x.copy()
+        tok = x[:, at]  # (n, tokens, patch, features)
+        tok[..., 0] = np.where(hidden[:, :, None], 0.0, tok[..., 0])
+        h = Var(tok.reshape(n, len(at), -1)) @ p["in"] + p["pos"]
+        k = self.width // self.heads
+        split = lambda v: v.reshape(n, len(at), self.heads, k).swap(1, 2)
+        for i in range(self.layers):
+            z = h.normed()
+            q, key, v = (split(z @ p[f"{i}{c}"]) for c in "qkv")
+            mixed = ((q @ key.swap(-1, -2)) * (1 / np.sqrt(k))).softmax() @ v
+            h = h + mixed.swap(1, 2).reshape(n, len(at), self.width) @ p[f"{i}o"]
+            h = h + (h.normed() @ p[f"{i}up"]).relu() @ p[f"{i}down"]
+        rows = (h.normed() @ p["out"]).reshape(n, -1)
+        spread = np.zeros((at.size, length))
+        spread[np.arange(at.size), at.ravel()] = 1
+        times = np.maximum(spread.sum(0), 1)
+        return rows @ (spread / times) + (Var(x[:, :, 1:]) @ p["skip"]).reshape(n, length) + p["bias"]
+
+    def predict(self, p, x):
+        return self._forward(p, x, np.ones((len(x), len(self._places(x.shape[1]))), bool))
+
+    def loss(self, p, x, rng=None):
+        tokens = len(self._places(x.shape[1]))
+        if rng is None or self.hide >= 1:
+            return super().loss(p, x)
+        hidden = rng.random((len(x), tokens)) < self.hide
+        rows = np.zeros((len(x), x.shape[1]))
+        for t, at in enumerate(self._places(x.shape[1])):
+            rows[:, at] = np.maximum(rows[:, at], hidden[:, t, None])
+        d = (self._forward(p, x, hidden) - x[:, :, 0]) * rows
+        return (d * d).mean() * (rows.size / max(rows.sum(), 1))
+
+
+def windows_of(df: DataFrame, cols: list[str], length: int, stride: int) -> DataFrame:
+    """(entity, start, values): values holds the window's rows, feature by feature."""
+    return sliding(df.withColumn("__f", F.array(*[F.col(c).cast("double") for c in cols])), "__f", length, stride)
+
+
+def _cube(values: pd.Series) -> np.ndarray:
+    return np.array([np.array([np.asarray(r, float) for r in v]) for v in values])
+
+
+def fit_windows(windows: DataFrame, model: WindowModel, most: int = 5000) -> WindowModel:
+    """Fit on at most ``most`` windows, those of the smallest hashes."""
+    rows = windows.orderBy(F.xxhash64("entity", "start"), "entity", "start").limit(most).toPandas()
+    x = _cube(rows["values"])
+    return model.fit(x[~np.isnan(x).any(axis=(1, 2))])
+
+
+def score_windows(windows: DataFrame, model: WindowModel, how: str = "max", signed: bool = False) -> DataFrame:
+    """(entity, idx, x): scores (or signed residuals) of windows, brought back to rows by maximum or mean."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = _cube(pdf["values"])
+                out = model.residuals(x) if signed else model.score(x)
+                yield pd.DataFrame({"entity": pdf["entity"], "start": pdf["start"], "values": list(out)})
+
+    return unslid(windows.mapInPandas(run, "entity string, start long, values array<double>"), how=how)
+
+
+def point_residuals(windows: DataFrame, model: WindowModel) -> DataFrame:
+    """(entity, idx, x): the residual of the last row of each window (stride 1), so a row is judged with
+    what came before it only; the first rows of a series take the first residual."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = _cube(pdf["values"])
+                yield pd.DataFrame({"entity": pdf["entity"], "idx": pdf["start"] + x.shape[1] - 1, "x": model.residuals(x)[:, -1], "first": pdf["start"] == 0})
+
+    out = windows.mapInPandas(run, "entity string, idx long, x double, first boolean")
+    fill = out.where("first").select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("idx") - 1)).alias("idx"), "x")
+    return out.select("entity", "idx", "x").unionByName(fill)
+
+
 def bounded_sample(df: DataFrame, cols: list[str], most: int = 50_000, key: str = "idx") -> np.ndarray:
     """At most ``most`` rows, those of the smallest hashes: a top-k, so only so many reach the driver."""
     h = F.xxhash64("entity", key)
@@ -183,4 +367,5 @@ GRIDS: dict[str, list[Callable]] = {
     "isolation forest": [lambda n=n, m=m: IsolationForest(n, m) for n in (100, 200, 400) for m in (256, 0.5)],
     "one-class svm": [lambda n=n, g=g: OneClassSVM(n, g) for n in (0.02, 0.05, 0.1) for g in ("scale", 0.2)],
     "autoencoder": [lambda h=h: Autoencoder(h) for h in ((32, 16, 32), (64, 32, 64))],
+    "recurrent autoencoder": [lambda h=h: RecurrentAutoencoder(h) for h in (32, 64)],
 }

@@ -912,3 +912,24 @@ def stream_online_flags(spark, sf_dir):
     profile = S.median_mad(reference(h), ["entity", "slot"]).drop("n")
     rows = h.where("span = 'test'").select("entity", "ts", "x")
     return panels.drained(spark, sf_dir, lambda s: online_flags(s, profile, C.hour_slot, window=72), "append", rows)
+
+
+def _windows(spark, sf_dir, length, stride):
+    d = daily(spark, sf_dir).withColumns(C.cyclic(F.col("ts"))).withColumns({"load": F.col("x"), "temp": C.climate_proxy(F.col("ts"), F.lit(40.0))})
+    d = P.scale(d, ["load", "temp"])
+    cols = ["z_load", "z_temp", "dow_sin", "dow_cos"]
+    return M.windows_of(d.where("span = 'train'"), cols, length, stride), M.windows_of(test_span(d), cols, length, stride)
+
+
+@query
+def recurrent_autoencoder(spark, sf_dir):
+    train, test = _windows(spark, sf_dir, 14, 7)
+    return M.score_windows(test, M.fit_windows(train, M.RecurrentAutoencoder(16, epochs=3), 300))
+
+
+@query
+def masked_patches(spark, sf_dir):
+    """Residuals of the masked patch model, each from the rows up to it."""
+    train, _ = _windows(spark, sf_dir, 28, 7)
+    _, test = _windows(spark, sf_dir, 28, 1)
+    return M.point_residuals(test, M.fit_windows(train, M.MaskedPatches(16, 2, 1, patch=7, stride=7, epochs=5), 300))
