@@ -281,6 +281,13 @@ class MaskedPatches(WindowModel):
     def predict(self, p, x):
         return self._forward(p, x, np.ones((len(x), len(self._places(x.shape[1]))), bool))
 
+    def target_residuals(self, x: np.ndarray) -> np.ndarray:
+        """The residual of each window's last row with only the patches that hold it hidden, so the
+        prediction may use the load before it (a diagnostic: earlier faults then leak into it)."""
+        p, at = {k: Var(v) for k, v in self.params.items()}, self._places(x.shape[1])
+        hidden = np.repeat((at == x.shape[1] - 1).any(axis=1)[None], len(x), axis=0)
+        return x[:, -1, 0] - self._forward(p, x, hidden).value[:, -1]
+
     def loss(self, p, x, rng=None):
         tokens = len(self._places(x.shape[1]))
         if rng is None or self.hide >= 1:
@@ -362,6 +369,21 @@ def score(df: DataFrame, detector, cols: list[str] = FEATURES, out: str = "s") -
     return df.mapInPandas(run, f"{schema}, `{out}` double").withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
+def tune(train: DataFrame, val: DataFrame, events: DataFrame, grid: list[Callable], cols: list[str] = FEATURES, window: int = 336, most: int = 50_000) -> tuple[int, list[float]]:
+    """The index of the grid's detector with the best micro F1 on validation events (ties: the first), and
+    all objectives. The sample is drawn once; each detector is scored as one plan."""
+    from .evaluate import micro_f1
+    from .windows import trailing_flags
+
+    x = bounded_sample(train, cols, most)
+    got = []
+    for make in grid:
+        flags = trailing_flags(score(val, make().fit(x), cols), window=window)
+        row = micro_f1(flags, events).first()
+        got.append(float(row["micro_f1"]) if row and row["micro_f1"] is not None else 0.0)
+    return max(range(len(got)), key=lambda i: (got[i], -i)), got
+
+
 #: Grids that are searched on validation events.
 GRIDS: dict[str, list[Callable]] = {
     "isolation forest": [lambda n=n, m=m: IsolationForest(n, m) for n in (100, 200, 400) for m in (256, 0.5)],

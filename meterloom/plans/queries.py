@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
+from ..operators import aggregate as A
 from ..operators import evaluate as E
 from ..operators import inject as I
 from ..operators import models as M
@@ -833,6 +834,71 @@ SQL["modal_model"] = f"""WITH {_MT}, b AS (SELECT * FROM mt QUALIFY row_number()
 SELECT seed, model, n FROM c QUALIFY row_number() OVER (PARTITION BY seed ORDER BY n DESC, model) = 1"""
 
 
+@query
+def weighted_means(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag").agg(F.round(A.weighted_mean("l_discount", "l_quantity"), 9).alias("mean"))
+
+
+SQL["weighted_means"] = "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean FROM lineitem GROUP BY 1"
+
+
+@query
+def column_means(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount", F.when(F.col("l_linenumber") > 2, F.col("l_tax")).otherwise(float("nan")).alias("l_tax"))
+    return A.means(li, ["l_returnflag"]).select("l_returnflag", *r6("l_quantity", "l_discount", "l_tax"))
+
+
+SQL["column_means"] = "SELECT l_returnflag, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_discount), 6) AS l_discount, round(avg(CASE WHEN l_linenumber > 2 THEN l_tax END), 6) AS l_tax FROM lineitem GROUP BY 1"
+
+
+@query
+def run_length_spread(spark, sf_dir):
+    r = W.runs(scored(spark, sf_dir)[3]).withColumn("length", (F.col("end") - F.col("start")).cast("double"))
+    return A.spread(r, ["entity"], "length", (1, 6)).select("entity", "n", *r6("q25", "q50", "q75", "q90", "share_1", "share_6"))
+
+
+SQL["run_length_spread"] = f"""WITH {_RN}, l AS (SELECT entity, ("end" - "start")::DOUBLE AS n_ FROM rn)
+SELECT entity, count(*) AS n, round(quantile_cont(n_, 0.25), 6) AS q25, round(quantile_cont(n_, 0.5), 6) AS q50, round(quantile_cont(n_, 0.75), 6) AS q75, round(quantile_cont(n_, 0.9), 6) AS q90,
+  round(avg((n_ <= 1)::INT::DOUBLE), 6) AS share_1, round(avg((n_ <= 6)::INT::DOUBLE), 6) AS share_6 FROM l GROUP BY 1"""
+
+
+@query
+def seen_unseen(spark, sf_dir):
+    m = metric_table(spark, sf_dir).withColumn("seen", F.col("site").isin("s0", "s1", "s2"))
+    return A.seen_unseen(m, "v", ["model"]).select("model", *[F.round(c, 9).alias(c) for c in ("on_seen", "on_unseen", "gap")])
+
+
+SQL["seen_unseen"] = f"""WITH {_MT}, g AS (SELECT model, avg(v) FILTER (site IN ('s0', 's1', 's2')) AS a, avg(v) FILTER (site NOT IN ('s0', 's1', 's2')) AS b FROM mt GROUP BY 1)
+SELECT model, round(a, 9) AS on_seen, round(b, 9) AS on_unseen, round(a - b, 9) AS gap FROM g"""
+
+
+@query
+def injection_realism(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    ev = planted(d)
+    delta = ev.select("entity", F.col("add").alias("delta"), F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx"))
+    clean = S.profile_residual(test_span(d), S.slot_profile(d.where("span = 'train'")), out="resid").select("entity", "idx", "resid")
+    none = test_span(d).where("x = 0").select("entity", "idx")
+    return A.realism(delta, ev, clean, test_span(d), none).select("entity", "event_id", "type", "severity", "filled", *[F.round(c, 5).alias(c) for c in ("mean_sigma", "peak_sigma", "peak", "energy_share")])
+
+
+SQL["injection_realism"] = f"""WITH {_EV}, p AS (SELECT entity, slot, median(x) AS med FROM d WHERE span = 'train' GROUP BY 1, 2), u AS (SELECT d.entity, span_idx AS idx, d.x AS load, d.x - med AS x FROM d LEFT JOIN p ON p.entity = d.entity AND p.slot = d.slot WHERE span = 'test'),
+{_mad('nm', 'u', 'entity')}
+SELECT ev.entity, event_id::INT AS event_id, any_value(type) AS type, any_value(severity)::INT AS severity, count(*) FILTER (load = 0) AS filled, round(avg(add / nullif(mad, 0)), 5) AS mean_sigma, round(max(add / nullif(mad, 0)), 5) AS peak_sigma,
+  round(max(add), 5) AS peak, round(sum(add) / nullif(sum(load), 0), 5) AS energy_share FROM ev JOIN u ON u.entity = ev.entity AND u.idx >= ev."start" AND u.idx < ev."end" JOIN nm ON nm.entity = ev.entity GROUP BY 1, 2"""
+
+
+@query
+def gross_error(spark, sf_dir):
+    d, ev, _, fl = scored(spark, sf_dir)
+    return WS.gross_error(WS.decomposition(residual(d, ev), fl, ev.drop("add")).withColumn("model", F.lit("slot")), ["model"]).select("model", *r6("gross_rel", "bias"))
+
+
+SQL["gross_error"] = f"""WITH {_DET}{_RES}, w AS ({_decomp(_FLAGGED)})
+SELECT 'slot' AS model, round(sum(abs(matched_err_kwh) + abs(false_add_kwh) + abs(missed_kwh)) / sum(true_kwh), 6) AS gross_rel, round((sum(est_kwh) - sum(true_kwh)) / sum(true_kwh), 6) AS bias FROM w"""
+
+
 # ---------------------------------------------------------------- without SQL: folds, fits, random draws, streams
 
 
@@ -933,3 +999,21 @@ def masked_patches(spark, sf_dir):
     train, _ = _windows(spark, sf_dir, 28, 7)
     _, test = _windows(spark, sf_dir, 28, 1)
     return M.point_residuals(test, M.fit_windows(train, M.MaskedPatches(16, 2, 1, patch=7, stride=7, epochs=5), 300))
+
+
+@query
+def injection_draws(spark, sf_dir):
+    h = P.split(P.interpolated(hourly(spark, sf_dir)), 1.0, 0.0)
+    return A.draw_counts(I.inject(h, n_events=2, span="train", ref="train")[2], ["entity"])
+
+
+@query
+def tuned_forest(spark, sf_dir):
+    """Micro F1 of a small grid of isolation forests on planted validation events."""
+    d = daily(spark, sf_dir)
+    ev = planted(d).where("start + 40 < 340")
+    rows = ev.select("entity", "add", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("span_idx"), F.lit("val").alias("span"))
+    d = d.join(rows, ["entity", "span", "span_idx"], "left").withColumn("x", F.col("x") + F.coalesce("add", F.lit(0.0))).drop("add").withColumns(C.cyclic(F.col("ts")))
+    cols = ["x", "dow_sin", "dow_cos"]
+    best, got = M.tune(d.where("span = 'train'"), d.where("span = 'val'").drop("idx").withColumnRenamed("span_idx", "idx"), ev.drop("add"), [lambda n=n: M.IsolationForest(n) for n in (20, 40)], cols, 112, 2000)
+    return spark.createDataFrame([(n, v, i == best) for i, (n, v) in enumerate(zip((20, 40), got))], "trees int, micro_f1 double, chosen boolean")
