@@ -502,10 +502,10 @@ SELECT entity, idx, round(avg(x), 6) AS x, round(max(x), 6) AS top FROM w GROUP
 @query
 def event_detail(spark, sf_dir):
     _, ev, _, fl = scored(spark, sf_dir)
-    return E.event_detail(fl, ev.drop("add")).select("entity", "event_id", "type", "severity", "duration", "detected", "delay", *r6("range_cov", "true_kwh"))
+    return E.event_detail(fl, ev.drop("add")).select("entity", "event_id", "type", "severity", "duration", "detected", F.col("delay").cast("double").alias("delay"), *r6("range_cov", "true_kwh"))
 
 
-SQL["event_detail"] = f'WITH {_DET} SELECT entity, event_id::INT AS event_id, type, severity::INT AS severity, ("end" - "start")::BIGINT AS duration, hit IS NOT NULL AS detected, hit - "start" AS delay, round(range_cov, 6) AS range_cov, round(true_kwh, 6) AS true_kwh FROM ed'
+SQL["event_detail"] = f'WITH {_DET} SELECT entity, event_id::INT AS event_id, type, severity::INT AS severity, ("end" - "start")::BIGINT AS duration, hit IS NOT NULL AS detected, (hit - "start")::DOUBLE AS delay, round(range_cov, 6) AS range_cov, round(true_kwh, 6) AS true_kwh FROM ed'
 
 
 @query
