@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
@@ -596,8 +596,8 @@ def fusion_grid(spark, sf_dir):
     for w in (0.5, 0.8, 1.0):
         m = E.micro_f1(W.trailing_flags(z.withColumn("s", S.fused(w)), window=112), ev.drop("add")).withColumn("w", F.lit(w))
         out = m if out is None else out.unionByName(m)
-    top = X.best(out, [], "micro_f1", ["w"]).select(F.col("w").alias("best_w"))
-    return out.crossJoin(F.broadcast(top)).select("w", "tp_events", "n_events", "tp_runs", "n_runs", *r6("micro_f1"), (F.col("w") == F.col("best_w")).alias("chosen"))
+    first = F.row_number().over(Window.orderBy(F.desc("micro_f1"), "w"))  # of three rows
+    return out.withColumn("chosen", first == 1).select("w", "tp_events", "n_events", "tp_runs", "n_runs", *r6("micro_f1"), "chosen")
 
 
 _FUSE = _D + f""",
