@@ -28,7 +28,7 @@ from .common import components, null_safe, pieces, small, stored
 from .shingles import MinHash, Words, bands_for, shingle_set
 
 #: A unit holds up to twice so many classes, and twice so many shingles.
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1_000_000
 
 
 def signatures(docs: DataFrame, threshold: float, recall: float, n: int) -> DataFrame:
@@ -185,7 +185,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, n
     # one text for each class that has a candidate: found by its hash, then by its class
     wanted = stored(units.select("cls").distinct().join(classes.select("cls", "copies", "text_hash"), "cls"), "wanted")
     texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(wanted, "text_hash").groupBy("cls", "copies").agg(F.first("text").alias("text"))
+    # always a merge join: what is shuffled then follows the input, and tables of any size do
+    texts = texts.join(wanted.hint("merge"), "text_hash").groupBy("cls", "copies").agg(F.first("text").alias("text"))
     found = stored(verified(units, texts, threshold, n), "found")
     comp = components(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
@@ -221,7 +222,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float
     empty = rows.where("cls is null").select(F.col("doc_id").alias("__nj_id"), F.col("text_hash").alias("__nj_hash"), F.lit(1).cast("long").alias("__nj_times")).distinct()
     keep = keep.unionByName(empty)
     tagged = docs.withColumn("__nj_h", F.xxhash64("text"))
-    kept = null_safe(tagged, keep, {"doc_id": "__nj_id", "__nj_h": "__nj_hash"}, "inner")
+    kept = null_safe(tagged, keep.hint("merge"), {"doc_id": "__nj_id", "__nj_h": "__nj_hash"}, "inner")
     once = kept.where("__nj_times = 1").select(*[kept[c] for c in docs.columns])
     many = kept.where("__nj_times > 1")
     if keep.where("__nj_times > 1").isEmpty():
