@@ -15,6 +15,9 @@ Rows that repeat are packed each on their own.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -192,34 +195,73 @@ class WordTokenizer:
 
     # The tokenizer's own splitting pattern.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = regex.compile("[\t-\r -~\xa1-\xac\xae-įı-ɏ–—‘-”•…€]*")
+    # Latin letters and common marks in which white space is that of str.split, lower case is a matter of
+    # single letters, and nothing composes.
+    PLAIN = re.compile("[\t-\r -~\xa1-\xac\xae-\u012f\u0131-\u024f\u2013\u2014\u2018-\u201d\u2022\u2026\u20ac]*")
 
-    def __init__(self, file: bytes, most: int = 300_000):
+    def __init__(self, file: bytes, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(file)
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.split = regex.compile(self.SPLIT).findall
         self.most = most
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = outer.whole(word)
-                if len(word) <= 64:
-                    self[word] = ids
-                return ids
-
-        self.known = Known()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if "<|" in text or not self.PLAIN.fullmatch(text):
-            return self.whole(text)
-        if len(self.known) > self.most:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, self.split(text.lower())))
+        self.words: dict[str, bytes] = {}  # what stands between white space
+        self.parts: dict[str, bytes] = {}  # pre-tokens
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pretokens(self, parts: list[str]) -> list[bytes]:
+        """The ids of each pre-token. Many are encoded as one text, between blanks, which is much cheaper
+        than one by one; each ends with its only end-of-word id."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 500):
+            some = parts[i : i + 500]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                out += self._encoded(some)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds words, their unknown pre-tokens in one batch."""
+        cut = [self.split(w) for w in new]
+        ask = list({p for c in cut for p in c}.difference(self.parts))
+        self.parts.update(zip(ask, self._pretokens(ask)))
+        self.words.update((w, b"".join([self.parts[p] for p in c])) for w, c in zip(new, cut))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        out: list[bytes] = []
+        for text in texts:
+            if "<|" in text or not self.PLAIN.fullmatch(text):
+                out += self._encoded([text])
+                continue
+            words = text.lower().split()
+            new = set(words).difference(self.words)
+            if new:
+                if len(self.words) + len(self.parts) > self.most:
+                    self.words.clear()
+                    self.parts.clear()
+                    new = set(words)
+                self._learn(list(new))
+            out.append(b"".join(map(self.words.__getitem__, words)))
+        return out
+
+
+def tokenizer_here(file: bytes) -> WordTokenizer:
+    """This process's tokenizer: tasks that follow in a worker find what earlier ones learnt."""
+    held = sys.modules.setdefault("_meterloom_tokenizers", types.ModuleType("_meterloom_tokenizers")).__dict__
+    key = f"t{zlib.crc32(file)}_{len(file)}"
+    if key not in held:
+        held[key] = WordTokenizer(file)
+    return held[key]
 
 
 def pieces_of(docs: DataFrame, file: bytes, most: int = MAX_LEN) -> DataFrame:
@@ -229,11 +271,11 @@ def pieces_of(docs: DataFrame, file: bytes, most: int = MAX_LEN) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = None, np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            tok = tok or WordTokenizer(shared.value)
+            tok = tok or tokenizer_here(shared.value)
             ids, text = batch.column(0), batch.column(1)
             doc, piece, start, length, crc = [], [], [], [], []
             for i in range(batch.num_rows):
-                data, d = tok.ids(text[i].as_py() or "") + end, ids[i].as_py()
+                data, d = tok.ids([text[i].as_py() or ""])[0] + end, ids[i].as_py()
                 for k, at in enumerate(range(0, len(data), 4 * most)):
                     part = data[at : at + 4 * most]
                     doc.append(d)
