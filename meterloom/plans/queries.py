@@ -966,7 +966,7 @@ GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts)::TIMES
 def stream_sessions(spark, sf_dir):
     from ..streaming.online import sessions
 
-    return panels.drained(spark, sf_dir, lambda s: sessions(s.where("user_id % 20 = 0"), "ts", "user_id", "30 minutes"), "append").select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+    return panels.drained(spark, sf_dir, lambda s: sessions(s, "ts", "user_id", "30 minutes"), "append").select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
 @query

@@ -22,3 +22,17 @@ def test_correlation_takes_every_order(spark, tmp_path):
         assert r["pearson"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6)
         assert r["spearman"] == pytest.approx(np.corrcoef(x.rank(), y.rank())[0, 1], abs=1e-6)
         assert (r["slope"], r["intercept"]) == (pytest.approx(slope, abs=1e-4), pytest.approx(intercept, abs=1e-3))
+
+
+def test_sessions_of_every_user(spark, tmp_path):
+    rng, zero = np.random.default_rng(1), pd.Timestamp("2024-01-01")
+    ev = pd.DataFrame({"user_id": rng.integers(1, 40, 600), "minute": rng.integers(0, 2880, 600)})
+    ev["ts"] = zero + pd.to_timedelta(ev["minute"], "min")
+    spark.createDataFrame(ev).write.parquet(f"{tmp_path}/events.parquet")
+    want, closed = [], ev["minute"].max() - 60  # the watermark
+    for user, g in ev.groupby("user_id"):
+        at = sorted(g["minute"])
+        cuts = [0, *(i for i in range(1, len(at)) if at[i] - at[i - 1] > 30), len(at)]  # windows that touch are one session
+        want += [(user, j - i, str(zero + pd.Timedelta(at[i], "min"))) for i, j in zip(cuts, cuts[1:]) if at[j - 1] + 30 <= closed]
+    got = [tuple(r) for r in Q["stream_sessions"](spark, str(tmp_path)).select("user_id", "n", "start").collect()]
+    assert sorted(got) == sorted(want)
