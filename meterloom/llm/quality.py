@@ -4,8 +4,10 @@ Each document gets two histograms: of character classes (upper case, lower case,
 sentence mark, symbol) and of common words (each word of its language's list, one bin for the other
 words). The references are the sums of these histograms over all documents of the language, so they
 need one pass and a table of a few rows (languages not listed share one reference). A document is
-compared with its reference by Jensen-Shannon distance (base 2, 0 to 1) once it is long enough for
-the distance to mean something.
+compared with its reference by Jensen-Shannon distance (base 2, 0 to 1). The limit falls with the
+number of words: a sample of n words from k bins is sqrt((k - 1) / (8 n ln 2)) away from its own
+source by noise alone, and the limit is that plus a margin. (Characters come in words, so words are what is
+drawn there too.) Short texts are judged like long ones, with the larger limits that they need.
 
 Nulls: a null text is the empty text; a null doc_id is kept; a null or unknown language uses the
 reference of all such documents. An empty table gives no rows. Very long texts are read whole.
@@ -33,9 +35,8 @@ COMMON = {
 }
 OTHER = "other"
 
-#: A document fails from this distance on; limits for documents of at least so many characters or words.
-CLASS_DISTANCE, CLASS_MIN_CHARS = 0.28, 400
-WORD_DISTANCE, WORD_MIN_WORDS = 0.30, 150
+#: A document fails from this distance beyond the noise on.
+CLASS_MARGIN, WORD_MARGIN = 0.19, 0.135
 
 _HASHES = {x: np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in v), np.uint64, len(v)) for x, v in COMMON.items()}
 
@@ -124,6 +125,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, d / 2)))
 
 
+def noise(bins: int, n: int) -> float:
+    """The expected distance of a sample of n >= 1 from its source (to first order in 1 / n)."""
+    return float(np.sqrt((bins - 1) / (8 * n * np.log(2))))
+
+
 def _texts(batch: pa.RecordBatch, words: Words) -> Iterator[tuple[Text, str]]:
     names = batch.schema.names
     text, lang = batch.column(names.index("__q_text")), batch.column(names.index("__q_lang"))
@@ -160,8 +166,7 @@ def references(docs: DataFrame) -> dict[str, np.ndarray]:
 
 def quality_rules(docs: DataFrame, keep: list[str], refs: dict[str, np.ndarray] | None = None) -> DataFrame:
     """The columns ``keep`` of each document, then n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, class_distance, word_distance (0 where the text is shorter than
-    its guard) and kept. base_failed: n_words < 10, or 100 * n_repeat_words > 20 * n_words."""
+    n_repeat_words, base_failed, class_distance, word_distance and kept. base_failed: n_words < 10, or 100 * n_repeat_words > 20 * n_words."""
     refs = references(docs) if refs is None else refs
     types = {f.name: f.dataType for f in docs.schema.fields}
     added = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "class_distance": "double", "word_distance": "double", "kept": "boolean"}
@@ -175,9 +180,9 @@ def quality_rules(docs: DataFrame, keep: list[str], refs: dict[str, np.ndarray]
                 n, *rest = text.base_counts()
                 failed = n < 10 or 100 * rest[-1] > 20 * n
                 h, ref = text.histograms(lang), refs[lang]
-                by_class = js_distance(h[:6], ref[:6]) if text.chars() >= CLASS_MIN_CHARS else 0.0
-                by_word = js_distance(h[6:], ref[6:]) if n >= WORD_MIN_WORDS else 0.0
-                rows.append((n, *rest, failed, by_class, by_word, not failed and by_class < CLASS_DISTANCE and by_word < WORD_DISTANCE))
+                by_class, by_word = js_distance(h[:6], ref[:6]), js_distance(h[6:], ref[6:])
+                kept = not failed and by_class < noise(6, n) + CLASS_MARGIN and by_word < noise(21, n) + WORD_MARGIN
+                rows.append((n, *rest, failed, by_class, by_word, kept))
             cols = list(zip(*rows)) or [()] * len(added)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(keep))), *(pa.array(c, arrow[t]) for c, t in zip(cols, added.values()))], names=[*keep, *added]
