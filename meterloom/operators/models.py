@@ -1,7 +1,7 @@
-"""Generic detectors in numpy, fitted on a bounded sample and scored on the executors.
+"""Generic detectors in numpy, fitted on the driver and scored on the executors.
 
-A detector has ``fit(x)`` and ``score(x)`` (higher: more unusual). Fitting draws at most ``most`` training
-rows by hash over all entities, the same rows in every run; the fitted detector, of bounded size, goes
+A detector has ``fit(x)`` and ``score(x)`` (higher: more unusual). Fitting takes the training rows in order
+of a hash, the same in every run: the first ``most`` over all entities, or all (None); the fitted detector, of bounded size, goes
 to the tasks with their function. Other estimators plug in the same way."""
 
 from __future__ import annotations
@@ -309,9 +309,10 @@ def _cube(values: pd.Series) -> np.ndarray:
     return np.array([np.array([np.asarray(r, float) for r in v]) for v in values])
 
 
-def fit_windows(windows: DataFrame, model: WindowModel, most: int = 5000) -> WindowModel:
-    """Fit on at most ``most`` windows, those of the smallest hashes."""
-    rows = windows.orderBy(F.xxhash64("entity", "start"), "entity", "start").limit(most).toPandas()
+def fit_windows(windows: DataFrame, model: WindowModel, most: int | None = 5000) -> WindowModel:
+    """Fit on at most ``most`` windows, those of the smallest hashes; None: on all."""
+    rows = windows.orderBy(F.xxhash64("entity", "start"), "entity", "start")
+    rows = (rows if most is None else rows.limit(most)).toPandas()
     x = _cube(rows["values"])
     return model.fit(x[~np.isnan(x).any(axis=(1, 2))])
 
@@ -344,14 +345,15 @@ def point_residuals(windows: DataFrame, model: WindowModel) -> DataFrame:
     return out.select("entity", "idx", "x").unionByName(fill)
 
 
-def bounded_sample(df: DataFrame, cols: list[str], most: int = 50_000, key: str = "idx") -> np.ndarray:
-    """At most ``most`` rows, those of the smallest hashes: a top-k, so only so many reach the driver."""
+def bounded_sample(df: DataFrame, cols: list[str], most: int | None = 50_000, key: str = "idx") -> np.ndarray:
+    """At most ``most`` rows, those of the smallest hashes: a top-k, so only so many reach the driver; None: all."""
     h = F.xxhash64("entity", key)
-    rows = df.dropna(subset=cols).select(*cols, h.alias("__h"), "entity", key).orderBy("__h", "entity", key).limit(most)
+    rows = df.dropna(subset=cols).select(*cols, h.alias("__h"), "entity", key).orderBy("__h", "entity", key)
+    rows = rows if most is None else rows.limit(most)
     return rows.select(*cols).toPandas().to_numpy(float)
 
 
-def fit(train: DataFrame, detector, cols: list[str] = FEATURES, most: int = 50_000):
+def fit(train: DataFrame, detector, cols: list[str] = FEATURES, most: int | None = 50_000):
     return detector.fit(bounded_sample(train, cols, most))
 
 

@@ -929,22 +929,22 @@ def injected_events(spark, sf_dir):
 def _detector(spark, sf_dir, detector):
     d = daily(spark, sf_dir).withColumns(C.cyclic(F.col("ts"))).withColumns({"load": F.col("x"), "temp": C.climate_proxy(F.col("ts"), F.lit(40.0))})
     d = P.scale(d, ["load", "temp"]).withColumns({"load": F.col("z_load"), "temp": F.col("z_temp")}).drop("z_load", "z_temp")
-    return M.score(d.where("span = 'test'"), M.fit(d.where("span = 'train'"), detector, most=2000)).select("entity", "idx", "s")
+    return M.score(d.where("span = 'test'"), M.fit(d.where("span = 'train'"), detector, most=None)).select("entity", "idx", "s")
 
 
 @query
 def isolation_forest(spark, sf_dir):
-    return _detector(spark, sf_dir, M.IsolationForest(50))
+    return _detector(spark, sf_dir, M.IsolationForest())
 
 
 @query
 def one_class_svm(spark, sf_dir):
-    return _detector(spark, sf_dir, M.OneClassSVM(most=1000))
+    return _detector(spark, sf_dir, M.OneClassSVM())
 
 
 @query
 def dense_autoencoder(spark, sf_dir):
-    return _detector(spark, sf_dir, M.Autoencoder((16, 8, 16), epochs=5))
+    return _detector(spark, sf_dir, M.Autoencoder())
 
 
 @query
@@ -990,7 +990,7 @@ def _windows(spark, sf_dir, length, stride):
 @query
 def recurrent_autoencoder(spark, sf_dir):
     train, test = _windows(spark, sf_dir, 14, 7)
-    return M.score_windows(test, M.fit_windows(train, M.RecurrentAutoencoder(16, epochs=3), 300))
+    return M.score_windows(test, M.fit_windows(train, M.RecurrentAutoencoder(), None))
 
 
 @query
@@ -998,7 +998,7 @@ def masked_patches(spark, sf_dir):
     """Residuals of the masked patch model, each from the rows up to it."""
     train, _ = _windows(spark, sf_dir, 28, 7)
     _, test = _windows(spark, sf_dir, 28, 1)
-    return M.point_residuals(test, M.fit_windows(train, M.MaskedPatches(16, 2, 1, patch=7, stride=7, epochs=5), 300))
+    return M.point_residuals(test, M.fit_windows(train, M.MaskedPatches(patch=7, stride=7), None))
 
 
 @query

@@ -4,8 +4,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from meterloom.operators import models as M
+from meterloom.plans import panels
 from meterloom.plans.queries import Q
 
+DIR = "/root/testdata/sf0.001"
+
 
 def test_correlation_takes_every_order(spark, tmp_path):
     rng = np.random.default_rng(0)
@@ -36,3 +40,24 @@ def test_sessions_of_every_user(spark, tmp_path):
         want += [(user, j - i, str(zero + pd.Timedelta(at[i], "min"))) for i, j in zip(cuts, cuts[1:]) if at[j - 1] + 30 <= closed]
     got = [tuple(r) for r in Q["stream_sessions"](spark, str(tmp_path)).select("user_id", "n", "start").collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("name, kind", [("isolation_forest", M.IsolationForest), ("one_class_svm", M.OneClassSVM), ("dense_autoencoder", M.Autoencoder), ("recurrent_autoencoder", M.RecurrentAutoencoder), ("masked_patches", M.MaskedPatches)])
+def test_detectors_are_fitted_on_all_rows(spark, monkeypatch, name, kind):
+    class Seen(Exception):
+        pass
+
+    def fit(self, x):
+        raise Seen(len(x), self)
+
+    monkeypatch.setattr(kind, "fit", fit)
+    with pytest.raises(Seen) as e:
+        Q[name](spark, DIR)
+    n, model = e.value.args
+    d = panels.daily(spark, DIR).where("span = 'train'")
+    if isinstance(model, M.WindowModel):
+        d = M.windows_of(d, ["x"], 14 if name == "recurrent_autoencoder" else 28, 7)
+        assert n == d.count() > 300
+    else:
+        assert n == d.count() > 2000
+    assert vars(model) == vars(kind(patch=7, stride=7) if kind is M.MaskedPatches else kind())
