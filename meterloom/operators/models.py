@@ -29,12 +29,12 @@ def _path_length(n: np.ndarray | float) -> np.ndarray:
 class IsolationForest:
     """Trees of random cuts; short paths are unusual."""
 
-    def __init__(self, trees: int = 200, sample: int | float = 256, seed: int = 0):
+    def __init__(self, trees: int = 200, sample: int | float | str = 256, seed: int = 0):
         self.trees, self.sample, self.seed = trees, sample, seed
 
     def fit(self, x: np.ndarray) -> "IsolationForest":
         rng = np.random.default_rng(self.seed)
-        m = int(self.sample * len(x)) if isinstance(self.sample, float) else self.sample
+        m = int(self.sample * len(x)) if isinstance(self.sample, float) else 256 if self.sample == "auto" else self.sample
         m = max(2, min(m, len(x)))
         self.limit, self.norm = int(np.ceil(np.log2(m))), float(_path_length(m))
         self.forest = [self._grow(x[rng.choice(len(x), m, False)], rng) for _ in range(self.trees)]
@@ -371,16 +371,24 @@ def score(df: DataFrame, detector, cols: list[str] = FEATURES, out: str = "s") -
     return df.mapInPandas(run, f"{schema}, `{out}` double").withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
-def tune(train: DataFrame, val: DataFrame, events: DataFrame, grid: list[Callable], cols: list[str] = FEATURES, window: int = 336, most: int = 50_000) -> tuple[int, list[float]]:
+def tune(train: DataFrame, val: DataFrame, events: DataFrame, grid: list[Callable], cols: list[str] = FEATURES, window: int = 336, most: int | None = 50_000, length: int = 14, stride: int = 7) -> tuple[int, list[float]]:
     """The index of the grid's detector with the best micro F1 on validation events (ties: the first), and
-    all objectives. The sample is drawn once; each detector is scored as one plan."""
+    all objectives. The sample (None: all rows) is drawn once; each detector is scored as one plan.
+    Networks over windows take windows of ``length`` every ``stride`` rows, the load first; validation
+    rows that no such window holds have no score and no flag."""
     from .evaluate import micro_f1
     from .windows import trailing_flags
 
     x = bounded_sample(train, cols, most)
     got = []
     for make in grid:
-        flags = trailing_flags(score(val, make().fit(x), cols), window=window)
+        model = make()
+        if isinstance(model, WindowModel):
+            s = score_windows(windows_of(val, cols, length, stride), fit_windows(windows_of(train, cols, length, stride), model, most)).withColumnRenamed("x", "s")
+            s = val.select("entity", "idx").join(s, ["entity", "idx"], "left")
+        else:
+            s = score(val, model.fit(x), cols)
+        flags = trailing_flags(s, window=window)
         row = micro_f1(flags, events).first()
         got.append(float(row["micro_f1"]) if row and row["micro_f1"] is not None else 0.0)
     return max(range(len(got)), key=lambda i: (got[i], -i)), got
@@ -388,7 +396,7 @@ def tune(train: DataFrame, val: DataFrame, events: DataFrame, grid: list[Callabl
 
 #: Grids that are searched on validation events.
 GRIDS: dict[str, list[Callable]] = {
-    "isolation forest": [lambda n=n, m=m: IsolationForest(n, m) for n in (100, 200, 400) for m in (256, 0.5)],
+    "isolation forest": [lambda n=n, m=m: IsolationForest(n, m) for n in (100, 200, 400) for m in ("auto", 256, 0.5)],
     "one-class svm": [lambda n=n, g=g: OneClassSVM(n, g) for n in (0.02, 0.05, 0.1) for g in ("scale", 0.2)],
     "autoencoder": [lambda h=h: Autoencoder(h) for h in ((32, 16, 32), (64, 32, 64))],
     "recurrent autoencoder": [lambda h=h: RecurrentAutoencoder(h) for h in (32, 64)],

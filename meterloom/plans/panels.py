@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The table, written once to the shared folder, for plans that read it many times."""
+    path = f"{shared_dir(spark)}/meterloom/panel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, idx, ts, x): hourly value sums by event type on a dense grid; null where nothing came."""
     e = table(spark, sf_dir, "events").select("event_type", "ts", "value")

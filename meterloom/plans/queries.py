@@ -16,7 +16,7 @@ from ..operators import stats as X
 from ..operators import waste as WS
 from ..operators import windows as W
 from . import panels
-from .panels import daily, hourly, injected, planted, table, test_span
+from .panels import daily, hourly, injected, planted, stored, table, test_span
 
 Q, SQL = {}, {}
 
@@ -1009,11 +1009,18 @@ def injection_draws(spark, sf_dir):
 
 @query
 def tuned_forest(spark, sf_dir):
-    """Micro F1 of a small grid of isolation forests on planted validation events."""
+    """Micro F1 of every configuration of the grids on planted validation events, and each detector's choice."""
     d = daily(spark, sf_dir)
     ev = planted(d).where("start + 40 < 340")
     rows = ev.select("entity", "add", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("span_idx"), F.lit("val").alias("span"))
     d = d.join(rows, ["entity", "span", "span_idx"], "left").withColumn("x", F.col("x") + F.coalesce("add", F.lit(0.0))).drop("add").withColumns(C.cyclic(F.col("ts")))
-    cols = ["x", "dow_sin", "dow_cos"]
-    best, got = M.tune(d.where("span = 'train'"), d.where("span = 'val'").drop("idx").withColumnRenamed("span_idx", "idx"), ev.drop("add"), [lambda n=n: M.IsolationForest(n) for n in (20, 40)], cols, 112, 2000)
-    return spark.createDataFrame([(n, v, i == best) for i, (n, v) in enumerate(zip((20, 40), got))], "trees int, micro_f1 double, chosen boolean")
+    d = P.scale(d.withColumns({"load": F.col("x"), "temp": C.climate_proxy(F.col("ts"), F.lit(40.0))}), ["load", "temp"])
+    d = stored(spark, d.withColumns({"load": F.col("z_load"), "temp": F.col("z_temp")}).drop("z_load", "z_temp"))
+    train, val = d.where("span = 'train'"), d.where("span = 'val'").drop("idx").withColumnRenamed("span_idx", "idx")
+    out = []
+    for name, grid in M.GRIDS.items():
+        best, got = M.tune(train, val, ev.drop("add"), grid, M.FEATURES, 112, None)
+        for i, (make, v) in enumerate(zip(grid, got)):
+            how = vars(make())
+            out.append((name, ", ".join(f"{k}={how[k]}" for k in ("trees", "sample", "nu", "gamma", "hidden") if k in how), v, i == best))
+    return spark.createDataFrame(out, "detector string, configuration string, micro_f1 double, chosen boolean")
