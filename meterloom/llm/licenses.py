@@ -7,17 +7,23 @@ than m minus that many it has at least one: a template is only compared around l
 *probes*, the words of its rarest such bigrams (by how many templates have them). Bigrams are multisets,
 so repeated phrases count as often as they occur.
 
+Where no stretch of lines has a licence, its templates are slid over the text by word, within lines
+that are together too long for the template (shorter ones have been judged whole): the best stretch
+begins and ends with a bigram of the template (leaving out others at its ends only raises Dice), so only
+those are tried.
+
 Normalisation: lower case (Unicode), everything but letters and digits (and the dot between digits)
 separates words. Placeholders of templates (in angle brackets) are left out. A text of one word has no
 bigram and no finding. Null texts have none either. Long texts are read whole; overlapping stretches
 of one template give the best one (then the first, then the shortest), and of different licences the
-better one; a text can have several licences in different lines.
+better one; a text can have several licences in different words.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -111,7 +117,7 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, dice, first line, last line), lines from 0: the best stretch of each licence,
-        unless a better one of another licence overlaps it (of equal ones, the first by name)."""
+        unless words of it are in a better one of another licence (of equal ones, the first by name)."""
         lower = text.lower()
         if self.probes.isdisjoint(lower.encode("utf-8", "surrogatepass").translate(_BLANKED).split()):
             return []
@@ -129,14 +135,43 @@ class Scanner:
             for i, j in spans:
                 d = dice(bigrams(flat[ends[i] : ends[j + 1]]), t.bigrams)
                 if d >= self.threshold:
-                    found = (-d, i, j)
+                    found = (-d, ends[i], ends[j + 1])
                     if t.license not in best or found < best[t.license]:
                         best[t.license] = found
+        by_line, words = set(best), set().union(*has)
+        for t in self.templates:
+            if t.license not in by_line and not t.probes.isdisjoint(words):
+                found = self._within(flat, ends, t)
+                if found and (t.license not in best or found < best[t.license]):
+                    best[t.license] = found
         out: list[tuple[str, float, int, int]] = []
         for (d, i, j), k in sorted((v, k) for k, v in best.items()):
-            if all(j < x[2] or i > x[3] for x in out):
+            if all(j <= x[2] or i >= x[3] for x in out):
                 out.append((k, -d, i, j))
-        return sorted(out)
+        return sorted((k, d, bisect_right(ends, i) - 1, bisect_right(ends, j - 1) - 1) for k, d, i, j in out)
+
+    def _within(self, words: list[str], ends: list[int], t: Template) -> tuple[float, int, int] | None:
+        """(-dice, first word, word after the last) of the best stretch of words whose lines are too long
+        for the template, if it reaches the threshold."""
+        pairs = list(zip(words, words[1:]))
+        hits = [k for k, g in enumerate(pairs) if g in t.bigrams]
+        m, best, end = len(t.words) - 1, None, 0
+        for a, i in enumerate(hits):
+            while end < len(hits) and hits[end] - i < t.high:
+                end += 1
+            if end - a < t.low:
+                continue
+            left, shared, line = dict(t.bigrams), 0, ends[bisect_right(ends, i) - 1]
+            for j in hits[a:end]:
+                if left[pairs[j]]:
+                    left[pairs[j]] -= 1
+                    shared += 1
+                n = j - i + 1
+                if n >= t.low and 2 * shared >= self.threshold * (n + m) - 1e-9:
+                    d = 2 * shared / (n + m)
+                    if d >= self.threshold and (best is None or (-d, i, j + 2) < best) and ends[bisect_right(ends, j + 1)] - line - 1 > t.high:
+                        best = (-d, i, j + 2)
+        return best
 
     @staticmethod
     def _around(k: int, ends: list[int], t: Template) -> Iterator[tuple[int, int]]:
