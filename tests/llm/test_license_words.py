@@ -30,3 +30,16 @@ def test_licences_within_a_line(spark):
         assert got[i + 2]["licenses"] == [k]
         assert got[i + 2]["dice"] == [pytest.approx(brute(licenses.words_of(texts[i + 2]), t))]
     assert got[len(texts) - 1]["licenses"] == ["MIT"] and got[len(texts) - 1]["lines"] == [[1, 1]]
+
+
+def test_each_text_gets_its_own_name(spark):
+    assert {"BSD-2-Clause", "GPL-2.0", "LGPL-3.0", "AGPL-3.0"} <= {k for k, ts in licenses.TEMPLATES.items() if len(ts) > 2}
+    texts = [(k, t) for k, ts in licenses.TEMPLATES.items() for t in ts]
+    head = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details."
+    for k, name, v in (("GPL-2.0", "General Public License", 2), ("LGPL-3.0", "Lesser General Public License", 3), ("AGPL-3.0", "Affero General Public License", 3), ("GPL-3.0", "General Public License", 3)):
+        texts.append((k, head.format(name, v, name)))
+    # a whole BSD text as distributions have it
+    with_names = next(t for t in licenses.TEMPLATES["BSD-3-Clause"] if t.endswith("SUCH DAMAGE.")).replace("the copyright holder nor", "the University nor")
+    texts.append(("BSD-3-Clause", with_names))
+    got = found(spark, [t for _, t in texts])
+    assert [got[i]["licenses"] for i in range(len(texts))] == [[k] for k, _ in texts]
