@@ -9,8 +9,8 @@ skipped, until small parts are multiplied. Candidates are taken in single precis
 decided by the cosine in double precision. Units return counts and spanning edges, never pairs.
 
 Equal vectors are one class, joined once however many there are. Vectors that are null, empty, zero, or
-hold null or non-finite components, and vectors of a length other than the longest, link with nothing
-and are components of their own. Rows with one vec_id are vectors like others; a null vec_id is
+hold null or non-finite components, link with nothing and are components of their own. Vectors link
+with those of their own length only; each length is joined by itself. Rows with one vec_id are vectors like others; a null vec_id is
 compared too, but is nobody's smallest id.
 """
 
@@ -42,9 +42,7 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     # -0.0 is 0.0
     v = F.when(ok, F.transform(v, lambda x: x + F.lit(0.0)))
     rows = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")), "vectors")
-    n = rows.agg(F.max(F.size("v"))).first()[0]
-    good = rows.where(F.size("v") == (n or 0))
-    classes = good.groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"))
+    classes = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"))
     # numbers of classes: a hash of the vector, settled against the rare clash by its components
     classes = classes.withColumn("key", F.xxhash64("v"))
     return rows, stored(classes, "vector-classes")
@@ -219,12 +217,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     (smallest vec_id reachable, itself included), kept (vec_id = component_id)."""
     rows, classes = classes_of(vectors)
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    if classes.isEmpty():
-        found = None
-    else:
-        mean, axes = axes_of(classes)
-        chunks = ordered(classes, mean, axes, eps)
-        found = stored(links(chunks, stored(interval_pairs(chunks, eps), "interval-pairs"), mean, axes, threshold), "vector-links")
+    found = None
+    for r in classes.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():
+        own = classes.where(F.size("v") == r["n"])
+        mean, axes = axes_of(own)
+        chunks = ordered(own, mean, axes, eps)
+        got = stored(links(chunks, stored(interval_pairs(chunks, eps), "interval-pairs"), mean, axes, threshold), "vector-links")
+        found = got if found is None else found.unionByName(got)
     info = classes.select("v", "key", "copies", "vec_id")
     if found is not None:
         comp = components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "key")
