@@ -67,6 +67,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(sizes: list[int], most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of neighbours whose sizes sum to at most ``most`` (one larger item is alone)."""
     start, total = 0, 0
