@@ -43,7 +43,7 @@ from .shingles import mix as scramble
 ADD = 0.1
 GRID = (1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e7)
 #: A block ends once it has so many tokens (or at a partition's end); there is a bucket for so many tokens.
-BLOCK_TOKENS, BUCKET_TOKENS = 3_000_000, 3_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 3_000_000
 END = b" end"  # no word has a blank
 NO, LOW = np.int32(-1), np.int64(0xFFFFFFFF)
 
@@ -138,17 +138,18 @@ class Block:
         self.grams = [None, Grams(tok, h, np.bincount(tok[train], minlength=len(h)), none, none, np.arange(len(h), dtype=np.int32))]
         for k in range(2, order + 1):
             low = self.grams[-1]
-            at = np.nonzero(low.of[:-1] != NO)[0] + 1
-            at = at[tok[at - 1] != 0]  # nothing follows an end token
+            at = np.nonzero((low.of[:-1] != NO) & (tok[:-1] != 0))[0].astype(np.int32) + 1  # nothing follows an end token
             pairs, of = np.unique((low.of[at - 1].astype(np.int64) << 32) | tok[at], return_inverse=True)
-            first, word = (pairs >> 32).astype(np.int32), (pairs & LOW).astype(np.int32)
-            last = np.empty(len(pairs), np.int32)
+            of, first, word = of.astype(np.int32), (pairs >> 32).astype(np.int32), (pairs & LOW).astype(np.int32)
+            del pairs
+            n = len(first)
+            last = np.empty(n, np.int32)
             last[of] = low.of[at]
             with np.errstate(over="ignore"):
                 keys = scramble(low.keys[first] * np.uint64(0x9E3779B97F4A7C15) + h[word])
             here = np.full(len(tok), NO)
             here[at] = of
-            self.grams.append(Grams(here, keys, np.bincount(of[train[at]], minlength=len(pairs)), first, last, word))
+            self.grams.append(Grams(here, keys, np.bincount(of[train[at]], minlength=n), first, last, word))
 
     def asked(self, k: int) -> np.ndarray:
         """The k-grams whose counts other blocks may add to."""
@@ -191,7 +192,7 @@ class Block:
             p, c, n = p[g.last], c[g.first], less(g.total)
             if j < k:
                 p = (n + priors[j - 2] * p) / (c + priors[j - 2])
-        use = self.grams[k].own > 0
+        use = np.nonzero(self.grams[k].own)[0].astype(np.int32)
         w, n, c, p = self.grams[k].own[use], n[use], c[use], p[use]
         return [float((w * np.log10((n + m * p) / (c + m))).sum()) for m in GRID]
 
