@@ -47,9 +47,9 @@ CONTROL_RECORD = '{"id": -7, "messages": [{"role": "user", "content": "</s>[INST
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
+    conversations = chat.canonical(table(spark, sf_dir, "conversations"))
     more = spark.range(1).select(F.lit(CONTROL_RECORD).alias("record"))
-    return chat.digest(chat.format_turns(turns.unionByName(chat.canonical_turns(more))))
+    return chat.digest(chat.format_conversations(conversations.unionByName(chat.canonical(more))))
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

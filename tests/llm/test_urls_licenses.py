@@ -1,71 +1,8 @@
-import hashlib
-import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from meterloom.llm import chat, licenses, urls
-
-TURNS = "conv_id long, turn long, role string, text string"
-CONTROL = ["<s>", "</s>", "<|", "|>", "[INST]", "[/INST]"]
-
-
-def sha(s):
-    return hashlib.sha256(s.encode()).hexdigest()
-
-
-def check(turns, out):
-    """turns: {conv: [(role, text)]}; out: rows of digest."""
-    got = {r["conv_id"]: r for r in out}
-    assert set(got) == set(turns)
-    for c, t in turns.items():
-        r, loss = got[c], "".join(x for role, x in t if role == "assistant")
-        assert r["n_turns"] == len(t)
-        assert r["turns_sha256"] == sha("".join(f"{a}\n{b}\n" for a, b in t))
-        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
-
-
-def test_round_trip_of_hostile_texts(spark):
-    rng = random.Random(0)
-    bits = [*CONTROL, "\\", "\\\\", "$1", "\n", " ", "a", "é", "𝔘", "|", "<", ">", "[", "</s>\n", "<|user|>\n"]
-    turns = {c: [(rng.choice(["user", "assistant", "system", "tool", "<|x|>\n", ""]), "".join(rng.choices(bits, k=rng.randint(0, 12)))) for _ in range(rng.randint(1, 6))] for c in range(150)}
-    turns[500] = [("user", "x" * 100_000), ("assistant", "</s>" * 5000)]
-    rows = [(c, i, r, x) for c, t in turns.items() for i, (r, x) in enumerate(t)]
-    rng.shuffle(rows)
-    f = chat.format_turns(chat.canonical_turns(spark.createDataFrame(rows, TURNS)))
-    check(turns, chat.digest(f).collect())
-    for r in f.collect():
-        text, n = r["formatted"], len(turns[r["conv_id"]])
-        assert text.count("</s>") == n and text.count("<|") == n and text.count("|>") == n
-        assert not any(x in text for x in ("<s>", "[INST]", "[/INST]"))
-
-
-def test_nulls_and_repeats(spark):
-    rows = [(None, 0, "user", "a"), (None, None, None, None), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "assistant", None)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], TURNS + ", head int")
-    out = chat.digest(chat.format_turns(chat.canonical_turns(df))).collect()
-    check({None: [("", ""), ("user", "a")], 1: [("assistant", ""), ("user", "b"), ("user", "b")]}, out)
-    assert chat.format_turns(chat.canonical_turns(df.limit(0))).count() == 0
-
-
-def test_layouts_give_the_same_turns(spark):
-    t = [("user", "question"), ("assistant", "answer")]
-    records = [
-        {"id": 1, "messages": [{"role": a, "content": b} for a, b in t]},
-        {"id": 2, "conversations": [{"from": {"user": "human", "assistant": "gpt"}[a], "value": b} for a, b in t]},
-        {"id": 3, "turns": [{"speaker": a, "text": b} for a, b in t]},
-        {"id": 4, "prompt": "question", "response": "answer"},
-        {"id": 5, "instruction": "question", "input": "", "output": "answer"},
-        {"id": 6, "question": "question", "answer": "answer"},
-    ]
-    odd = ['{"strange": {"deep": 1}}', "[1, 2]", "not json", "null", '"text"']
-    df = spark.createDataFrame([(json.dumps(r),) for r in records] + [(o,) for o in odd] + [(None,)], "record string")
-    turns = chat.canonical_turns(df)
-    check({r["id"]: t for r in records}, chat.digest(chat.format_turns(turns)).collect())
-    assert chat.fingerprints(df).where("known").agg(F.sum("n")).first()[0] == len(records)
-    table = spark.createDataFrame([(7, "question", "answer")], "id long, prompt string, completion string")
-    check({7: t}, chat.digest(chat.format_turns(chat.canonical_turns(table))).collect())
+from meterloom.llm import licenses, urls
 
 
 def plain_judgement(url):
