@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these (space, \t, \n, \v, \f, \r).
@@ -67,6 +67,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
+#: Bits of a sieve for each key, and its most bits (64 MB).
+SIEVE_BITS, MOST_BITS = 16, 1 << 29
+_PAGE = 1 << 15
+
+
+def sieve(keys: DataFrame) -> tuple[DataFrame, int]:
+    """A bitmap of the 64-bit hashes in the column ``key`` of a stored table, as pages to broadcast, and its
+    number of bits: 16 for each key, 2**29 (64 MB) at most. Many more keys than that only make it let more through."""
+    bits = 1 << 18
+    while bits < min(SIEVE_BITS * keys.count(), MOST_BITS):
+        bits *= 2
+    at = F.pmod("key", F.lit(bits))
+    pages = keys.select(F.floor(at / _PAGE).alias("__page"), (at % _PAGE).alias("bit"))
+    return stored(pages.groupBy("__page").agg(F.bitmap_construct_agg("bit").alias("__bits")), "sieve"), bits
+
+
+def sifted(df: DataFrame, key: Column, through: tuple[DataFrame, int], inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose key is in the sieve (with a few others), or those whose key certainly isn't."""
+    pages, bits = through
+    names, (tmp, page, own) = df.columns, (fresh(df, c) for c in ("__at", "__page", "__bits"))
+    at = F.col(tmp) % _PAGE
+    pages = F.broadcast(pages.select(F.col("__page").alias(page), F.col("__bits").alias(own)))
+    joined = df.withColumn(tmp, F.pmod(key, F.lit(bits))).join(pages, F.floor(F.col(tmp) / _PAGE) == F.col(page), "left")
+    byte = F.conv(F.hex(F.substring(F.col(own), (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    has = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return joined.where(has if inside else ~has).select(*[F.col(f"`{c}`") for c in names])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores after it until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

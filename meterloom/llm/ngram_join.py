@@ -7,7 +7,8 @@ are one (their members' hashes are summed to tell), so two near copies that shar
 once. A bucket of many or long members is cut into blocks, each pair of blocks a unit of its own of
 bounded size: no bucket has to fit in one task, and no member or pair is dropped. A pair that
 several units hold is counted in the one with the smallest common bucket. Units give sums and
-spanning edges, never lists of pairs.
+spanning edges, never lists of pairs. Of the corpus' texts, only one for each class with candidates is
+shuffled: a bitmap of bounded size sifts the documents first, where they are read.
 
 Shingles: five whitespace-separated words (space, \\t, \\n, \\v, \\f, \\r), case kept; a text of 1 to 4
 words is one shingle; a null text, or one without words, has no shingle and links with nothing.
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, null_safe, pieces, small, stored
+from .common import components, fresh, null_safe, sieve, sifted, stored
 from .shingles import MinHash, Words, bands_for, shingle_set
 
 #: A unit holds up to twice so many classes, and twice so many shingles.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def signatures(docs: DataFrame, threshold: float, recall: float, n: int) -> DataFrame:
@@ -177,16 +178,19 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, n
     """(signature rows, classes): per class cls, copies, class_id (smallest doc_id of its rows),
     links (documents of other classes that are linked directly) and component (a cls)."""
     rows = stored(signatures(docs, threshold, recall, n), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     classes = rows.where("cls is not null").groupBy("cls").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
+        F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min(row).alias("row"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
     )
     classes = stored(classes, "classes")
     units = _candidates(classes)
-    # one text for each class that has a candidate: found by its hash, then by its class
-    wanted = stored(units.select("cls").distinct().join(classes.select("cls", "copies", "text_hash"), "cls"), "wanted")
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    # always a merge join: what is shuffled then follows the input, and tables of any size do
-    texts = texts.join(wanted.hint("merge"), "text_hash").groupBy("cls", "copies").agg(F.first("text").alias("text"))
+    # the text of one row for each class that has a candidate
+    wanted = units.select("cls").distinct().join(classes, "cls").select("cls", "copies", F.col("row.doc_id").alias("row_id"), F.col("row.text_hash").alias("row_hash"))
+    wanted = stored(wanted, "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = sifted(texts, F.xxhash64("doc_id", "text_hash"), sieve(wanted.select(F.xxhash64("row_id", "row_hash").alias("key"))))
+    # a merge join: there may be any number of candidates, and all have texts
+    texts = null_safe(texts, wanted.hint("merge"), {"doc_id": "row_id", "text_hash": "row_hash"}, "inner").groupBy("cls", "copies").agg(F.first("text").alias("text"))
     found = stored(verified(units, texts, threshold, n), "found")
     comp = components(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
@@ -213,18 +217,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, n: int = 5) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null last), then text
-    hash. Rows without words stay. All columns are kept."""
+    hash. Rows without words stay. All columns, whatever their names, are kept. Rows of components of
+    their own stay where they are read; only the others are shuffled."""
     rows, classes = ngram_join(docs, threshold, recall, n)
-    part = rows.where("cls is not null").groupBy("cls", "doc_id", "text_hash").agg(F.count("*").alias("times"))
-    part = stored(part, "distinct").join(classes.select("cls", "component"), "cls")
-    first = part.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "times")).alias("x"))
-    keep = stored(first.select(F.col("x.doc_id").alias("__nj_id"), F.col("x.text_hash").alias("__nj_hash"), F.col("x.times").alias("__nj_times")), "keep")
-    empty = rows.where("cls is null").select(F.col("doc_id").alias("__nj_id"), F.col("text_hash").alias("__nj_hash"), F.lit(1).cast("long").alias("__nj_times")).distinct()
-    keep = keep.unionByName(empty)
-    tagged = docs.withColumn("__nj_h", F.xxhash64("text"))
-    kept = null_safe(tagged, keep.hint("merge"), {"doc_id": "__nj_id", "__nj_h": "__nj_hash"}, "inner")
-    once = kept.where("__nj_times = 1").select(*[kept[c] for c in docs.columns])
-    many = kept.where("__nj_times > 1")
-    if keep.where("__nj_times > 1").isEmpty():
-        return once
-    return once.unionByName(many.dropDuplicates(["doc_id", "__nj_h"]).select(*docs.columns))
+    part = rows.where("cls is not null").groupBy("cls", "doc_id", "text_hash").agg(F.count("*").alias("times")).join(classes.select("cls", "component"), "cls")
+    part = stored(part.select("component", "doc_id", "text_hash", "times"), "rows")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    groups = stored(part.groupBy("component").agg(F.sum("times").alias("n"), F.min(row).alias("row")).where("n > 1"), "groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_hash") == F.col("row.text_hash"))
+    new = {c: fresh(docs, f"__nj_{c}") for c in ("doc_id", "text_hash", "stays", "times", "i", "h")}
+    judged = part.join(groups, "component").withColumn("stays", stays)
+    judged = stored(judged.select(*[F.col(c).alias(new[c]) for c in ("doc_id", "text_hash", "stays", "times")]), "judged")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    through = sieve(judged.select(F.xxhash64(new["doc_id"], new["text_hash"]).alias("key")))
+    alone = sifted(docs, key, through, inside=False)
+    met = sifted(docs, key, through).withColumns({new["i"]: F.col("doc_id").cast("long"), new["h"]: F.xxhash64("text")})
+    met = null_safe(met, judged.hint("merge"), {new["i"]: new["doc_id"], new["h"]: new["text_hash"]}, "left").where(F.coalesce(F.col(new["stays"]), F.lit(True)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = alone.unionByName(met.where(F.coalesce(F.col(new["times"]), F.lit(1)) == 1).select(*names))
+    if judged.where(F.col(new["stays"]) & (F.col(new["times"]) > 1)).isEmpty():
+        return out
+    return out.unionByName(met.where(F.col(new["times"]) > 1).dropDuplicates([new["i"], new["h"]]).select(*names))

@@ -79,6 +79,25 @@ def test_drop_keeps_one_of_each_group(spark):
     assert [t for i, t in kept if i is None] == ["only one with no id at all"]
 
 
+def test_drop_passes_columns_of_any_name(spark):
+    docs = [(1, "a b c d e f g", 1, 2, 3), (2, "a b c d e f g", 4, 5, 6), (3, None, 7, 8, 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, `a.b` int, __nj_h int, __page int")
+    out = N.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r[0] for r in out.collect()) == [1, 3]
+    assert {tuple(r) for r in out.collect()} == {docs[0], docs[2]}
+
+
+def test_sieve_lets_all_its_keys_through_and_few_others(spark):
+    from meterloom.llm.common import sieve, sifted
+
+    keys = spark.range(3000).select((F.xxhash64("id")).alias("key"))
+    through = sieve(keys)
+    df = spark.range(20_000).withColumn("__at", F.lit(1))
+    inside = {r[0] for r in sifted(df, F.xxhash64("id"), through).collect()}
+    outside = {r[0] for r in sifted(df, F.xxhash64("id"), through, inside=False).collect()}
+    assert inside >= set(range(3000)) and len(inside) < 3600 and inside | outside == set(range(20_000)) and not inside & outside
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(df).count() == 0
