@@ -8,6 +8,9 @@ never joined; others are a unit: the two intervals are halved again and again, p
 skipped, until small parts are multiplied. Candidates are taken in single precision with a margin and
 decided by the cosine in double precision. Units return counts and spanning edges, never pairs.
 
+An interval is sent once to each interval that it must meet, so what is shuffled is rows times intervals:
+intervals are as long as keeps all cores busy, up to 32 MB; vectors travel in the type that they came in.
+
 Equal vectors are one class, joined once however many there are. Vectors that are null, empty, zero, or
 hold null or non-finite components, link with nothing and are components of their own. Vectors link
 with those of their own length only; each length is joined by itself. Rows with one vec_id are vectors like others; a null vec_id is
@@ -25,7 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import components, small, stored
 
-INTERVAL, CHUNK, LEAF, LEADING = 8192, 1024, 256, 12
+CHUNK, LEAF, LEADING = 1024, 256, 12
+#: An interval has at least so many vectors, and at most so many bytes (of double precision).
+LEAST, MOST_BYTES = 4096, 32 << 20
+#: Interval boxes that share a cell are compared in groups of about so many.
+GROUP = 256
 MARGIN = 1e-4
 
 
@@ -35,17 +42,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """The vectors of a column of lists, none of them null, all of one length."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: vec_id, key; classes: key, copies, vec_id, v) of the vectors that can link."""
-    v = F.col("embedding").cast("array<double>")
+    """(rows: vec_id, v; classes: v, copies, vec_id, key) of the vectors that can link. Components keep
+    single precision if that is their type, else they become double."""
+    element = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    v = F.col("embedding").cast(f"array<{element}>")
     ok = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     # -0.0 is 0.0
-    v = F.when(ok, F.transform(v, lambda x: x + F.lit(0.0)))
+    v = F.when(ok, F.transform(v, lambda x: x + F.lit(0.0).cast(element)))
     rows = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")), "vectors")
     classes = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"))
-    # numbers of classes: a hash of the vector, settled against the rare clash by its components
-    classes = classes.withColumn("key", F.xxhash64("v"))
-    return rows, stored(classes, "vector-classes")
+    # any distinct numbers will do, and once stored they stay
+    return rows, stored(classes.withColumn("key", F.monotonically_increasing_id()), "vector-classes")
 
 
 def axes_of(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +68,7 @@ def axes_of(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total = None
         for b in batches:
             if b.num_rows:
-                x = _unit(np.array(b.column(0).to_pylist()))
+                x = _unit(_matrix(b.column(0)))
                 part = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
                 total = part if total is None else total + part
         if total is not None:
@@ -68,24 +81,31 @@ def axes_of(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.linalg.eigh(s[d + 1 :].reshape(d, d) / s[0] - np.outer(mean, mean))[1][:, ::-1]
 
 
+def interval_length(n: int, dims: int, cores: int) -> int:
+    """Vectors of an interval: a few units for each core if there are enough vectors, 32 MB at most."""
+    most = max(CHUNK, MOST_BYTES // (8 * dims))
+    return max(CHUNK, min(most, max(LEAST, int(n / (2 * max(1, cores) ** 0.5)))) // CHUNK * CHUNK)
+
+
 def ordered(classes: DataFrame, mean: np.ndarray, axes: np.ndarray, eps: float) -> DataFrame:
     """Chunks of the grid order: interval, chunk, keys, copies and vectors (as bytes), and the box of
     the chunk on the leading axes."""
     k = min(LEADING, axes.shape[1])
+    kind = np.dtype(np.float32 if classes.schema["v"].dataType.simpleString() == "array<float>" else np.float64)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _unit(np.array(b.column("v").to_pylist()))
-                p = (x - mean) @ axes[:, :k]
-                c = np.floor(p / eps).astype(np.int32)
+                x = _matrix(b.column("v"))
+                c = np.floor((_unit(x) - mean) @ axes[:, :k] / eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("key"), b.column("copies"), pa.array(c.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "copies", "cell", "x"]
+                    [b.column("key"), b.column("copies"), pa.array(c.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], names=["key", "copies", "cell", "x"]
                 )
 
     placed = stored(classes.select("key", "copies", "v").mapInArrow(cells, "key long, copies long, cell array<int>, x binary"), "cells")
     n = placed.count()
-    parts = max(1, -(-n // INTERVAL))
+    length = interval_length(n, len(mean), classes.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, -(-n // length))
     # the key breaks ties, so a cell that many are in is cut like any other stretch
     line = placed.repartitionByRange(parts, "cell", "key").sortWithinPartitions("cell", "key").withColumn("part", F.spark_partition_id())
 
@@ -94,10 +114,10 @@ def ordered(classes: DataFrame, mean: np.ndarray, axes: np.ndarray, eps: float)
         number = 0
 
         def chunk(rows):
-            x = np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), -1)
-            p = (x - mean) @ axes[:, :k]
+            x = np.frombuffer(b"".join(r[2] for r in rows), kind).reshape(len(rows), -1)
+            p = (_unit(x) - mean) @ axes[:, :k]
             return {
-                "interval": rows[0][3] * 1_000_000 + number // (INTERVAL // CHUNK),
+                "interval": rows[0][3] * 1_000_000 + number // (length // CHUNK),
                 "chunk": number,
                 "n": len(rows),
                 "keys": np.array([r[0] for r in rows], np.int64).tobytes(),
@@ -122,17 +142,20 @@ def ordered(classes: DataFrame, mean: np.ndarray, axes: np.ndarray, eps: float)
 
 def interval_pairs(chunks: DataFrame, eps: float) -> DataFrame:
     """(i, j), i <= j: the intervals whose boxes are at most eps apart. Boxes are matched by the first
-    axis' cells that they reach (an interval of the order has few), then compared on all axes."""
+    axis' cells that they reach (an interval of the order has few), then compared on all axes. A cell's
+    boxes are dealt into groups on one side, so a cell that most intervals reach is many keys."""
     box = chunks.select("interval", F.posexplode(F.arrays_zip("lo", "hi"))).groupBy("interval", "pos").agg(F.min("col.lo").alias("lo"), F.max("col.hi").alias("hi"))
     box = box.groupBy("interval").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "hi"))).alias("box"))
     box = stored(box, "boxes")
+    groups = max(1, -(-box.count() // GROUP))
     first = lambda side: F.floor(F.element_at("box", 1)[side] / eps)
-    left = box.select(F.col("interval").alias("i"), F.col("box").alias("bi"), F.explode(F.sequence(first("lo") - 1, first("hi") + 1)).alias("cell"))
+    left = box.select(F.col("interval").alias("i"), F.col("box").alias("bi"), F.pmod(F.xxhash64("interval"), F.lit(groups)).alias("grp"), F.explode(F.sequence(first("lo") - 1, first("hi") + 1)).alias("cell"))
     right = box.select(F.col("interval").alias("j"), F.col("box").alias("bj"), F.explode(F.sequence(first("lo"), first("hi"))).alias("cell"))
+    right = right.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     apart = F.aggregate(
         F.zip_with("bi", "bj", lambda a, b: F.greatest(F.lit(0.0), a["lo"] - b["hi"], b["lo"] - a["hi"])), F.lit(0.0), lambda acc, x: acc + x * x
     )
-    return left.join(right, "cell").where((F.col("i") <= F.col("j")) & (apart <= eps * eps + 1e-9)).select("i", "j").distinct()
+    return left.join(right, ["cell", "grp"]).where((F.col("i") <= F.col("j")) & (apart <= eps * eps + 1e-9)).select("i", "j").distinct()
 
 
 def _far(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
@@ -185,6 +208,7 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 def links(chunks: DataFrame, pairs: DataFrame, mean: np.ndarray, axes: np.ndarray, t: float) -> DataFrame:
     """(key, links, root) of vectors with links, for each unit."""
     lead = axes[:, : min(LEADING, axes.shape[1])]
+    dims = len(mean)
     unit = F.xxhash64("i", "j").alias("unit")
     sides = pairs.select(unit, F.col("i").alias("interval"), F.when(F.col("i") == F.col("j"), 2).otherwise(0).alias("side"))
     sides = sides.unionByName(pairs.where("i < j").select(unit, F.col("j").alias("interval"), F.lit(1).alias("side")))
@@ -196,7 +220,8 @@ def links(chunks: DataFrame, pairs: DataFrame, mean: np.ndarray, axes: np.ndarra
         for side in ((0, 1) if r[0][0] < 2 else (2,)):
             own = [q for q in r if q[0] == side]
             ks, cs = (np.concatenate([np.frombuffer(q[c], np.int64) for q in own]) for c in (2, 3))
-            part.append((ks, cs, np.frombuffer(b"".join(q[4] for q in own), np.float64).reshape(len(ks), -1)))
+            raw = b"".join(q[4] for q in own)
+            part.append((ks, cs, _unit(np.frombuffer(raw, np.float32 if len(raw) == 4 * dims * len(ks) else np.float64).reshape(len(ks), dims))))
         a, b = part[0], part[-1]
         same = len(part) == 1
         pa_, pb = (a[2] - mean) @ lead, (b[2] - mean) @ lead

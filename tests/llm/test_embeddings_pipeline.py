@@ -36,9 +36,9 @@ def truth(x, t=0.9):
     return link.sum(1), lab
 
 
-@pytest.mark.parametrize("sizes", [(8192, 1024, 256), (64, 16, 8)])
+@pytest.mark.parametrize("sizes", [(4096, 1024, 256, 256, 32 << 20), (64, 16, 8, 2, 8192)])
 def test_links_equal_brute_force(spark, monkeypatch, sizes):
-    for k, v in zip(("INTERVAL", "CHUNK", "LEAF"), sizes):
+    for k, v in zip(("LEAST", "CHUNK", "LEAF", "GROUP", "MOST_BYTES"), sizes):
         monkeypatch.setattr(E, k, v)
     x = vectors()
     df = spark.createDataFrame([(i, v, 0, "k") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, key string")
@@ -49,6 +49,20 @@ def test_links_equal_brute_force(spark, monkeypatch, sizes):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i], lab[i], lab[i] == i)
 
 
+def test_single_precision_vectors_are_compared_in_double(spark):
+    x = [np.float32(v).tolist() if v else v for v in vectors(5, 200) if not v or all(c is None or abs(c) < 1e20 for c in v)]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in E.near_vectors(df).collect()}
+    links, lab = truth(x)
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == list(zip(links, lab))
+
+
+def test_intervals_keep_cores_busy_and_memory_bounded():
+    assert E.interval_length(1000, 64, 8) == 4096 and E.interval_length(10**9, 64, 8) == 65536 and E.interval_length(10**9, 1024, 8) == 4096
+    n = 100_000
+    assert (n / E.interval_length(n, 64, 8)) ** 2 / 2 >= 8
+
+
 def test_empty_and_unusable(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert E.near_vectors(df).count() == 0
