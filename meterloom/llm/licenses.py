@@ -7,6 +7,9 @@ than m minus that many it has at least one: a template is only compared around l
 *probes*, the words of its rarest such bigrams (by how many templates have them). Bigrams are multisets,
 so repeated phrases count as often as they occur.
 
+Versions and variants decide between siblings: a stretch that names none of the template's version numbers,
+or not just its variant words (Lesser, Affero; NonCommercial, ShareAlike, NoDerivatives), isn't that licence.
+
 Where no stretch of lines has a licence, its templates are slid over the text by word, within lines
 that are together too long for the template (shorter ones have been judged whole): the best stretch
 begins and ends with a bigram of the template (leaving out others at its ends only raises Dice), so only
@@ -16,16 +19,19 @@ Normalisation: lower case (Unicode), everything but letters and digits (and the
 separates words. Placeholders of templates (in angle brackets) are left out. A text of one word has no
 bigram and no finding. Null texts have none either. Long texts are read whole; overlapping stretches
 of one template give the best one (then the first, then the shortest), and of different licences the
-better one; a text can have several licences in different words.
+better one; a text can have several licences in different words. A stretch grows word by word with a
+count of what it shares, so the work is linear in the text (times the longest template). Repeated rows are
+scanned alike, columns other than doc_id and text don't matter, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,6 +101,41 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
+# Names of licence families and their versions; texts that siblings have but for these.
+GNU = {"GPL": ("General Public License", ("1.0", "2.0", "3.0")), "LGPL": ("Lesser General Public License", ("2.1", "3.0")), "AGPL": ("Affero General Public License", ("3.0",))}
+GNU_DATES = {"GPL-1.0": "February 1989", "GPL-2.0": "June 1991", "GPL-3.0": "29 June 2007", "LGPL-2.1": "February 1999", "LGPL-3.0": "29 June 2007", "AGPL-3.0": "19 November 2007"}
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+MORE: dict[str, tuple[str, ...]] = {
+    "Apache-1.0": ("Licensed under the Apache License, Version 1.0.",),
+    "Apache-1.1": ("Licensed under the Apache License, Version 1.1.",),
+    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",),
+    "MPL-1.1": ("Licensed under the Mozilla Public License, version 1.1.", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"),
+    "MPL-2.0": ("Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",),
+    "EPL-1.0": ("Licensed under the Eclipse Public License, version 1.0.",),
+    "EPL-2.0": ("Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+}
+
+
+def siblings() -> dict[str, tuple[str, ...]]:
+    """Notices of the other versions and variants of the families above, and how their whole texts begin."""
+    out = {k: list(v) for k, v in MORE.items()}
+    for family, (name, versions) in GNU.items():
+        for v in versions:
+            number, key = v.removesuffix(".0"), f"{family}-{v}"
+            header = TEMPLATES[f"{family}-3.0"][0].replace("version 3 of the License", f"version {number} of the License")
+            begins = f"GNU {name} Version {number}, {GNU_DATES[key]}"
+            out[key] = [f"This work is licensed under the GNU {name}, version {number}.", f"Licensed under the GNU {name}, version {number}.", header, begins]
+    for short, name in CC.items():
+        for v, scope in CC_VERSIONS.items():
+            out[f"CC-{short}-{v}"] = [f"This work is licensed under a Creative Commons {name} {v} {scope} License.", f"Licensed under CC {short} {v}."]
+    return {k: tuple(t for t in v if t not in TEMPLATES.get(k, ())) for k, v in out.items()}
+
+
+TEMPLATES = {k: (*TEMPLATES.get(k, ()), *siblings().get(k, ())) for k in sorted({*TEMPLATES, *siblings()})}
+#: Words that tell variants of a family apart, by how the licence's name begins.
+VARIANTS = {"CC-": {"noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd", "non", "share", "no"}, "GPL": {"lesser", "affero"}, "LGPL": {"lesser", "affero"}, "AGPL": {"lesser", "affero"}}
+
 _WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
 
 # Bytes other than ASCII letters and digits become spaces.
@@ -114,10 +155,19 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum((a & b).values()) / n if n else 0.0
 
 
+def versions(words: list[str]) -> set[str]:
+    """The version numbers that words name, without their ``.0``: dotted ones, and whole ones after
+    "version" or before "clause"."""
+    near = zip(words, ["", *words], [*words[1:], ""])
+    return {w.removesuffix(".0") for w, before, after in near if w[0].isdigit() and ("." in w or before in ("version", "v") or after == "clause")}
+
+
 class Template:
     def __init__(self, license: str, text: str, threshold: float, often: Counter):
         words = words_of(re.sub(r"<[^>]*>", " ", text))
         self.license, self.words, self.bigrams = license, words, bigrams(words)
+        self.apart = next((v for k, v in VARIANTS.items() if license.startswith(k)), set())
+        self.versions, self.variants = versions(words), self.apart.intersection(words)
         m = len(words) - 1
         self.low, self.high = math.ceil(threshold * m / (2 - threshold) - 1e-9), math.floor((2 - threshold) * m / threshold + 1e-9)
         # more of the rarest bigrams than a stretch can be without
@@ -129,6 +179,11 @@ class Template:
             self.probes.add(min((w for w in g if "." not in w), key=lambda w: (often[w], -len(w), w)))
 
 
+    def fits(self, words: list[str]) -> bool:
+        """Whether words have a version of the template's, and its variant words only."""
+        return (not self.versions or not self.versions.isdisjoint(versions(words))) and self.apart.intersection(words) == self.variants
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
         often = Counter(w for texts in templates.values() for t in texts for w in set(words_of(t)))
@@ -137,6 +192,10 @@ class Scanner:
         self.threshold = threshold
         self.templates = [Template(k, t, threshold, often) for k, texts in templates.items() for t in texts]
         self.probes = {w.encode() for t in self.templates for w in t.probes}
+        self.index: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, t in enumerate(self.templates):
+            for g in t.bigrams:
+                self.index[g].append(i)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, dice, first line, last line), lines from 0: the best stretch of each licence,
@@ -145,71 +204,68 @@ class Scanner:
         if self.probes.isdisjoint(lower.encode("utf-8", "surrogatepass").translate(_BLANKED).split()):
             return []
         lines = [_WORD.findall(x) for x in lower.split("\n")]
-        has = [set(x) for x in lines]
         ends = [0]
         for x in lines:
             ends.append(ends[-1] + len(x))
         flat = [w for x in lines for w in x]
+        pairs, words = list(zip(flat, flat[1:])), set(flat)
+        hits: dict[int, list[int]] = defaultdict(list)
+        for k, g in enumerate(pairs):
+            for i in self.index.get(g, ()):
+                hits[i].append(k)
+        near = [(t, hits[i]) for i, t in enumerate(self.templates) if len(hits.get(i, ())) >= t.low and not t.probes.isdisjoint(words)]
         best: dict[str, tuple] = {}
-        for t in self.templates:
-            spans = {(i, j) for k in range(len(lines)) if lines[k] and not t.probes.isdisjoint(has[k]) for i, j in self._around(k, ends, t)}
-            if spans and t.low <= ends[-1] - 1 <= t.high:
-                spans.add((0, len(lines) - 1))
-            for i, j in spans:
-                d = dice(bigrams(flat[ends[i] : ends[j + 1]]), t.bigrams)
-                if d >= self.threshold:
-                    found = (-d, ends[i], ends[j + 1])
-                    if t.license not in best or found < best[t.license]:
+        for by_line in (True, False):
+            before = set(best)
+            for t, at in near:
+                if by_line or t.license not in before:
+                    found = self._best(flat, pairs, ends, t, at, by_line)
+                    if found and (t.license not in best or found < best[t.license]):
                         best[t.license] = found
-        by_line, words = set(best), set().union(*has)
-        for t in self.templates:
-            if t.license not in by_line and not t.probes.isdisjoint(words):
-                found = self._within(flat, ends, t)
-                if found and (t.license not in best or found < best[t.license]):
-                    best[t.license] = found
         out: list[tuple[str, float, int, int]] = []
         for (d, i, j), k in sorted((v, k) for k, v in best.items()):
             if all(j <= x[2] or i >= x[3] for x in out):
                 out.append((k, -d, i, j))
         return sorted((k, d, bisect_right(ends, i) - 1, bisect_right(ends, j - 1) - 1) for k, d, i, j in out)
 
-    def _within(self, words: list[str], ends: list[int], t: Template) -> tuple[float, int, int] | None:
-        """(-dice, first word, word after the last) of the best stretch of words whose lines are too long
-        for the template, if it reaches the threshold."""
-        pairs = list(zip(words, words[1:]))
-        hits = [k for k, g in enumerate(pairs) if g in t.bigrams]
-        m, best, end = len(t.words) - 1, None, 0
-        for a, i in enumerate(hits):
-            while end < len(hits) and hits[end] - i < t.high:
-                end += 1
-            if end - a < t.low:
+    def _best(self, words: list[str], pairs: list[tuple[str, str]], ends: list[int], t: Template, hits: list[int], by_line: bool) -> tuple[float, int, int] | None:
+        """(-dice, first word, word after the last) of the best stretch of lines, or of words whose lines
+        are too long for the template, if one reaches the threshold. ``hits``: where the template's bigrams
+        are. Leaving out words (or lines) at either end that have none of them only raises Dice, so
+        stretches begin and end with one."""
+        m, best, last = len(t.words) - 1, None, -1
+        for a, k in enumerate(hits):
+            line = bisect_right(ends, k) - 1
+            start = ends[line] if by_line else k
+            if by_line and start == last:
+                continue
+            last = start
+            # at most t.high bigrams, at least t.low of them the template's
+            until = bisect_left(hits, start + t.high, a)
+            if until - a < t.low:
                 continue
-            left, shared, line = dict(t.bigrams), 0, ends[bisect_right(ends, i) - 1]
-            for j in hits[a:end]:
+            left, shared = dict(t.bigrams), 0
+            for b in range(a, until):
+                j = hits[b]
                 if left[pairs[j]]:
                     left[pairs[j]] -= 1
                     shared += 1
-                n = j - i + 1
-                if n >= t.low and 2 * shared >= self.threshold * (n + m) - 1e-9:
+                end = j + 2
+                if by_line:
+                    end = ends[bisect_right(ends, j + 1)]
+                    if b + 1 < until and hits[b + 1] + 2 <= end:
+                        continue  # the line goes on
+                n = end - start - 1
+                if t.low <= n <= t.high:
                     d = 2 * shared / (n + m)
-                    if d >= self.threshold and (best is None or (-d, i, j + 2) < best) and ends[bisect_right(ends, j + 1)] - line - 1 > t.high:
-                        best = (-d, i, j + 2)
+                    if d >= self.threshold and (best is None or (-d, start, end) < best) and (by_line or ends[bisect_right(ends, j + 1)] - ends[line] - 1 > t.high) and t.fits(words[start:end]):
+                        best = (-d, start, end)
         return best
 
-    @staticmethod
-    def _around(k: int, ends: list[int], t: Template) -> Iterator[tuple[int, int]]:
-        """Stretches of lines with line k whose number of bigrams the template allows. They begin
-        and end with a line that has words."""
-        i = k
-        while i >= 0 and ends[k + 1] - ends[i] - 1 <= t.high:
-            if ends[i + 1] > ends[i]:
-                for j in range(k, len(ends) - 1):
-                    n = ends[j + 1] - ends[i] - 1
-                    if n > t.high:
-                        break
-                    if n >= t.low and ends[j + 1] > ends[j]:
-                        yield i, j
-            i -= 1
+
+def templates_from(folder: str) -> dict[str, tuple[str, ...]]:
+    """More templates: the licences' whole texts, from files of a folder, named by their file names."""
+    return {p.stem if p.suffix == ".txt" else p.name: (p.read_text(errors="replace"),) for p in sorted(Path(folder).iterdir()) if p.is_file()}
 
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

@@ -10,10 +10,11 @@ def found(spark, texts):
     return {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
 
 
-def brute(words, template, t=0.8):
+def brute(words, license, template, t=0.8):
     b = licenses.bigrams(licenses.words_of(template))
     every = ((i, j) for i in range(len(words)) for j in range(i + 2, min(len(words), i + 3 * sum(b.values())) + 1))
-    best = max((licenses.dice(licenses.bigrams(words[i:j]), b) for i, j in every), default=0)
+    own = licenses.Template(license, template, t, licenses.Counter())
+    best = max((licenses.dice(licenses.bigrams(words[i:j]), b) for i, j in every if own.fits(words[i:j])), default=0)
     return best if best >= t else None
 
 
@@ -28,7 +29,7 @@ def test_licences_within_a_line(spark):
     assert got[1]["licenses"] == ["CC-BY-4.0", "ISC"] and got[1]["lines"] == [[0, 0], [0, 0]]
     for i, (k, t) in enumerate(short):
         assert got[i + 2]["licenses"] == [k]
-        assert got[i + 2]["dice"] == [pytest.approx(brute(licenses.words_of(texts[i + 2]), t))]
+        assert got[i + 2]["dice"] == [pytest.approx(brute(licenses.words_of(texts[i + 2]), k, t))]
     assert got[len(texts) - 1]["licenses"] == ["MIT"] and got[len(texts) - 1]["lines"] == [[1, 1]]
 
 
@@ -43,3 +44,42 @@ def test_each_text_gets_its_own_name(spark):
     texts.append(("BSD-3-Clause", with_names))
     got = found(spark, [t for _, t in texts])
     assert [got[i]["licenses"] for i in range(len(texts))] == [[k] for k, _ in texts]
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    texts = [
+        ("Licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+        ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]),
+        ("This work is licensed under the GNU General Public License, version 1.", ["GPL-1.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", ["CC-BY-3.0"]),
+        ("Licensed under the GNU General Public License, version 4.", []),
+        ("Licensed under the GNU General Public License.", []),
+        ("Licensed under the Apache License, Version 3.0.", []),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.,\n51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\nPreamble\n" + "and so on\n" * 300, ["GPL-2.0"]),
+    ]
+    got = found(spark, [t for t, _ in texts])
+    assert [got[i]["licenses"] for i in range(len(texts))] == [w for _, w in texts]
+
+
+def test_a_text_of_many_short_lines_takes_linear_time():
+    import time
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    words = licenses.words_of(licenses.TEMPLATES["MIT"][0])
+
+    def seconds(n):
+        began = time.process_time()
+        scanner.scan("\n".join(words[i * 7 % len(words)] for i in range(n)))
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * seconds(10_000) + 1
+
+
+def test_whole_texts_from_a_folder(tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Anyone may use the well known words of this own licence as they like, for ever and a day, version 1.0.")
+    assert list(licenses.templates_from(str(tmp_path))) == ["Own-1.0"]
+    own = licenses.Scanner(licenses.templates_from(str(tmp_path)), 0.8)
+    assert [x[0] for x in own.scan("anyone may use the well known words\nof this own licence as they like, for ever and a day, version 1.0")] == ["Own-1.0"]

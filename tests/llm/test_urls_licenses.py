@@ -63,12 +63,13 @@ def brute_best(text, t=0.8):
     best = {}
     for name, texts in licenses.TEMPLATES.items():
         for x in texts:
-            b = licenses.bigrams(licenses.words_of(x))
+            b, own = licenses.bigrams(licenses.words_of(x)), licenses.Template(name, x, t, licenses.Counter())
             for i in range(len(lines)):
                 for j in range(i, len(lines)):
                     if licenses.words_of(lines[i]) and licenses.words_of(lines[j]):
-                        d = licenses.dice(licenses.bigrams(licenses.words_of("\n".join(lines[i : j + 1]))), b)
-                        if d >= t:
+                        words = licenses.words_of("\n".join(lines[i : j + 1]))
+                        d = licenses.dice(licenses.bigrams(words), b)
+                        if d >= t and own.fits(words):
                             best[name] = max(best.get(name, 0), d)
     return best
 
