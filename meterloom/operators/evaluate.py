@@ -61,7 +61,7 @@ def detection(flags: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumns({"f1": f1(F.col("precision"), F.col("recall")), "range_f1": f1(F.col("range_precision"), F.col("range_recall"))})
 
 
-def micro_f1(flags: DataFrame, events: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def micro_f1(flags: DataFrame, events: DataFrame, keys: list[str | Column] | None = None) -> DataFrame:
     """F1 of events and runs pooled over entities (one row, or one for each of ``keys``)."""
     d = detection(flags, events)
     g = d.groupBy(*keys) if keys else d.groupBy()
@@ -127,3 +127,12 @@ def alarm_attribution(flags: DataFrame, events: DataFrame, panel: DataFrame, edg
 def covered_runs(flags: DataFrame) -> DataFrame:
     """(entity, idx, length): flagged rows with the length of their run."""
     return runs(flags).select("entity", (F.col("end") - F.col("start")).alias("length"), F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx"))
+
+
+def alarm_scales(scored: DataFrame, events: DataFrame, short: str = "s", long: str = "long") -> DataFrame:
+    """(entity, n, short_driven): false alarm runs, and how many of them have a mean short score that is at
+    least their mean long score (a missing mean drives nothing)."""
+    false = run_detail(scored, events).where(~F.col("matched")).select("entity", "start", "end")
+    rows = false.withColumn("idx", F.explode(F.sequence(F.col("start"), F.col("end") - 1))).join(scored.select("entity", "idx", F.col(short).alias("__s"), F.col(long).alias("__l")), ["entity", "idx"])
+    per = rows.groupBy("entity", "start").agg((F.avg("__s") >= F.avg("__l")).alias("short"))
+    return per.groupBy("entity").agg(F.count("*").alias("n"), F.count(F.when(F.col("short"), 1)).alias("short_driven"))

@@ -11,6 +11,9 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..storage import stored
 
 KINDS = ("spike", "drift", "schedule")
 NAMES = {1: "subtle", 2: "moderate", 3: "obvious"}
@@ -27,6 +30,8 @@ ON_HOURS, LEAST_PEAK, MOST_DRAWS = (8, 18), 0.5, 1000
 EVENTS = "entity string, event_id int, start long, end long, type string, severity int, severity_name string, true_kwh double"
 DRAWS = "entity string, draw int, type string, severity int, accepted boolean, reason string"
 DELTA = "entity string, idx long, delta double"
+#: One row a draw; accepted ones have the event, and what it adds to each of its rows.
+DRAWN = "entity string, draw int, type string, severity int, accepted boolean, reason string, event_id int, start long, end long, severity_name string, true_kwh double, add array<double>"
 
 
 def spike_shape(hours: int) -> np.ndarray:
@@ -92,10 +97,14 @@ class Sampler:
                 continue
             self.load[start:end] += add
             events.append({"event_id": len(events), "start": start, "end": end, "type": kind, "severity": severity, "severity_name": NAMES[severity], "true_kwh": float(np.maximum(add, 0).sum()), "add": add})
+            draws[-1] |= events[-1]
         return events, draws
 
 
-def _apply(panel: DataFrame, pick: str, schema: str, wanted: int, seed: int, span: str, ref: str | None, additive: bool, least_share: float | None) -> DataFrame:
+def sampled(panel: DataFrame, n_events: int, seed: int, span: str, ref: str | None, additive: bool, least_share: float | None) -> DataFrame:
+    """What each entity's sampler drew."""
+    names = [c.split()[0] for c in DRAWN.split(", ")]
+
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         name = pdf["entity"].iloc[0]
@@ -103,17 +112,18 @@ def _apply(panel: DataFrame, pick: str, schema: str, wanted: int, seed: int, spa
         rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
         hours = lambda p: pd.to_datetime(p["ts"]).dt.hour.to_numpy()
         s = Sampler(own["x"].to_numpy(), hours(own), rng, None if base is None else (base["x"].to_numpy(), hours(base)), additive, least_share)
-        events, draws = s.run(wanted)
-        if pick == "delta":
-            rows = [{"entity": name, "idx": e["start"] + k, "delta": float(a)} for e in events for k, a in enumerate(e["add"])]
-        else:
-            rows = [{"entity": name, **r} for r in (events if pick == "events" else draws)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        rows = pd.DataFrame([{"entity": name, **r} for r in s.run(n_events)[1]], columns=names)
+        rows["add"] = pd.Series([a if isinstance(a, np.ndarray) else None for a in rows["add"]], dtype=object)
+        return rows.astype({c: "Int64" for c in ("event_id", "start", "end")})
 
-    return panel.select("entity", "idx", "ts", "x", "span").groupBy("entity").applyInPandas(work, schema)
+    return panel.select("entity", "idx", "ts", "x", "span").groupBy("entity").applyInPandas(work, DRAWN)
 
 
 def inject(panel: DataFrame, n_events: int = 6, seed: int = 123, span: str = "test", ref: str | None = "train", additive: bool = False, least_share: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, delta, draws) for the rows of ``span``; positions count from its first row."""
-    how = (n_events, seed, span, ref, additive, least_share)
-    return _apply(panel, "events", EVENTS, *how), _apply(panel, "delta", DELTA, *how), _apply(panel, "draws", DRAWS, *how)
+    """(events, delta, draws) for the rows of ``span``; positions count from its first row. The sampler
+    runs once; its draws are stored."""
+    drawn = stored(sampled(panel, n_events, seed, span, ref, additive, least_share), "draws")
+    cols = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    events = drawn.where("accepted")
+    delta = events.select("entity", "start", F.posexplode("add").alias("k", "delta")).select("entity", (F.col("start") + F.col("k")).alias("idx"), "delta")
+    return events.select(*cols(EVENTS)), delta, drawn.select(*cols(DRAWS))

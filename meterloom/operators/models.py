@@ -288,6 +288,12 @@ class MaskedPatches(WindowModel):
         hidden = np.repeat((at == x.shape[1] - 1).any(axis=1)[None], len(x), axis=0)
         return x[:, -1, 0] - self._forward(p, x, hidden).value[:, -1]
 
+    def open_residuals(self, x: np.ndarray) -> np.ndarray:
+        """The residual of each window's last row with no patch hidden (a diagnostic: the model may copy the
+        load, faults included)."""
+        p = {k: Var(v) for k, v in self.params.items()}
+        return x[:, -1, 0] - self._forward(p, x, np.zeros((len(x), len(self._places(x.shape[1]))), bool)).value[:, -1]
+
     def loss(self, p, x, rng=None):
         tokens = len(self._places(x.shape[1]))
         if rng is None or self.hide >= 1:
@@ -330,15 +336,17 @@ def score_windows(windows: DataFrame, model: WindowModel, how: str = "max", sign
     return unslid(windows.mapInPandas(run, "entity string, start long, values array<double>"), how=how)
 
 
-def point_residuals(windows: DataFrame, model: WindowModel) -> DataFrame:
+def point_residuals(windows: DataFrame, model: WindowModel, last: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(entity, idx, x): the residual of the last row of each window (stride 1), so a row is judged with
-    what came before it only; the first rows of a series take the first residual."""
+    what came before it only; the first rows of a series take the first residual. ``last``: another
+    function that gives the last rows' residuals."""
+    last = last or (lambda x: model.residuals(x)[:, -1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = _cube(pdf["values"])
-                yield pd.DataFrame({"entity": pdf["entity"], "idx": pdf["start"] + x.shape[1] - 1, "x": model.residuals(x)[:, -1], "first": pdf["start"] == 0})
+                yield pd.DataFrame({"entity": pdf["entity"], "idx": pdf["start"] + x.shape[1] - 1, "x": last(x), "first": pdf["start"] == 0})
 
     out = windows.mapInPandas(run, "entity string, idx long, x double, first boolean")
     fill = out.where("first").select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("idx") - 1)).alias("idx"), "x")
@@ -394,7 +402,7 @@ def tune(train: DataFrame, val: DataFrame, events: DataFrame, grid: list[Callabl
     return max(range(len(got)), key=lambda i: (got[i], -i)), got
 
 
-#: Grids that are searched on validation events.
+# The configurations that are searched on validation events.
 GRIDS: dict[str, list[Callable]] = {
     "isolation forest": [lambda n=n, m=m: IsolationForest(n, m) for n in (100, 200, 400) for m in ("auto", 256, 0.5)],
     "one-class svm": [lambda n=n, g=g: OneClassSVM(n, g) for n in (0.02, 0.05, 0.1) for g in ("scale", 0.2)],

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import climate_proxy
+
 
 def resample(df: DataFrame, entity: str, ts: str, value: str, unit: str = "hour", how: str = "avg", digits: int | None = None) -> DataFrame:
     """(entity, ts, x): values aggregated by time unit."""
@@ -124,3 +126,16 @@ def with_delta(panel: DataFrame, delta: DataFrame, scale_by: Column | None = Non
     d = F.coalesce("delta", F.lit(0.0))
     d = d / scale_by if scale_by is not None else d
     return panel.join(delta, ["entity", "idx"], "left").withColumn(out, F.col(x) + d).drop("delta")
+
+
+def with_weather(panel: DataFrame, sites: DataFrame, weather: DataFrame, limit: int = 6, out: str = "temp") -> DataFrame:
+    """``panel`` (entity, idx, ts, ...) with its site's temperature in ``out``, and ``measured``: whether the site
+    has any. sites: (entity, site_id, lat), a row an entity; weather: (site_id, timestamp, airTemperature), the
+    first reading of an hour counts. Gaps are interpolated as those of the load are (up to ``limit`` hours, then
+    the nearest reading); a site without readings gets the climatological proxy of its latitude."""
+    first = Window.partitionBy("site_id", "timestamp").orderBy("airTemperature")
+    hours = weather.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("site_id", F.col("timestamp").alias("ts"), F.col("airTemperature").alias("__t"))
+    rows = panel.join(sites.select("entity", "site_id", "lat"), "entity", "left").join(hours, ["site_id", "ts"], "left")
+    filled = interpolated(rows.select("entity", "idx", F.col("__t").alias("x")), limit=limit).select("entity", "idx", F.col("x").alias("__t"))
+    rows = rows.drop("__t").join(filled, ["entity", "idx"])
+    return rows.withColumns({"measured": F.col("__t").isNotNull(), out: F.coalesce("__t", climate_proxy(F.col("ts"), F.col("lat")))}).drop("__t")

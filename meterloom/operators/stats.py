@@ -180,12 +180,13 @@ def signed_rank(d: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def correlation(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """(keys, n, pearson, spearman, slope, intercept)."""
+    """(keys, n, pearson, spearman, slope, intercept); null where x or y is constant."""
     w = Window.partitionBy(*keys)
     mid = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"__rx": mid(x), "__ry": mid(y)})
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return r.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
+        F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("__rx", "__ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
     )
 
 

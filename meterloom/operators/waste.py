@@ -82,10 +82,11 @@ def extensions(resid: DataFrame, z: DataFrame, flags: DataFrame, events: DataFra
 
 
 def chosen_mode(ext: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
-    """(mode, obj), one row: the rule with the least median over entities of |bias|; ties: the earlier."""
+    """(mode, obj), one row: the rule with the least median over entities of |bias|; ties (to nine places, as sums
+    come in any order): the earlier."""
     obj = ext.groupBy("mode").agg(F.percentile(F.abs("bias"), F.lit(0.5)).alias("obj"))
     order = F.array_position(F.array(*map(F.lit, modes)), F.col("mode"))
-    return obj.orderBy("obj", order).limit(1)
+    return obj.orderBy(F.round("obj", 9), order).limit(1)
 
 
 def level_bias(resid: DataFrame, events: DataFrame, sd: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def runs(df: DataFrame, flag: str = "flag", keys: tuple[str, ...] = ("entity",),
     return marked.groupBy(*keys, "__run").agg(F.min("idx").alias("start"), (F.max("idx") + 1).alias("end")).drop("__run")
 
 
-def bridged(df: DataFrame, gap: int = 6, flag: str = "flag") -> Column:
+def bridged(gap: int = 6, flag: str = "flag") -> Column:
     """The flag, also set between flagged rows that are at most ``gap`` apart."""
     w = by_entity()
     at = F.when(F.col(flag), F.col("idx"))

@@ -1 +1,3 @@
-"""Part of meterloom; see the README."""
+"""The registered queries: ``queries.Q`` and ``queries.SQL``, which ``more`` adds to."""
+
+from . import queries, more  # noqa: F401, I001

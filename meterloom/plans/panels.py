@@ -3,13 +3,13 @@ by priority, split by time, with planted events whose increments are known."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..storage import shared_dir
 
 #: Planted events: how many, where the first begins in the test span, their spacing and lengths.
 N_EVENTS, FIRST, SPACING, SHORTEST, LONGER = 6, 180, 60, 4, 6
@@ -20,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="meterloom-")
-    return found.rstrip("/")
-
-
-def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The table, written once to the shared folder, for plans that read it many times."""
-    path = f"{shared_dir(spark)}/meterloom/panel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, idx, ts, x): hourly value sums by event type on a dense grid; null where nothing came."""
     e = table(spark, sf_dir, "events").select("event_type", "ts", "value")
@@ -86,7 +67,7 @@ def test_span(d: DataFrame) -> DataFrame:
 def drained(spark: SparkSession, sf_dir: str, plan, mode: str, source: DataFrame | None = None) -> DataFrame:
     """What a streaming plan gives once it has read all of the events files (or of ``source``, which is
     written first): files in the folder that driver and executors share."""
-    base = f"{shared_dir(spark)}/meterloom/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if source is None:
         source = table(spark, sf_dir, "events")
     source.write.parquet(f"{base}/in")

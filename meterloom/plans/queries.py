@@ -15,8 +15,9 @@ from ..operators import scoring as S
 from ..operators import stats as X
 from ..operators import waste as WS
 from ..operators import windows as W
+from ..storage import stored
 from . import panels
-from .panels import daily, hourly, injected, planted, stored, table, test_span
+from .panels import daily, hourly, injected, planted, table, test_span
 
 Q, SQL = {}, {}
 
@@ -38,11 +39,12 @@ def reference(d: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(daily panel, events, injected test rows with slot score s, flags)."""
+    """(daily panel, events, injected test rows with slot score s, flags). The flags are stored: what
+    judges them reads them several times."""
     d = daily(spark, sf_dir)
     ev = planted(d)
-    t = S.slot_z(test_span(injected(d, ev)), reference(d), "slot")
-    return d, ev, t, W.trailing_flags(t)
+    fl = stored(W.trailing_flags(S.slot_z(test_span(injected(d, ev)), reference(d), "slot")), "flags")
+    return d, ev, fl, fl
 
 
 def residual(d: DataFrame, ev: DataFrame) -> DataFrame:
@@ -458,7 +460,7 @@ SQL["merged_runs"] = f'WITH {_FL}, {_runs("fl", "rn", 6)} SELECT entity, "start"
 
 @query
 def bridged_flags(spark, sf_dir):
-    return scored(spark, sf_dir)[3].withColumn("flag", W.bridged(None)).groupBy("entity").agg(F.count(F.when(F.col("flag"), 1)).alias("n"))
+    return scored(spark, sf_dir)[3].withColumn("flag", W.bridged()).groupBy("entity").agg(F.count(F.when(F.col("flag"), 1)).alias("n"))
 
 
 SQL["bridged_flags"] = f'WITH {_FL}, {_runs("fl", "rn", 6)} SELECT e.entity, coalesce(sum("end" - "start"), 0)::BIGINT AS n FROM (SELECT DISTINCT entity FROM fl) e LEFT JOIN rn ON rn.entity = e.entity GROUP BY 1'
@@ -583,21 +585,34 @@ SELECT CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 9 THEN 'morning' WHEN
   CASE WHEN len <= 1 THEN '1' WHEN len <= 6 THEN '2-6' ELSE '7+' END AS run_length, count(*) AS n FROM f GROUP BY ALL"""
 
 
-@query
-def fusion_grid(spark, sf_dir):
-    """Micro F1 on the validation span for a grid of fusion weights, and the best (ties: the smallest)."""
+#: Fusion weights that are compared; the larger of the two scores is one more choice.
+WEIGHTS = tuple(k / 10 for k in range(11))
+
+
+def validation_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(events planted in the validation span, its rows with the short score s and the long one)."""
     d = daily(spark, sf_dir)
-    ev = planted(d).where("start + 40 < 340").withColumns({"start": F.col("start"), "end": F.col("end")})
+    ev = planted(d).where("start + 40 < 340")
     rows = ev.select("entity", "add", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("span_idx"), F.lit("val").alias("span"))
     v = d.join(rows, ["entity", "span", "span_idx"], "left").withColumn("x", F.col("x") + F.coalesce("add", F.lit(0.0))).where("span = 'val'").drop("idx").withColumnRenamed("span_idx", "idx")
     tr = d.where("span = 'train'")
-    z = S.long_z(S.slot_z(v, tr, "slot"), tr, window=28, least=7)
-    out = None
-    for w in (0.5, 0.8, 1.0):
-        m = E.micro_f1(W.trailing_flags(z.withColumn("s", S.fused(w)), window=112), ev.drop("add")).withColumn("w", F.lit(w))
-        out = m if out is None else out.unionByName(m)
-    first = F.row_number().over(Window.orderBy(F.desc("micro_f1"), "w"))  # of three rows
-    return out.withColumn("chosen", first == 1).select("w", "tp_events", "n_events", "tp_runs", "n_runs", *r6("micro_f1"), "chosen")
+    return ev, S.long_z(S.slot_z(v, tr, "slot"), tr, window=28, least=7)
+
+
+@query
+def fusion_grid(spark, sf_dir):
+    """Micro F1 on the validation span for each fusion weight and for the larger score, and the best
+    (ties: the first). A choice and an entity are one key, so all choices are flagged in one plan."""
+    ev, z = validation_scores(spark, sf_dir)
+    choices = [(f"{w:.1f}", S.fused(w)) for w in WEIGHTS] + [("max", S.fused_max())]
+    options = F.explode(F.array(*[F.struct(F.lit(n).alias("option"), c.alias("s")) for n, c in choices])).alias("o")
+    key = lambda option: F.struct(option.alias("option"), F.col("entity")).alias("entity")
+    fl = z.select("entity", "idx", options).select(key(F.col("o.option")), "idx", "o.s")
+    fl = stored(W.trailing_flags(fl, window=112), "flags")
+    every = ev.withColumn("option", F.explode(F.array(*[F.lit(n) for n, _ in choices]))).withColumn("entity", key(F.col("option"))).drop("option", "add")
+    m = E.micro_f1(fl, every, [F.col("entity.option").alias("option")])
+    first = F.row_number().over(Window.orderBy(F.desc("micro_f1"), "option"))  # of twelve rows
+    return m.withColumn("chosen", first == 1).select("option", "tp_events", "n_events", "tp_runs", "n_runs", *r6("micro_f1"), "chosen")
 
 
 _FUSE = _D + f""",
@@ -613,20 +628,23 @@ z0 AS (SELECT v.*, (v.x - CASE WHEN sm.n >= 20 THEN sm.med ELSE pm.med END) / (C
 z1 AS (SELECT z0.*, (q - med) / (mad + 1e-9) AS s2 FROM z0 JOIN lm ON lm.entity = z0.entity)"""
 
 
+_FUSED = [("0.0", "s2"), *[(f"{w:.1f}", f"{w}::DOUBLE * s1 + {1 - w!r}::DOUBLE * s2") for w in WEIGHTS[1:-1]], ("1.0", "s1"), ("max", "CASE WHEN s1 IS NOT NULL AND s2 IS NOT NULL THEN greatest(s1, s2) END")]
+
+
 def _fusion_sql() -> str:
     parts, picks = [], []
-    for i, (w, s) in enumerate(((0.5, "0.5 * s1 + 0.5 * s2"), (0.8, "0.8 * s1 + (1 - 0.8) * s2"), (1.0, "s1"))):
+    for i, (w, s) in enumerate(_FUSED):
         parts.append(f"y{i} AS (SELECT entity, idx, CAST({s} AS DOUBLE) AS s FROM z1)")
         parts.append(_flagger(f"y{i}", _LAG, "111 PRECEDING AND CURRENT ROW", f"g{i}").replace(">= 84", ">= 28"))
         parts.append(_runs(f"g{i}", f"n{i}"))
         picks.append(
-            f"""SELECT {w}::DOUBLE AS w, (SELECT count(*) FROM ev WHERE EXISTS (SELECT 1 FROM g{i} g WHERE g.entity = ev.entity AND flag AND g.idx >= ev."start" AND g.idx < ev."end")) AS tp_events, (SELECT count(*) FROM ev) AS n_events,
+            f"""SELECT '{w}' AS option, (SELECT count(*) FROM ev WHERE EXISTS (SELECT 1 FROM g{i} g WHERE g.entity = ev.entity AND flag AND g.idx >= ev."start" AND g.idx < ev."end")) AS tp_events, (SELECT count(*) FROM ev) AS n_events,
   (SELECT count(*) FROM n{i} r WHERE EXISTS (SELECT 1 FROM ev WHERE ev.entity = r.entity AND r."start" < ev."end" AND ev."start" < r."end")) AS tp_runs, (SELECT count(*) FROM n{i}) AS n_runs"""
         )
     body = " UNION ALL ".join(picks)
     return f"""WITH {_FUSE}, {', '.join(parts)}, m0 AS ({body}), m1 AS (SELECT *, tp_runs / greatest(n_runs, 1) AS p, tp_events / greatest(n_events, 1) AS r FROM m0),
 m2 AS (SELECT *, 2 * p * r / greatest(p + r, 1e-9) AS f FROM m1)
-SELECT w, tp_events::BIGINT AS tp_events, n_events::BIGINT AS n_events, tp_runs::BIGINT AS tp_runs, n_runs::BIGINT AS n_runs, round(f, 6) AS micro_f1, row_number() OVER (ORDER BY f DESC, w) = 1 AS chosen FROM m2"""
+SELECT option, tp_events::BIGINT AS tp_events, n_events::BIGINT AS n_events, tp_runs::BIGINT AS tp_runs, n_runs::BIGINT AS n_runs, round(f, 6) AS micro_f1, row_number() OVER (ORDER BY f DESC, option) = 1 AS chosen FROM m2"""
 
 
 SQL["fusion_grid"] = _fusion_sql()
@@ -671,7 +689,7 @@ SELECT o.entity, round(sum(tk), 4) AS true_kwh, round(sum(clip), 4) AS clip_kwh,
 def waste_extensions(spark, sf_dir):
     d, ev, t, fl = scored(spark, sf_dir)
     z = t.select("entity", "idx", F.col("s").alias("z"))
-    x = WS.extensions(residual(d, ev), z, fl, ev.drop("add"), horizon=60)
+    x = WS.extensions(residual(d, ev), z, fl, ev.drop("add"))
     return x.select("entity", "mode", *[F.round(c, 4).alias(c) for c in ("est_kwh", "matched_err_kwh", "false_add_kwh", "missed_kwh", "bias", "window_cov")])
 
 
@@ -682,7 +700,7 @@ def _merge(src: str, out: str) -> str:
 
 
 def _ext_sql() -> str:
-    ah = """ah AS (SELECT rn.entity, rn."start" AS st, z.idx, z.s AS z FROM rn JOIN z ON z.entity = rn.entity AND z.idx >= rn."start" AND z.idx < rn."start" + 60)"""
+    ah = """ah AS (SELECT rn.entity, rn."start" AS st, z.idx, z.s AS z FROM rn JOIN z ON z.entity = rn.entity AND z.idx >= rn."start" AND z.idx < rn."start" + 336)"""
     parts, picks = [ah], [f"SELECT 'none' AS mode, * FROM ({_decomp(_FLAGGED)})"]
     parts.append("""lo AS (SELECT *, idx - coalesce(max(CASE WHEN NOT coalesce(abs(z) < 2.0, false) THEN idx END) OVER (PARTITION BY entity, st ORDER BY idx), st - 1) AS still FROM ah)""")
     for k in (6, 12):
@@ -705,10 +723,10 @@ SQL["waste_extensions"] = _ext_sql()
 def chosen_extension(spark, sf_dir):
     d, ev, t, fl = scored(spark, sf_dir)
     z = t.select("entity", "idx", F.col("s").alias("z"))
-    return WS.chosen_mode(WS.extensions(residual(d, ev), z, fl, ev.drop("add"), horizon=60)).select("mode", F.round("obj", 4).alias("obj"))
+    return WS.chosen_mode(WS.extensions(residual(d, ev), z, fl, ev.drop("add"))).select("mode", F.round("obj", 4).alias("obj"))
 
 
-SQL["chosen_extension"] = SQL["waste_extensions"].rpartition(" SELECT entity, mode")[0] + """ SELECT mode, round(obj, 4) AS obj FROM (SELECT mode, median(abs((est_kwh - true_kwh) / true_kwh)) AS obj FROM u GROUP BY 1) ORDER BY obj, list_position(['none', 'z6', 'z12', 'cusum'], mode) LIMIT 1"""
+SQL["chosen_extension"] = SQL["waste_extensions"].rpartition(" SELECT entity, mode")[0] + """ SELECT mode, round(obj, 4) AS obj FROM (SELECT mode, median(abs((est_kwh - true_kwh) / true_kwh)) AS obj FROM u GROUP BY 1) ORDER BY round(obj, 9), list_position(['none', 'z6', 'z12', 'cusum'], mode) LIMIT 1"""
 
 
 @query
@@ -766,26 +784,26 @@ SELECT family, contrast, round(p, 6) AS p, round(max(st) OVER (PARTITION BY fami
 
 @query
 def sign_flip(spark, sf_dir):
-    return X.sign_flip(contrasts(spark, sf_dir), ["family", "contrast"], n=400).select("family", "contrast", *r6("p_perm"))
+    return X.sign_flip(contrasts(spark, sf_dir), ["family", "contrast"], n=10_000).select("family", "contrast", *r6("p_perm"))
 
 
 _U = "('0x' || substr(md5({}), 1, 12))::BIGINT::DOUBLE / 281474976710656.0"
-SQL["sign_flip"] = f"""WITH {_MT}, nl AS (SELECT family, contrast, rep, abs(avg(CASE WHEN {_U.format("'flip|' || entity || '|' || rep")} < 0.5 THEN -d ELSE d END)) AS m FROM fx, range(400) AS r(rep) GROUP BY 1, 2, 3)
-SELECT family, contrast, round((1 + count(*) FILTER (m >= abs(estimate) - 1e-15)) / 401, 6) AS p_perm FROM nl JOIN mo USING (family, contrast) GROUP BY 1, 2"""
+SQL["sign_flip"] = f"""WITH {_MT}, nl AS (SELECT family, contrast, rep, abs(avg(CASE WHEN {_U.format("'flip|' || entity || '|' || rep")} < 0.5 THEN -d ELSE d END)) AS m FROM fx, range(10000) AS r(rep) GROUP BY 1, 2, 3)
+SELECT family, contrast, round((1 + count(*) FILTER (m >= abs(estimate) - 1e-15)) / 10001, 6) AS p_perm FROM nl JOIN mo USING (family, contrast) GROUP BY 1, 2"""
 
 
 @query
 def bootstrap_ci(spark, sf_dir):
     d = contrasts(spark, sf_dir).withColumn("site", C.site_of(F.col("entity")))
-    a = X.bootstrap(d, ["family", "contrast"], "entity", 300)
-    b = X.bootstrap(d, ["family", "contrast"], "site", 300).withColumnsRenamed({"boot_lo": "cluster_lo", "boot_hi": "cluster_hi"})
+    a = X.bootstrap(d, ["family", "contrast"], "entity", 2000)
+    b = X.bootstrap(d, ["family", "contrast"], "site", 2000).withColumnsRenamed({"boot_lo": "cluster_lo", "boot_hi": "cluster_hi"})
     return a.join(b, ["family", "contrast"]).select("family", "contrast", *[F.round(c, 8).alias(c) for c in ("boot_lo", "boot_hi", "cluster_lo", "cluster_hi")])
 
 
-def _boot(unit: str, a: str) -> str:
+def _boot(unit: str, a: str, n: int = 2000) -> str:
     return f"""{a}u AS (SELECT family, contrast, {unit} AS un, sum(d) AS s, count(d) AS c FROM fx GROUP BY 1, 2, 3),
 {a}i AS (SELECT *, row_number() OVER (PARTITION BY family, contrast ORDER BY un) - 1 AS i, count(*) OVER (PARTITION BY family, contrast) AS m FROM {a}u),
-{a}d AS (SELECT family, contrast, rep, floor({_U.format("'boot|' || rep || '|' || i")} * m)::INT AS pick FROM {a}i, range(300) AS r(rep)),
+{a}d AS (SELECT family, contrast, rep, floor({_U.format("'boot|' || rep || '|' || i")} * m)::INT AS pick FROM {a}i, range({n}) AS r(rep)),
 {a}m AS (SELECT x.family, x.contrast, rep, sum(s) / sum(c) AS mean FROM {a}d x JOIN {a}i y ON x.family = y.family AND x.contrast = y.contrast AND x.pick = y.i GROUP BY 1, 2, 3),
 {a} AS (SELECT family, contrast, quantile_cont(mean, (1 - 0.95::DOUBLE) / 2) AS lo, quantile_cont(mean, 1 - (1 - 0.95::DOUBLE) / 2) AS hi FROM {a}m GROUP BY 1, 2)"""
 
@@ -917,7 +935,7 @@ def mixed_effects(spark, sf_dir):
 def waste_intervals(spark, sf_dir):
     d, ev, _, fl = scored(spark, sf_dir)
     ops = WS.decomposition(residual(d, ev), fl, ev.drop("add")).withColumn("model", F.lit("slot"))
-    return X.ratio_bootstrap(ops, ["model"], n=500)
+    return X.ratio_bootstrap(ops, ["model"])
 
 
 @query
@@ -1015,7 +1033,7 @@ def tuned_forest(spark, sf_dir):
     rows = ev.select("entity", "add", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("span_idx"), F.lit("val").alias("span"))
     d = d.join(rows, ["entity", "span", "span_idx"], "left").withColumn("x", F.col("x") + F.coalesce("add", F.lit(0.0))).drop("add").withColumns(C.cyclic(F.col("ts")))
     d = P.scale(d.withColumns({"load": F.col("x"), "temp": C.climate_proxy(F.col("ts"), F.lit(40.0))}), ["load", "temp"])
-    d = stored(spark, d.withColumns({"load": F.col("z_load"), "temp": F.col("z_temp")}).drop("z_load", "z_temp"))
+    d = stored(d.withColumns({"load": F.col("z_load"), "temp": F.col("z_temp")}).drop("z_load", "z_temp"), "tuning")
     train, val = d.where("span = 'train'"), d.where("span = 'val'").drop("idx").withColumnRenamed("span_idx", "idx")
     out = []
     for name, grid in M.GRIDS.items():

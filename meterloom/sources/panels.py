@@ -33,7 +33,7 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
 
 def write_panel(df: DataFrame, path: str, format: str = "parquet") -> None:
     """A table partitioned by building, so reads of a few buildings touch only theirs."""
-    df.write.mode("overwrite").partitionBy("building_id").format(format).save(path)
+    df.write.mode("overwrite").partitionBy("building_id").format(format).option("header", True).save(path)
 
 
 def read_wide(spark: SparkSession, path: str) -> DataFrame:

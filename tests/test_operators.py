@@ -88,7 +88,7 @@ def test_runs(spark):
     f = flags(spark, "0110111001")
     assert sorted((r["start"], r["end"]) for r in W.runs(f).collect()) == [(1, 3), (4, 7), (9, 10)]
     assert [(r["start"], r["end"]) for r in W.runs(f, gap=6).collect()] == [(1, 10)]
-    bridged = f.withColumn("flag", W.bridged(f, 6)).orderBy("idx").toPandas()["flag"].tolist()
+    bridged = f.withColumn("flag", W.bridged(6)).orderBy("idx").toPandas()["flag"].tolist()
     assert bridged == [False, *[True] * 9]
     assert W.covered(W.runs(f)).count() == 6
     assert W.runs(flags(spark, "000")).count() == 0
