@@ -1,29 +1,33 @@
 """Quality rules: exact base counts, then the divergence of a document from its language.
 
-Each document gets two histograms: of character classes (upper case, lower case, digit, blank,
-sentence mark, symbol) and of common words (each word of its language's list, one bin for the other
-words). The references are the sums of these histograms over all documents of the language, so they
-need one pass and a table of a few rows (languages not listed share one reference). A document is
-compared with its reference by Jensen-Shannon distance (base 2, 0 to 1). The limit falls with the
+Each document gets two histograms: of character classes (upper case, lower case and other letters, digit,
+blank, sentence mark, symbol; beyond ASCII by Unicode category) and of common words (each word of its
+language's list, one bin for the other words). The references are the sums of these histograms over all
+documents of the language that pass the base rules, so junk of that kind does not shift them; they are a
+table of a few rows (languages not listed share one reference). A document is compared with its reference by Jensen-Shannon distance (base 2, 0 to 1). The limit falls with the
 number of words: a sample of n words from k bins is sqrt((k - 1) / (8 n ln 2)) away from its own
 source by noise alone, and the limit is that plus a margin. (Characters come in words, so words are what is
 drawn there too.) Short texts are judged like long ones, with the larger limits that they need.
 
 Nulls: a null text is the empty text; a null doc_id is kept; a null or unknown language uses the
-reference of all such documents. An empty table gives no rows. Very long texts are read whole.
+reference of all such documents. Repeated rows are judged alike. An empty table gives no rows. Very long
+texts are read whole. Columns of other names, whatever they are, pass unchanged.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, stored
 from .shingles import Words, mix
 
 # Frequent function words of each language.
@@ -40,17 +44,25 @@ CLASS_MARGIN, WORD_MARGIN = 0.19, 0.135
 
 _HASHES = {x: np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in v), np.uint64, len(v)) for x, v in COMMON.items()}
 
-# The class of each byte of UTF-8: 0 upper, 1 lower and other letters, 2 digit, 3 blank, 4 sentence
-# mark, 5 symbol; bytes after a character's first count for nothing.
-_CLASS = np.full(256, 5)
+# The class of each ASCII character: 0 upper, 1 lower and other letters, 2 digit, 3 blank, 4 sentence
+# mark, 5 symbol; other characters are counted apart.
+_CLASS = np.full(128, 5)
 _CLASS[:0x21] = 3
 _CLASS[0x41:0x5B] = 0
-_CLASS[[*range(0x61, 0x7B), *range(0xC0, 0x100)]] = 1
+_CLASS[0x61:0x7B] = 1
 _CLASS[0x30:0x3A] = 2
 _CLASS[list(b".,;:!?'\"()-")] = 4
 _MEMBER = np.zeros((256, 6), np.int64)
-_MEMBER[np.arange(256), _CLASS] = 1
-_MEMBER[0x80:0xC0] = 0
+_MEMBER[np.arange(128), _CLASS] = 1
+_BEYOND = re.compile(rb"[\x80-\xff]+")
+
+
+def class_of(c: str) -> int:
+    """The class of a character beyond ASCII. Marks that are written over letters are letters."""
+    kind = unicodedata.category(c)
+    return 0 if kind in ("Lu", "Lt") else 1 if kind[0] in "LM" else 2 if kind[0] == "N" else 3 if kind[0] in "ZC" else 4 if kind[0] == "P" else 5
+
+
 _SPACE, _SYMBOLS = list(b" \t\n\v\f\r"), list(b"#*$%&|<>")
 
 
@@ -103,6 +115,9 @@ class Text:
         """Counts of 6 character classes, then of 20 common words and of all other words."""
         out = np.zeros(6 + 21, np.int64)
         out[:6] = self.often @ _MEMBER
+        if self.often[0x80:].any():
+            for c, n in Counter(b"".join(_BEYOND.findall(self.text)).decode("utf-8", "replace")).items():
+                out[class_of(c)] += n
         if lang in _ORDER:
             order, known = _ORDER[lang]
             at = np.minimum(np.searchsorted(known, self.hashes), len(known) - 1)
@@ -114,89 +129,90 @@ class Text:
 _ORDER = {x: (np.argsort(h), np.sort(h)) for x, h in _HASHES.items()}
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Square root of the Jensen-Shannon divergence (base 2) of two histograms; 0 if either is empty."""
-    if p.sum() == 0 or q.sum() == 0:
-        return 0.0
-    p, q = p / p.sum(), q / q.sum()
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()
-    return float(np.sqrt(max(0.0, d / 2)))
-
-
-def noise(bins: int, n: int) -> float:
+def noise(bins: int, n: Column) -> Column:
     """The expected distance of a sample of n >= 1 from its source (to first order in 1 / n)."""
-    return float(np.sqrt((bins - 1) / (8 * n * np.log(2))))
+    return F.sqrt(F.lit(bins - 1) / (F.greatest(n, F.lit(1)) * 8 * float(np.log(2))))
 
 
-def _texts(batch: pa.RecordBatch, words: Words) -> Iterator[tuple[Text, str]]:
-    names = batch.schema.names
-    text, lang = batch.column(names.index("__q_text")), batch.column(names.index("__q_lang"))
-    for i in range(batch.num_rows):
-        known = lang[i].as_py()
-        yield Text(text[i].as_py() or b"", words), known if known in COMMON else OTHER
+def js_distance(p: Column, q: list[float]) -> Column:
+    """Square root of the Jensen-Shannon divergence (base 2) of an array of counts from shares; 0 if either is
+    empty."""
+    total = F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)
+    if sum(q) == 0:
+        return F.lit(0.0)
 
+    def part(x: Column, m: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.withColumns({"__q_text": F.col("text").cast("binary"), "__q_lang": lang})
-
+    terms = F.zip_with(F.transform(p, lambda x: x / total), F.array(*[F.lit(float(x / sum(q))) for x in q]), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
+    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))).otherwise(0.0)
 
-def references(docs: DataFrame) -> dict[str, np.ndarray]:
-    """The histograms' sums over all documents, by language: at most five rows reach the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        words = Words()
-        for batch in batches:
-            for text, lang in _texts(batch, words):
-                h = text.histograms(lang)
-                sums[lang] = sums[lang] + h if lang in sums else h
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "h"])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    parts = _prepared(docs).select("__q_text", "__q_lang").mapInArrow(run, "lang string, h array<long>")
-    rows = parts.select("lang", F.posexplode("h")).groupBy("lang", "pos").agg(F.sum("col").alias("n")).collect()
-    out = {x: np.zeros(27, np.int64) for x in [*COMMON, OTHER]}
-    for r in rows:
-        out[r["lang"]][r["pos"]] = r["n"]
-    return out
 
-
-def quality_rules(docs: DataFrame, keep: list[str], refs: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """The columns ``keep`` of each document, then n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, class_distance, word_distance and kept. base_failed: n_words < 10, or 100 * n_repeat_words > 20 * n_words."""
-    refs = references(docs) if refs is None else refs
+def measured(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` of each document, its language, counts, base verdict and histograms; and the
+    names that these have (with underscores after them where ``docs`` has such a column)."""
+    new = {c: fresh(docs, c) for c in ("lang", "text", *COUNTS, "base_failed", "histograms")}
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = [f"c{i}" for i in range(len(keep))]  # any name may be kept
     types = {f.name: f.dataType for f in docs.schema.fields}
-    added = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "class_distance": "double", "word_distance": "double", "kept": "boolean"}
-    arrow = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    source = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)], F.col("text").cast("binary").alias("read_text"), F.when(lang.isin(*COMMON), lang).otherwise(OTHER).alias("read_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            rows = []
-            for text, lang in _texts(batch, words):
-                n, *rest = text.base_counts()
-                failed = n < 10 or 100 * rest[-1] > 20 * n
-                h, ref = text.histograms(lang), refs[lang]
-                by_class, by_word = js_distance(h[:6], ref[:6]), js_distance(h[6:], ref[6:])
-                kept = not failed and by_class < noise(6, n) + CLASS_MARGIN and by_word < noise(21, n) + WORD_MARGIN
-                rows.append((n, *rest, failed, by_class, by_word, kept))
-            cols = list(zip(*rows)) or [()] * len(added)
+            rows, hists = [], []
+            text, langs = batch.column(len(own)), batch.column(len(own) + 1)
+            for i in range(batch.num_rows):
+                t = Text(text[i].as_py() or b"", words)
+                counts = t.base_counts()
+                rows.append((*counts, counts[0] < 10 or 100 * counts[-1] > 20 * counts[0]))
+                hists.append(t.histograms(langs[i].as_py()).tolist())
+            cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), *(pa.array(c, arrow[t]) for c, t in zip(cols, added.values()))], names=[*keep, *added]
+                [*(batch.column(i) for i in range(len(own))), langs, *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_()), pa.array(hists, pa.list_(pa.int64()))],
+                names=[*own, "lang", *COUNTS, "base_failed", "histograms"],
             )
 
-    schema = ", ".join([*(f"`{k}` {types[k].simpleString()}" for k in keep), *(f"{k} {t}" for k, t in added.items())])
-    return _prepared(docs).select(*keep, "__q_text", "__q_lang").mapInArrow(run, schema)
+    schema = ", ".join([*(f"{o} {types[k].simpleString()}" for o, k in zip(own, keep)), "lang string", *(f"{c} long" for c in COUNTS), "base_failed boolean", "histograms array<long>"])
+    out = source.mapInArrow(run, schema)
+    return out.select(*[F.col(o).alias(c) for o, c in zip(own, keep)], *[F.col(c).alias(new[c]) for c in ("lang", *COUNTS, "base_failed", "histograms")]), new
+
+
+def references(measures: DataFrame, names: dict[str, str]) -> dict[str, list[int]]:
+    """The histograms' sums over the documents that pass the base rules, by language: at most five rows of
+    27 numbers reach the driver."""
+    passed = measures.where(~F.col(names["base_failed"])).select(F.col(names["lang"]).alias("lang"), F.col(names["histograms"]).alias("h"))
+    sums = passed.groupBy("lang").agg(*[F.sum(F.col("h")[i]).alias(f"h{i}") for i in range(27)]).collect()
+    return {x: [0] * 27 for x in [*COMMON, OTHER]} | {r["lang"]: list(r)[1:] for r in sums}
+
+
+def judged(measures: DataFrame, names: dict[str, str], refs: dict[str, list[int]]) -> tuple[Column, Column, Column]:
+    """(class_distance, word_distance, kept)."""
+    h, lang, n = F.col(names["histograms"]), F.col(names["lang"]), F.col(names["n_words"])
+    by_class = by_word = F.lit(0.0)
+    for x, ref in refs.items():
+        by_class = F.when(lang == x, js_distance(F.slice(h, 1, 6), ref[:6])).otherwise(by_class)
+        by_word = F.when(lang == x, js_distance(F.slice(h, 7, 21), ref[6:])).otherwise(by_word)
+    return by_class, by_word, ~F.col(names["base_failed"]) & (by_class < noise(6, n) + CLASS_MARGIN) & (by_word < noise(21, n) + WORD_MARGIN)
+
+
+def quality_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each document, then n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, class_distance, word_distance and kept. base_failed: n_words < 10, or
+    100 * n_repeat_words > 20 * n_words. Texts are read once: counts and histograms are stored."""
+    measures, names = measured(docs.select(*dict.fromkeys([*keep, "text", *(["lang"] if "lang" in docs.columns else [])])), keep)
+    measures = stored(measures, "quality")
+    by_class, by_word, kept = judged(measures, names, references(measures, names))
+    counts = [F.col(names[c]).alias(c) for c in (*COUNTS, "base_failed")]
+    return measures.select(*[F.col(f"`{c}`") for c in keep], *counts, by_class.alias("class_distance"), by_word.alias("word_distance"), kept.alias("kept"))
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns."""
-    refs = references(docs)
-    names = docs.columns
-    inner = [f"__c{i}" for i in range(len(names))]
-    renamed = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)], *[F.col(c) for c in ("text", "lang") if c in names])
-    rows = quality_rules(renamed, inner, refs).where("kept")
-    return rows.select(*[F.col(i).alias(c) for c, i in zip(names, inner)])
+    """The documents that quality_rules keeps, with all their columns. Texts are read twice, so that they
+    need not be stored or shuffled."""
+    refs = references(*measured(docs, []))
+    measures, names = measured(docs, docs.columns)
+    return measures.where(judged(measures, names, refs)[2]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,10 +1,12 @@
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meterloom.llm import mixing, packing, quality
@@ -62,13 +64,46 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert quality.drop_low_quality(df.limit(0)).count() == 0
 
 
-def test_js_distance():
-    p, q = np.array([1, 0, 3]), np.array([0, 2, 2])
-    a, b = p / 4, q / 4
-    m = (a + b) / 2
-    kl = lambda x: sum(v * math.log2(v / w) for v, w in zip(x, m) if v)
-    assert quality.js_distance(p, q) == pytest.approx(math.sqrt((kl(a) + kl(b)) / 2))
-    assert quality.js_distance(p, p) == 0 and quality.js_distance(np.array([1, 0]), np.array([0, 1])) == pytest.approx(1)
+def plain_distance(p, q):
+    if not sum(p) or not sum(q):
+        return 0.0
+    a, b = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    kl = lambda x: sum(v * math.log2(2 * v / (v + w)) for v, w in zip(x, b if x is a else a) if v)
+    return math.sqrt(max(0.0, (kl(a) + kl(b)) / 2))
+
+
+def plain_histograms(text, lang):
+    classes, words = [0] * 6, text.encode().split()
+    for c in text:
+        kind = unicodedata.category(c)
+        if c < "\x80":
+            k = 3 if c <= " " else 0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 4 if c in ".,;:!?'\"()-" else 5
+        else:
+            k = 0 if kind in ("Lu", "Lt") else 1 if kind[0] in "LM" else 2 if kind[0] == "N" else 3 if kind[0] in "ZC" else 4 if kind[0] == "P" else 5
+        classes[k] += 1
+    common = quality.COMMON.get(lang, [])
+    known = [sum(w.decode() == c for w in words) for c in common] + [0] * (20 - len(common))
+    return classes, [*known, len(words) - sum(known)]
+
+
+def test_distances_and_verdicts_equal_plain_ones(spark):
+    """References of the documents that pass the base rules, distances to them, and limits by length."""
+    rng = random.Random(7)
+    rows = [(i, english(rng, rng.randint(5, 300)), rng.choice(["en", "en", "xx", None]), "s", 0) for i in range(60)]
+    rows += [(100, "Été «déjà» — ÀÉ “citation” … 😀 ☃ ½ x̄\u00a0y " * 4 + english(rng, 30), "fr", "s", 0), (101, None, "fr", "s", 0), (102, "der die und | # | # | # " + english(rng, 40), "de", "s", 0), (103, "same words " * 50, "en", "s", 0)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, DOCS), ["doc_id"]).collect()}
+    lang = {i: x if x in quality.COMMON else "other" for i, _, x, _, _ in rows}
+    h = {i: plain_histograms(t or "", lang[i]) for i, t, *_ in rows}
+    base = {i: plain_base(t or "") for i, t, *_ in rows}
+    failed = {i: c[0] < 10 or 100 * c[4] > 20 * c[0] for i, c in base.items()}
+    for i, t, *_ in rows:
+        same = [j for j in h if lang[j] == lang[i] and not failed[j]]
+        d = [plain_distance(h[i][k], [sum(x) for x in zip(*(h[j][k] for j in same))]) for k in (0, 1)]
+        r = got[i]
+        assert (r["class_distance"], r["word_distance"]) == (pytest.approx(d[0], abs=1e-9), pytest.approx(d[1], abs=1e-9))
+        noise = lambda k: math.sqrt((k - 1) / (8 * max(1, base[i][0]) * math.log(2)))
+        assert r["kept"] == (not failed[i] and d[0] < noise(6) + quality.CLASS_MARGIN and d[1] < noise(21) + quality.WORD_MARGIN)
+    assert failed[103] and not got[103]["kept"]
 
 
 def water(sizes):
@@ -96,25 +131,27 @@ def test_mixing(spark):
     for r in rows:
         sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").split())
     want, taken = water(sizes), {}
-    out = mixing.mix(df).collect()
+    out = mixing.mix(df)[0].collect()
     for r in out:
-        assert r["__mix_size"] == len((r["text"] or "").split()) and r["__mix_source_size"] == sizes[r["source"]]
-        assert r["__mix_target"] == pytest.approx(want[r["source"]])
-        assert 0 <= r["__mix_copies"] <= 3
-        taken[r["source"]] = taken.get(r["source"], 0) + r["__mix_copies"] * r["__mix_size"]
+        assert r["mix_size"] == len((r["text"] or "").split()) and r["mix_source_size"] == sizes[r["source"]]
+        assert r["mix_target"] == pytest.approx(want[r["source"]])
+        assert 0 <= r["mix_copies"] <= 3
+        taken[r["source"]] = taken.get(r["source"], 0) + r["mix_copies"] * r["mix_size"]
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
     for k, t in want.items():
         assert abs(taken[k] - t) <= max(0.15 * t, 150)
-    again = {(r["doc_id"], r["source"]): r["__mix_copies"] for r in mixing.mix(df.repartition(7)).collect()}
-    assert again == {(r["doc_id"], r["source"]): r["__mix_copies"] for r in out}
+    again = {(r["doc_id"], r["source"]): r["mix_copies"] for r in mixing.mix(df.repartition(7))[0].collect()}
+    assert again == {(r["doc_id"], r["source"]): r["mix_copies"] for r in out}
     repeated = mixing.mixed(df)
-    assert repeated.columns == df.columns and repeated.count() == sum(r["__mix_copies"] for r in out)
-    assert mixing.mix(df.limit(0)).count() == 0
+    assert repeated.columns == df.columns and repeated.count() == sum(r["mix_copies"] for r in out)
+    assert mixing.mix(df.limit(0))[0].count() == 0
+    clash = df.limit(20).withColumns({"mix_key": F.lit(1), "mix_size": F.lit(2), "a.b": F.lit(3)})
+    assert mixing.mixed(clash).columns == clash.columns and {tuple(r)[-3:] for r in mixing.mixed(clash).collect()} == {(1, 2, 3)}
 
 
 def test_mixing_caps_small_sources(spark):
     rows = [(i, "w " * 50, "en", "big", 0) for i in range(100)] + [(1000 + i, "w " * 2, "en", f"s{i}", 0) for i in range(9)]
-    t = {r["source"]: r["__mix_target"] for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    t = {r["source"]: r["mix_target"] for r in mixing.mix(spark.createDataFrame(rows, DOCS))[0].collect()}
     assert t == pytest.approx(water({"big": 5000, **{f"s{i}": 2 for i in range(9)}}))
 
 
