@@ -1,8 +1,9 @@
 """URL filters by association rules, with DataFrame operations only.
 
 Labelled URLs are baskets of tokens (host labels, path words, file endings, names of query
-parameters; numbers become ``#``) plus the item ``@bad`` where the label says so. FP-growth finds the
-frequent baskets; rules with @bad on the right are kept if their confidence is high, if even the lower
+parameters; numbers become ``#``). FP-growth finds the token combinations that are frequent among the bad
+ones: the only rules that are asked for are "these tokens, so bad". How often all baskets have each is
+counted by the same inverted index that applies the rules. A rule is kept if their confidence is high, if even the lower
 end of its 99.9 % interval (Wilson; many rules are tried) is well above the share of bad URLs, and if no
 rule with fewer tokens is as confident. The rest is an inverted index: each rule is filed under its rarest token, URLs look
 their tokens up, and a rule applies if all its tokens are there.
@@ -11,7 +12,8 @@ Explicit rules (host, path) come first: a rule fits its host and all subdomains
 with the rule's path, and the longest that fits decides.
 
 A null URL, or one without ``://``, has empty host and path and no tokens; it is allowed. Repeated
-pages are judged alike. Without labelled pages there are no mined rules.
+pages are judged alike, other columns are left out, and empty tables give no rows. Without labelled pages
+there are no mined rules.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import small, stored
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_COUNT = 0.002, 0.6, 1.5, 5
-BAD = "@bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The explicit rules, verdict and host with path.
@@ -62,29 +63,38 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(F.concat(host, path, params), lambda t: F.length(t) > 2)), F.array().cast("array<string>"))
 
 
+def filed(sets: DataFrame, often: DataFrame) -> DataFrame:
+    """``sets`` with ``filed``, the rarest of their tokens (then the first by name). often: (t, freq)."""
+    by = sets.select("tokens", F.explode("tokens").alias("t")).join(often, "t").groupBy("tokens").agg(F.min_by("t", F.struct("freq", "t")).alias("filed"))
+    return sets.join(by, "tokens")
+
+
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """(rule_id, tokens, filed, confidence, support) from rows (url, bad)."""
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, filed string, confidence double, support double")
-    baskets = stored(labelled.select(F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), F.lit(BAD))).otherwise(tokens_of(F.col("url"))).alias("items")), "baskets")
-    total, bad = baskets.agg(F.count("*"), F.count(F.when(F.array_contains("items", BAD), 1))).first()
+    baskets = labelled.select(tokens_of(F.col("url")).alias("items"), "bad").groupBy(F.array_sort("items").alias("items"))
+    baskets = stored(baskets.agg(F.count("*").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("n_bad")), "baskets")
+    total, bad = baskets.agg(F.sum("n"), F.sum("n_bad")).first()
     if not bad:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    share = bad / total
-    rules = model.associationRules.where(F.col("consequent")[0] == BAD)
-    n, p, z = F.col("support") * total / F.col("confidence"), F.col("confidence"), 3.29
+    least = max(min_support * total, MIN_COUNT)  # bad URLs that a rule must have
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / bad)).fit(baskets.select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n_bad")).alias("i")).where("n_bad > 0").select("items"))
+    sets = found.freqItemsets.where(F.size("items") > 0).select(F.array_sort("items").alias("tokens"), "freq")
+    often = stored(baskets.select("n", F.explode("items").alias("t")).groupBy("t").agg(F.sum("n").alias("freq")), "tokens")
+    sets = stored(filed(sets, often), "token-sets")
+    every = baskets.select("n", F.col("items").alias("own"), F.explode("items").alias("filed")).join(sets.select("filed", "tokens"), "filed")
+    every = every.where(F.size(F.array_except("tokens", "own")) == 0).groupBy("tokens").agg(F.sum("n").alias("n"))
+    n, p, z, share = F.col("n"), F.col("confidence"), 3.29, bad / total
     lower = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    rules = rules.where((lower >= share * min_lift) & (F.col("support") * total >= MIN_COUNT - 0.5)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = stored(rules.where(F.size("tokens") > 0), "rules")
+    rules = sets.join(every, "tokens").withColumns({"confidence": F.col("freq") / F.col("n"), "support": F.col("freq") / total})
+    rules = rules.where((p >= min_confidence) & (lower >= share * min_lift))
+    rules = stored(rules.select("tokens", "filed", "confidence", "support"), "rules")
     # a rule goes if one with a part of its tokens is as confident: parts are found by their first token
     part = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("c"), F.col("tokens")[0].alias("t"))
     over = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(part, "t")
     over = over.where((F.size("less") < F.size("tokens")) & (F.size(F.array_except("less", "tokens")) == 0) & (F.col("c") >= F.col("confidence")))
-    rules = rules.join(over.select("tokens").distinct(), "tokens", "left_anti")
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
-    filed = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("t")).join(often, "t")
-    return filed.groupBy("tokens").agg(F.min_by("t", F.struct("freq", "t")).alias("filed"), F.max("confidence").alias("confidence"), F.max("support").alias("support")).withColumn("rule_id", F.xxhash64("tokens"))
+    return rules.join(over.select("tokens").distinct(), "tokens", "left_anti").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "filed", "confidence", "support")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import math
 import random
+from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterloom.llm import licenses, urls
 
@@ -57,6 +60,36 @@ def test_mined_rules_block(spark):
             assert out[i]["verdict"] == "allow"
 
 
+def plain_rules(rows, support, confidence, lift):
+    """Every combination of tokens that a bad URL has."""
+    total, bad = len(rows), [t for t, b in rows if b]
+    rules = {}
+    for x in {frozenset(c) for t in bad for k in range(1, len(t) + 1) for c in combinations(sorted(t), k)}:
+        n, k = sum(x <= t for t, _ in rows), sum(x <= t for t in bad)
+        p, z = k / n, 3.29
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if k >= max(support * total, urls.MIN_COUNT) - 0.5 and p >= confidence and low >= lift * len(bad) / total:
+            rules[x] = p
+    return {x: p for x, p in rules.items() if not any(y < x and q >= p for y, q in rules.items())}
+
+
+def test_mined_rules_equal_every_combination(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        host = rng.choice(["a.net", "b.net", "c.org"])
+        path = "/".join(rng.sample(["x", "win", "play", "now", "read"], rng.randint(1, 4)))
+        bad = rng.random() < (0.9 if "win" in path and "play" in path else 0.85 if host == "c.org" and "now" in path else 0.1)
+        rows.append((f"http://{host}/{path}", bad))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = [(frozenset(r["t"]), r["bad"]) for r in df.select(urls.tokens_of(F.col("url")).alias("t"), "bad").collect()]
+    got = {frozenset(r["tokens"]): r["confidence"] for r in urls.mined_rules(df).collect()}
+    want = plain_rules(tokens, urls.MIN_SUPPORT, urls.MIN_CONFIDENCE, urls.MIN_LIFT)
+    assert want and set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+    best = {r["url"]: r["confidence"] for r in urls.matched(df, urls.mined_rules(df)).collect()}
+    assert best == {u: pytest.approx(max(p for x, p in want.items() if x <= t)) for (u, _), (t, _) in zip(rows, tokens) if any(x <= t for x in want)}
+
+
 def brute_best(text, t=0.8):
     """The best stretch of lines of each template, every stretch tried."""
     lines = text.split("\n")
