@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stored
+from .common import small, stored
 
 MAX_LEN = 4096
 END_ID = 1
@@ -292,27 +292,36 @@ def pieces_of(docs: DataFrame, file: bytes, most: int = MAX_LEN) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def numbered(pieces: DataFrame, groups: int) -> DataFrame:
-    """Adds number: pieces of a length are counted from 0. Each length is dealt into ``groups`` groups
-    by hash, numbered apart and shifted by the groups before, so a length that many have is no hot key."""
-    keyed = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    sizes = keyed.groupBy("length", "grp").agg(F.count("*").alias("n"))
+#: Pieces of one length are numbered in groups of about so many.
+GROUP_ROWS = 100_000
+
+
+def numbered(pieces: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Adds number: pieces of a length are counted from 0. Each length is dealt into groups by its rows'
+    numbers, numbered apart and shifted by the groups before, so a length that many have is no hot key, nor are
+    repeated rows. There are as many groups as lengths, and one more for each GROUP_ROWS pieces."""
+    spark = pieces.sparkSession
+    groups = spark.createDataFrame([(int(k), int(counts[k] // GROUP_ROWS + 1)) for k in np.nonzero(counts)[0]], "length long, groups long")
+    keyed = pieces.join(F.broadcast(groups), "length")  # a row for each length
+    keyed = keyed.withColumn("grp", F.pmod(F.xxhash64("row"), F.col("groups"))).drop("groups")
+    sizes = stored(keyed.groupBy("length", "grp").agg(F.count("*").alias("n")), "pack-sizes")
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-    own = F.row_number().over(Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "ids_crc32"))
-    return keyed.withColumn("own", own).join(stored(before.select("length", "grp", "before"), "pack-groups"), ["length", "grp"]).withColumn("number", F.col("before") + F.col("own") - 1).drop("own", "before", "grp")
+    own = F.row_number().over(Window.partitionBy("length", "grp").orderBy("row"))
+    before = small(stored(before.select("length", "grp", "before"), "pack-groups"))
+    return keyed.withColumn("own", own).join(before, ["length", "grp"]).withColumn("number", F.col("before") + F.col("own") - 1).drop("own", "before", "grp")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, most: int = MAX_LEN, grid: int = 64) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of all rows."""
     with open(tokenizer_path, "rb") as f:
         file = f.read()
-    cut = stored(pieces_of(docs, file, most), "pieces")
+    # a row's number, once stored, stays
+    cut = stored(pieces_of(docs, file, most).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(most + 1, np.int64)
     for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``most`` rows
         counts[r["length"]] = r["n"]
     # plain arrays: broadcasts are pickled by reference to classes, which workers may lack
     plan = docs.sparkSession.sparkContext.broadcast(Plan.of(packed(counts, most, grid)).arrays())
-    groups = int(max(16, min(4096, counts.max(initial=0) // 2000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,4 +330,4 @@ def pack(docs: DataFrame, tokenizer_path: str, most: int = MAX_LEN, grid: int =
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return numbered(cut, groups).select(*names, "number").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered(cut, counts).select(*names, "number").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
