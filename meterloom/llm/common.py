@@ -1,15 +1,15 @@
-"""What the training-data operators share: tables in the shared folder, bounded broadcasts,
+"""What the training-data operators share: bounded broadcasts and bitmaps,
 connected components, and helpers for reading Arrow batches in bounded pieces."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import released, stored
+
 #: A word is a maximal run of characters other than these (space, \t, \n, \v, \f, \r).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,29 +20,6 @@ BROADCAST_ROWS = 20_000
 PIECE_BYTES = 8 << 20
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a local session) a temporary folder is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="meterloom-")
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives the
-    loss of executors, and gives later joins plain scans that adaptive execution can split."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meterloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else unchanged (the join then
     shuffles, and adaptive execution splits skewed partitions). Pass a stored table: it is counted."""
@@ -62,8 +39,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("low"))
         spread = stored(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "low").alias("label")), "spread")
         up = spread.select(F.col("id").alias("up"), F.col("label").alias("top"))
-        labels = stored(spread.join(up, spread.label == up.up).select("id", "old", F.col("top").alias("label")), "labels")
+        before, labels = labels, stored(spread.join(up, spread.label == up.up).select("id", "old", F.col("top").alias("label")), "labels")
+        released(before, spread)
         if labels.where("label <> old").isEmpty():
+            released(both)
             return labels.select("id", F.col("label").alias("component"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, stored
+from .common import components, released, small, stored
 
 CHUNK, LEAF, LEADING = 1024, 256, 12
 #: An interval has at least so many vectors, and at most so many bytes (of double precision).
@@ -248,6 +248,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         mean, axes = axes_of(own)
         chunks = ordered(own, mean, axes, eps)
         got = stored(links(chunks, stored(interval_pairs(chunks, eps), "interval-pairs"), mean, axes, threshold), "vector-links")
+        released(chunks)
         found = got if found is None else found.unionByName(got)
     info = classes.select("v", "key", "copies", "vec_id")
     if found is not None:

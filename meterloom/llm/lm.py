@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 from .shingles import mix as scramble
 
 ADD = 0.1
@@ -263,7 +263,7 @@ class Automaton:
         return out
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, parts: int) -> DataFrame:
     """What buckets tell blocks; n_distinct: the bucket's keys with a count, in one of its rows."""
 
     def add(key, t):
@@ -280,7 +280,7 @@ def answers(asked: DataFrame) -> DataFrame:
             n = 0
         return _arrow(rows, ANSWER)
 
-    return asked.groupBy("level", "bucket").applyInArrow(add, ANSWER)
+    return asked.repartition(parts, "level", "bucket").groupBy("level", "bucket").applyInArrow(add, ANSWER)
 
 
 def _with_blocks(blocks: DataFrame, told: DataFrame, parts: int, work, schema: str) -> DataFrame:
@@ -315,7 +315,7 @@ def score(docs: DataFrame, order: int = 3, m: tuple[float, ...] | None = None) -
                 b = Block(batch.slice(i, 1).to_pylist()[0], min(order, 2))
                 yield from _arrow([r for k in range(1, min(order, 2) + 1) for r in b.requests(k, buckets)], REQUEST).to_batches()
 
-    told = stored(answers(blocks.mapInArrow(first_requests, REQUEST)), "lm-answers")
+    told = stored(answers(blocks.mapInArrow(first_requests, REQUEST), 2 * buckets), "lm-answers")
     distinct = told.where("level = 1").agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0]
     priors: list[float] = []
     for level in range(3, order + 1):
@@ -327,7 +327,8 @@ def score(docs: DataFrame, order: int = 3, m: tuple[float, ...] | None = None) -
 
         asked = stored(_with_blocks(blocks, told, parts, more, REQUEST), "lm-requests")
         priors.append(GRID[_best(asked)] if m is None else m[level - 3])
-        told = told.unionByName(stored(answers(asked.where("level > 0")), "lm-answers"))
+        told = told.unionByName(stored(answers(asked.where("level > 0"), 2 * buckets), "lm-answers"))
+        released(asked)
     grid = GRID if m is None else (m[order - 2],) if order > 1 else (1.0,)
 
     def last(row, told, priors=tuple(priors)):
@@ -341,5 +342,6 @@ def score(docs: DataFrame, order: int = 3, m: tuple[float, ...] | None = None) -
         return [*zip(b.docs, b.outs, b.n.tolist(), known, base, scores, [None] * len(b.docs)), (None, None, None, None, None, None, fit)]
 
     rows = stored(_with_blocks(blocks, told, parts, last, SCORE), "lm-scores")
+    released(blocks)
     best = _best(rows) if m is None else 0
     return rows.where("scores is not null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, null_safe, small, stored
+from .common import WORD, fresh, null_safe, small, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -61,23 +61,25 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return table.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", prefix: str = "__mix_") -> DataFrame:
-    """``docs`` with columns size, source_size, target and copies, named with ``prefix``."""
-    size, source, copies = f"{prefix}size", f"{prefix}source", f"{prefix}copies"
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", prefix: str = "mix_") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns size, source_size, target and copies, and the names that these have: with
+    ``prefix``, and underscores after them where ``docs`` has such a column."""
+    new = {c: fresh(docs, prefix + c) for c in ("size", "source_size", "target", "copies", "key", "source")}
     sized = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     name = F.col("source").cast("string")
     sources = stored(docs.select(name.alias("source"), sized.alias("n")).groupBy("source").agg(F.sum("n").alias("source_size")), "sources")
     plan = stored(targets(sources, weights, most), "targets")
-    plan = plan.select(F.col("source").alias(source), F.col("source_size").alias(f"{prefix}source_size"), F.col("target").alias(f"{prefix}target"))
-    out = null_safe(docs.withColumn(f"{prefix}key", name), small(plan), {f"{prefix}key": source}, "left")
-    rate = F.when(F.col(f"{prefix}source_size") > 0, F.col(f"{prefix}target") / F.col(f"{prefix}source_size")).otherwise(F.lit(0.0))
+    plan = plan.select(*[F.col(c).alias(new[c]) for c in ("source", "source_size", "target")])
+    out = null_safe(docs.withColumn(new["key"], name), small(plan), {new["key"]: new["source"]}, "left")
+    rate = F.when(F.col(new["source_size"]) > 0, F.col(new["target"]) / F.col(new["source_size"])).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     more = draw(F.col("doc_id"), seed) < rate - whole
-    return out.withColumn(size, sized).withColumn(copies, (whole + more.cast("long")).cast("long")).drop(f"{prefix}key", source)
+    return out.withColumn(new["size"], sized).withColumn(new["copies"], (whole + more.cast("long")).cast("long")).drop(new["key"], new["source"]), new
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; all columns are kept."""
-    out = mix(docs, **how).where("__mix_copies > 0")
-    one = out.withColumn("__mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
+    """``docs`` with each row as often as the mix takes it; all columns, whatever their names, are kept."""
+    out, new = mix(docs, **how)
+    copies = F.col(new["copies"])
+    one = out.where(copies > 0).withColumn(new["key"], F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return one.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, null_safe, sieve, sifted, stored
+from .common import components, fresh, null_safe, released, sieve, sifted, stored
 from .shingles import MinHash, Words, bands_for, shingle_set
 
 #: A unit holds up to twice so many classes, and twice so many shingles.
@@ -86,7 +86,9 @@ def _candidates(classes: DataFrame) -> DataFrame:
         "canon",
         F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1).alias("part"),
     )
-    return stored(rows.join(canons, "cls"), "units")
+    units = stored(rows.join(canons, "cls"), "units")
+    released(buckets, groups, named, of)
+    return units
 
 
 def links_in_unit(sets: list[np.ndarray], part: np.ndarray, canon: int, canons: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -192,10 +194,14 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, n
     # a merge join: there may be any number of candidates, and all have texts
     texts = null_safe(texts, wanted.hint("merge"), {"doc_id": "row_id", "text_hash": "row_hash"}, "inner").groupBy("cls", "copies").agg(F.first("text").alias("text"))
     found = stored(verified(units, texts, threshold, n), "found")
+    released(units, wanted)
     comp = components(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    every = classes
     classes = classes.select("cls", "copies", "class_id").join(links, "cls", "left").join(comp.withColumnRenamed("id", "cls"), "cls", "left")
-    return rows, stored(classes.select("cls", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("component")), "linked")
+    linked = stored(classes.select("cls", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("component")), "linked")
+    released(every, found)
+    return rows, linked
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, n: int = 5) -> DataFrame:

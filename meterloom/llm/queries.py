@@ -27,15 +27,9 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select(
-        "doc_id",
-        F.col("__mix_size").alias("size"),
-        F.col("__mix_source_size").alias("source_size"),
-        F.col("__mix_target").alias("target"),
-        (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"),
-        F.col("__mix_copies").alias("copies"),
-    )
+    out, new = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = F.col(new["size"]) * F.col(new["copies"])
+    return out.select("doc_id", *[F.col(new[c]).alias(c) for c in ("size", "source_size", "target")], taken.alias("taken"), F.col(new["copies"]).alias("copies"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,19 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     a, b = step["packing"]
     assert b.where("piece = 0").count() == a.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == b.count()
+
+
+def test_pipeline_of_nothing_and_of_clashing_columns(spark, tmp_path):
+    """No rows; then columns whose names the operators use, which all stages but the last pass unchanged."""
+    rng = random.Random(6)
+    names = "doc_id long, text string, lang string, source string, n_chars long, kinds string, cls string, `a.b` int, mix_key int, mix_copies int, c0 int, kept int, length int"
+    rows = [(i, english(rng, 60), None if i % 5 == 0 else "en", None if i % 7 == 0 else "s", 1, "k", "c", 2, 3, 4, 5, 6, 7) for i in range(30)] + [(None, None, None, None, None, "k", "c", 2, 3, 4, 5, 6, 7)]
+    for folder, data in (("none", []), ("some", rows)):
+        df = spark.createDataFrame(data, names)
+        df.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == df.columns
+        assert {tuple(r)[5:] for r in docs.collect()} == {r[5:] for r in data}
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{folder}").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
