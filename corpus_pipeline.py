@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+All stages but the last return the columns of documents, other columns of whatever names included. Null
+texts fail the base rules and go; rows with a null doc_id, language or source are rows like others; of near
+copies, repeated rows included, the one of the smallest doc_id stays (a null one if there is no other). An empty table gives no rows. Very long texts are read whole and packed in pieces."""
 
 from __future__ import annotations
 
