@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quality import COMMON
+
 THRESHOLD = 0.8
 
 # Public licences' texts and notices, placeholders in angle brackets.
@@ -133,6 +135,8 @@ def siblings() -> dict[str, tuple[str, ...]]:
 
 
 TEMPLATES = {k: (*TEMPLATES.get(k, ()), *siblings().get(k, ())) for k in sorted({*TEMPLATES, *siblings()})}
+# Words that ordinary texts have.
+ORDINARY = {*COMMON["en"], *"under which may not or any all you your this these if no more use used work works made make free available terms program version file files see name names own part new nd sa nc".split()}
 #: Words that tell variants of a family apart, by how the licence's name begins.
 VARIANTS = {"CC-": {"noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd", "non", "share", "no"}, "GPL": {"lesser", "affero"}, "LGPL": {"lesser", "affero"}, "AGPL": {"lesser", "affero"}}
 
@@ -172,11 +176,13 @@ class Template:
         self.low, self.high = math.ceil(threshold * m / (2 - threshold) - 1e-9), math.floor((2 - threshold) * m / threshold + 1e-9)
         # more of the rarest bigrams than a stretch can be without
         take, self.probes = m - self.low + 1, set()
-        for g in sorted(self.bigrams, key=lambda g: (min(often[w] for w in g), g)):
+        whole = {g: [w for w in g if "." not in w] for g in self.bigrams}
+        rarest = {g: min(x, key=lambda w: (often[w], -len(w), w)) for g, x in whole.items() if x}
+        for g in sorted(rarest, key=lambda g: (often[rarest[g]], g)):
             if take <= 0:
                 break
             take -= self.bigrams[g]
-            self.probes.add(min((w for w in g if "." not in w), key=lambda w: (often[w], -len(w), w)))
+            self.probes.add(rarest[g])
 
 
     def fits(self, words: list[str]) -> bool:
@@ -187,8 +193,8 @@ class Template:
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
         often = Counter(w for texts in templates.values() for t in texts for w in set(words_of(t)))
-        # short words, which any text may have, are poor probes
-        often.update({w: 1000 if len(w) < 3 else 300 for w in list(often) if len(w) < 4 or "." in w})
+        # words that any text may have are poor probes, short ones and numbers not the best
+        often.update({w: 1000 if w in ORDINARY else 100 for w in list(often) if w in ORDINARY or len(w) < 4 or w[0].isdigit()})
         self.threshold = threshold
         self.templates = [Template(k, t, threshold, often) for k, texts in templates.items() for t in texts]
         self.probes = {w.encode() for t in self.templates for w in t.probes}
