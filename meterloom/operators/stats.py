@@ -90,7 +90,7 @@ def sign_flip(d: DataFrame, keys: list[str], entity: str = "entity", n: int = 10
     obs = d.groupBy(*keys).agg(F.abs(F.avg("d")).alias("obs"))
     sign = F.when(_hash01(F.lit("flip"), F.col(entity), F.col("rep")) < 0.5, -1.0).otherwise(1.0)
     null = _replicates(d, n).groupBy(*keys, "rep").agg(F.abs(F.avg(sign * F.col("d"))).alias("m"))
-    hits = null.join(F.broadcast(obs), keys).groupBy(*keys).agg(F.count(F.when(F.col("m") >= F.col("obs") - 1e-15, 1)).alias("k"))
+    hits = null.join(obs, keys).groupBy(*keys).agg(F.count(F.when(F.col("m") >= F.col("obs") - 1e-15, 1)).alias("k"))
     return hits.select(*keys, ((1 + F.col("k")) / (n + 1)).alias("p_perm"))
 
 
@@ -134,7 +134,8 @@ def ratio_bootstrap(ops: DataFrame, keys: list[str], unit: str = "entity", n: in
 def random_intercept(d: DataFrame, keys: list[str], group: str = "site") -> DataFrame:
     """(keys, mixed_est, p_mixed): the mean of d with a random intercept per group, by REML. The ratio of
     the two variances is the one free parameter; its profile likelihood is searched on a log grid
-    and refined by golden section."""
+    and refined by golden section. The fit needs each group's count, mean and sum of squares only, so a task
+    holds a row for each group, not the rows of d."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keys).schema.fields)
 
     def fit(n: np.ndarray, mean: np.ndarray, within: float, lam: float) -> tuple[float, float, float]:
@@ -146,11 +147,9 @@ def random_intercept(d: DataFrame, keys: list[str], group: str = "site") -> Data
         return -0.5 * (df * np.log(s2) + np.log1p(lam * n).sum() + np.log(w.sum())), mu, np.sqrt(s2 / w.sum())
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.groupby(group)["d"]
-        n, mean = g.size().to_numpy(float), g.mean().to_numpy()
-        within = float(((pdf["d"] - g.transform("mean")) ** 2).sum())
+        n, mean, within = pdf["n"].to_numpy(float), pdf["mean"].to_numpy(float), float(pdf["ss"].sum())
         out = pdf[keys].iloc[:1].copy()
-        if n.sum() < 2 or pdf["d"].std() == 0:
+        if n.sum() < 2 or within + (n * (mean - np.average(mean, weights=n)) ** 2).sum() <= 1e-24:
             return out.assign(mixed_est=np.nan, p_mixed=np.nan)
         grid = np.concatenate([[0.0], np.logspace(-6, 4, 201)])
         k = int(np.argmax([fit(n, mean, within, x)[0] for x in grid]))
@@ -163,7 +162,8 @@ def random_intercept(d: DataFrame, keys: list[str], group: str = "site") -> Data
         _, mu, se = fit(n, mean, within, best)
         return out.assign(mixed_est=mu, p_mixed=2 * (1 - normal_cdf(abs(mu / se))))
 
-    return d.groupBy(*keys).applyInPandas(work, f"{schema}, mixed_est double, p_mixed double")
+    groups = d.where("d is not null").groupBy(*keys, group).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), (F.var_pop("d") * F.count("d")).alias("ss"))
+    return groups.groupBy(*keys).applyInPandas(work, f"{schema}, mixed_est double, p_mixed double")
 
 
 def signed_rank(d: DataFrame, keys: list[str]) -> DataFrame:

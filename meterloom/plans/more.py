@@ -121,6 +121,37 @@ SELECT entity, idx, site_id, got IS NOT NULL AS measured, round(x, 6) AS x, roun
 # ---------------------------------------------------------------- series
 
 
+def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily value shipped, by return flag and line status."""
+    li = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", F.lit("_"), "l_linestatus").alias("entity"), "l_shipdate", "l_extendedprice")
+    return P.dense(P.resample(li, "entity", "l_shipdate", "l_extendedprice", "day", "sum", 2), "1 day")
+
+
+_SHIPPED = """d0 AS (SELECT l_returnflag || '_' || l_linestatus AS entity, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, round(sum(l_extendedprice), 2) AS x FROM lineitem GROUP BY 1, 2),
+b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM d0), g AS (SELECT entity, s.ts FROM (SELECT DISTINCT entity FROM d0) e, (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM b) s),
+p AS (SELECT entity, g.ts, x FROM g LEFT JOIN d0 USING (entity, ts))"""
+
+
+@query
+def complete_top(spark, sf_dir):
+    """The most complete entity of each flag, of those that have values on 95 % of the days."""
+    q = P.quality(_shipped(spark, sf_dir)).withColumn("site", C.site_of(F.col("entity")))
+    return P.select_top(q, "site", 1).select("site", "entity", "n", *r6("completeness"), F.round("mean", 3).alias("mean"))
+
+
+SQL["complete_top"] = f"""WITH {_SHIPPED}, q AS (SELECT split_part(entity, '_', 1) AS site, entity, count(*) AS n, avg((x IS NOT NULL)::INT::DOUBLE) AS completeness, avg(x) AS mean, stddev_samp(x) AS sd, max(x) AS top FROM p GROUP BY 1, 2)
+SELECT site, entity, n, round(completeness, 6) AS completeness, round(mean, 3) AS mean FROM q WHERE completeness >= 0.95 AND sd > 0.05 * greatest(abs(mean), 1e-9) AND top > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY completeness DESC, entity) = 1"""
+
+
+@query
+def eligible_long(spark, sf_dir):
+    """Entities of at least 2000 rows, half of them known."""
+    return P.eligible(_shipped(spark, sf_dir))
+
+
+SQL["eligible_long"] = f"WITH {_SHIPPED} SELECT entity, count(*) AS n, count(x) AS n_known FROM p GROUP BY 1 HAVING count(*) >= 2000 AND count(x) >= 0.5 * count(*)"
+
+
 @query
 def degree_days(spark, sf_dir):
     """Daily sums of the load from degrees above and below two balance points."""

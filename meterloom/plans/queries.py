@@ -635,11 +635,11 @@ def _fusion_sql() -> str:
     parts, picks = [], []
     for i, (w, s) in enumerate(_FUSED):
         parts.append(f"y{i} AS (SELECT entity, idx, CAST({s} AS DOUBLE) AS s FROM z1)")
-        parts.append(_flagger(f"y{i}", _LAG, "111 PRECEDING AND CURRENT ROW", f"g{i}").replace(">= 84", ">= 28"))
-        parts.append(_runs(f"g{i}", f"n{i}"))
+        parts.append(_flagger(f"y{i}", _LAG, "111 PRECEDING AND CURRENT ROW", f"g{i}_").replace(">= 84", ">= 28"))
+        parts.append(_runs(f"g{i}_", f"n{i}_"))
         picks.append(
-            f"""SELECT '{w}' AS option, (SELECT count(*) FROM ev WHERE EXISTS (SELECT 1 FROM g{i} g WHERE g.entity = ev.entity AND flag AND g.idx >= ev."start" AND g.idx < ev."end")) AS tp_events, (SELECT count(*) FROM ev) AS n_events,
-  (SELECT count(*) FROM n{i} r WHERE EXISTS (SELECT 1 FROM ev WHERE ev.entity = r.entity AND r."start" < ev."end" AND ev."start" < r."end")) AS tp_runs, (SELECT count(*) FROM n{i}) AS n_runs"""
+            f"""SELECT '{w}' AS option, (SELECT count(*) FROM ev WHERE EXISTS (SELECT 1 FROM g{i}_ g WHERE g.entity = ev.entity AND flag AND g.idx >= ev."start" AND g.idx < ev."end")) AS tp_events, (SELECT count(*) FROM ev) AS n_events,
+  (SELECT count(*) FROM n{i}_ r WHERE EXISTS (SELECT 1 FROM ev WHERE ev.entity = r.entity AND r."start" < ev."end" AND ev."start" < r."end")) AS tp_runs, (SELECT count(*) FROM n{i}_) AS n_runs"""
         )
     body = " UNION ALL ".join(picks)
     return f"""WITH {_FUSE}, {', '.join(parts)}, m0 AS ({body}), m1 AS (SELECT *, tp_runs / greatest(n_runs, 1) AS p, tp_events / greatest(n_events, 1) AS r FROM m0),
