@@ -161,18 +161,18 @@ def measured(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str
     source = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)], F.col("text").cast("binary").alias("read_text"), F.when(lang.isin(*COMMON), lang).otherwise(OTHER).alias("read_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(200_000)
         for batch in batches:
-            rows, hists = [], []
+            rows, hists = [], np.zeros((batch.num_rows, 27), np.int64)
             text, langs = batch.column(len(own)), batch.column(len(own) + 1)
             for i in range(batch.num_rows):
                 t = Text(text[i].as_py() or b"", words)
                 counts = t.base_counts()
                 rows.append((*counts, counts[0] < 10 or 100 * counts[-1] > 20 * counts[0]))
-                hists.append(t.histograms(langs[i].as_py()).tolist())
+                hists[i] = t.histograms(langs[i].as_py())
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(own))), langs, *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_()), pa.array(hists, pa.list_(pa.int64()))],
+                [*(batch.column(i) for i in range(len(own))), langs, *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_()), pa.ListArray.from_arrays(np.arange(0, hists.size + 1, 27, dtype=np.int32), hists.ravel())],
                 names=[*own, "lang", *COUNTS, "base_failed", "histograms"],
             )
 
