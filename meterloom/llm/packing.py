@@ -15,6 +15,7 @@ Rows that repeat are packed each on their own.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -191,9 +192,15 @@ class Plan:
 class WordTokenizer:
     """Ids of texts as the tokenizer gives them (no special tokens added), as bytes of little-endian
     32-bit numbers. Texts of Latin letters and common marks are split here into the pre-tokens that
-    the tokenizer's rules make, whose ids are kept; other texts go through the tokenizer whole."""
-
-    # The tokenizer's own splitting pattern.
+    the tokenizer's rules make, whose ids are kept; other texts go through the tokenizer whole, and so do
+    all texts if the file has other rules than those below."""
+
+    # The tokenizer's own rules, and its splitting pattern.
+    RULES = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": ["Split", "ByteLevel"],
+        "end_of_word_suffix": "</w>",
+    }
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     # Latin letters and common marks in which white space is that of str.split, lower case is a matter of
     # single letters, and nothing composes.
@@ -203,6 +210,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(file)
+        self.by_words = self.splits_so(json.loads(file))
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -211,6 +219,21 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {}  # what stands between white space
         self.parts: dict[str, bytes] = {}  # pre-tokens
 
+    @classmethod
+    def splits_so(cls, file: dict) -> bool:
+        """Whether the tokenizer in the file normalises and splits as this class does."""
+        steps = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return (
+            file.get("normalizer") == cls.RULES["normalizer"]
+            and [s["type"] for s in steps] == cls.RULES["pre_tokenizer"]
+            and steps[0].get("pattern") == {"Regex": cls.SPLIT}
+            and steps[0].get("behavior") == "Removed"
+            and steps[0].get("invert") is True
+            and not steps[1].get("use_regex")
+            and file["model"].get("end_of_word_suffix") == cls.RULES["end_of_word_suffix"]
+            and not any(t["content"] for t in file.get("added_tokens", []) if "<|" not in t["content"])
+        )
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -240,7 +263,7 @@ class WordTokenizer:
         """The ids of each text, as bytes."""
         out: list[bytes] = []
         for text in texts:
-            if "<|" in text or not self.PLAIN.fullmatch(text):
+            if not self.by_words or "<|" in text or not self.PLAIN.fullmatch(text):
                 out += self._encoded([text])
                 continue
             words = text.lower().split()

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, licenses, lm, mixing, ngram_join, packing, pii, quality, urls
+from . import chat, embeddings, level_packing, licenses, lm, mixing, ngram_join, packing, pii, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op13_level_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_packing.pack_online(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES = {
         op8_quality_rules,
         op9_pii_pseudonyms,
         op10_url_filter,
+        op13_level_packing,
     )
 }
 
