@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import released, stored
@@ -180,7 +180,7 @@ def search(rows: DataFrame, index: MultiIndex, anchors: DataFrame, probe: int, k
     """(anchor, window, vec_id, row, score): for each anchor the ``k`` best rows of each task that its cells fall to.
 
     ``anchors`` has anchor (a row number), label, x, least, and spans: null, or (low, high) scores of each window. Without
-    windows, rows of the anchor's own label are looked for, else those of other labels whose score lies in a window."""
+    windows, rows of the anchor's own label that reach ``least`` are looked for, else those of other labels whose score lies in a window."""
     model = anchors.sparkSession.sparkContext.broadcast((index.codes, index.radii, index.sizes))  # at most CODES squared numbers
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def search(rows: DataFrame, index: MultiIndex, anchors: DataFrame, probe: int, k
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     left = rows.join(shape, "cell").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).select("cell", "block", "vec_id", "row", "label", "x", each(F.col("parts")).alias("part"))
     right = visits.join(shape, "cell").withColumn("part", F.pmod(F.xxhash64("anchor"), F.col("parts"))).select("cell", "part", "anchor", each(F.col("blocks")).alias("block"))
-    right = right.join(anchors.select("anchor", F.col("label").alias("own"), F.col("x").alias("q"), "spans"), "anchor")
+    right = right.join(anchors.select("anchor", F.col("label").alias("own"), F.col("x").alias("q"), "spans", "least"), "anchor")
     names = ["anchor", "window", "vec_id", "row", "score"]
 
     def work(r: pa.Table, a: pa.Table) -> pa.Table:
@@ -213,6 +213,7 @@ def search(rows: DataFrame, index: MultiIndex, anchors: DataFrame, probe: int, k
         x, q = _matrix(r.column("x"))[order], _matrix(a.column("q"))
         anchor, own = a.column("anchor").to_numpy(), a.column("own").to_numpy()
         spans = a.column("spans").to_pylist() if windows else None
+        least = a.column("least").to_numpy()
         found = []
         step = max(1, (4 << 20) // len(x))
         for at in range(0, len(q), step):
@@ -220,7 +221,7 @@ def search(rows: DataFrame, index: MultiIndex, anchors: DataFrame, probe: int, k
             score = q[some] @ x.T
             same = own[some][:, None] == label
             if spans is None:
-                i, j = best(score, same & (anchor[some][:, None] != number), k)
+                i, j = best(score, same & (anchor[some][:, None] != number) & (score >= least[some][:, None]), k)
                 found.append((anchor[some][i], np.zeros(len(i), np.int64), ids[j], number[j], score[i, j]))
                 continue
             for w in range(max(map(len, spans[some]))):
@@ -238,12 +239,20 @@ def first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact(rows: DataFrame, index: MultiIndex, anchors: DataFrame, k: int, needed: Column, windows: bool, tag: str) -> DataFrame:
-    """The first ``k`` of each anchor and window over all rows. ``needed``: an expression of (anchor's) scores, the list of each
-    window's k-th best so far with nulls where there are fewer, and spans; the score below which no row matters."""
-    probed = stored(search(rows, index, anchors.withColumn("least", F.lit(0.0)), PROBE, k, windows), f"{tag}-probe")
+def exact(rows: DataFrame, index: MultiIndex, anchors: DataFrame, k: int, windows: bool, tag: str) -> DataFrame:
+    """The first ``k`` of each anchor and window over all rows."""
+    never = F.lit(float("-inf"))
+    probed = stored(search(rows, index, anchors.withColumn("least", never), PROBE, k, windows), f"{tag}-probe")
     kth = first(probed, k).where(F.col("rank") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("kth"))
-    rest = stored(anchors.join(kth, "anchor", "left").withColumn("least", needed).drop("kth"), f"{tag}-anchors")
+    rest = anchors.join(kth, "anchor", "left")
+    # what is below an anchor's k-th best so far can't be among its best: neither cells nor rows
+    if windows:
+        rest = rest.withColumn("spans", F.transform("spans", lambda s, w: F.struct(F.coalesce(F.col("kth")[w.cast("long")], s["low"]).alias("low"), s["high"].alias("high"))))
+        lows = F.transform("spans", lambda s: F.when(s["low"] <= s["high"], s["low"].cast("double")))
+        rest = rest.withColumn("least", F.coalesce(F.array_min(lows), F.lit(float("inf"))))
+    else:
+        rest = rest.withColumn("least", F.coalesce(F.col("kth")[F.lit(0).cast("long")].cast("double"), never))
+    rest = stored(rest.drop("kth"), f"{tag}-anchors")
     more = stored(search(rows, index, rest, -PROBE, k, windows), f"{tag}-rest")
     out = stored(first(probed.unionByName(more), k), f"{tag}-found")
     released(probed, rest, more)
@@ -267,15 +276,12 @@ def _of_length(rows: DataFrame, dims: int, positives: int, negatives: int, low:
     anchors = rows.where(F.col("vec_id") % every == 0).select(F.col("row").alias("anchor"), "vec_id", "label", "x")
     span = "array<struct<low:long,high:long>>"
     bare = anchors.drop("vec_id").withColumn("spans", F.lit(None).cast(span))
-    never = F.lit(float("-inf"))
-    near = exact(placed, index, bare, positives, F.coalesce(F.col("kth")[0].cast("double"), never), False, "positives")
+    near = exact(placed, index, bare, positives, False, "positives")
     # 100 * score >= low * positive and 100 * score <= high * positive, in whole numbers
     scores = near.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("score").alias("s")))).alias("near"))
     window = F.transform("near", lambda p: F.struct((-F.floor(-p["s"] * low / F.lit(100))).cast("long").alias("low"), F.floor(p["s"] * high / F.lit(100)).cast("long").alias("high")))
     spans = stored(anchors.join(scores, "anchor").select("anchor", "label", "x", window.cast(span).alias("spans")), "windows")
-    # of each window: its k-th best so far, or its least score
-    wanted = F.transform("spans", lambda s, w: F.when(s["low"] <= s["high"], F.coalesce(F.col("kth")[w.cast("long")], s["low"]).cast("double")))
-    far = exact(placed, index, spans, negatives, F.coalesce(F.array_min(wanted), F.lit(float("inf"))), True, "negatives")
+    far = exact(placed, index, spans, negatives, True, "negatives")
     near = near.select("anchor", (F.col("rank") - 1).cast("long").alias("window"), F.col("vec_id").alias("positive"), F.col("score").alias("positive_score"))
     far = far.select("anchor", "window", "rank", F.col("vec_id").alias("negative"), F.col("score").alias("negative_score"))
     known = lambda c: F.when(F.col(c) != LAST, F.col(c))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, level_packing, licenses, lm, mixing, multi_index, ngram_join, packing, pii, quality, urls
+from . import chat, embeddings, level_packing, lexical, licenses, lm, mixing, multi_index, ngram_join, packing, pii, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +87,7 @@ QUERIES = {
         op8_quality_rules,
         op9_pii_pseudonyms,
         op10_url_filter,
+        op11_lexical_search,
         op12_hard_negatives,
         op13_level_packing,
     )
@@ -90,6 +95,8 @@ QUERIES = {
 
 _W = r"'[^\x20\x09-\x0D]+'"
 
+_TERM, _UPPER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 SQL = {
     "op4_source_mixing": f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_W})), 0)::BIGINT AS size FROM documents),
@@ -126,6 +133,16 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(length(er) + length(et) + 10)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+    "op11_lexical_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}') AS w FROM documents),
+n AS (SELECT doc_id, len(w)::BIGINT AS n, w FROM d WHERE len(w) > 0),
+g AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM n),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}'))) AS t FROM benchmark),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t, nn),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll))))::BIGINT AS score FROM q JOIN p USING (t) JOIN f USING (t), g GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
     "op12_hard_negatives": """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
