@@ -206,7 +206,7 @@ class WordTokenizer:
     # single letters, and nothing composes.
     PLAIN = re.compile("[\t-\r -~\xa1-\xac\xae-\u012f\u0131-\u024f\u2013\u2014\u2018-\u201d\u2022\u2026\u20ac]*")
 
-    def __init__(self, file: bytes, most: int = 500_000):
+    def __init__(self, file: bytes, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(file)
