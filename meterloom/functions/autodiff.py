@@ -55,9 +55,8 @@ class Var:
     def swap(self, a: int, b: int):
         return Var(np.swapaxes(self.value, a, b), (self,), lambda g: (np.swapaxes(g, a, b),))
 
-    def mean(self):
-        n = self.value.size
-        return Var(self.value.mean(), (self,), lambda g: (np.full(self.value.shape, g / n),))
+    def sum(self):
+        return Var(self.value.sum(), (self,), lambda g: (np.full(self.value.shape, g),))
 
     def _apply(self, value: np.ndarray, slope: np.ndarray):
         return Var(value, (self,), lambda g: (g * slope,))
@@ -116,15 +115,9 @@ class Adam:
         self.params, self.rate, self.step = params, rate, 0
         self.m, self.v = ({k: np.zeros_like(p) for k, p in params.items()} for _ in range(2))
 
-    def update(self, loss: Callable[[dict[str, Var]], Var]) -> float:
-        held = {k: Var(p) for k, p in self.params.items()}
-        out = loss(held)
-        out.backward()
+    def update(self, grads: dict[str, np.ndarray]) -> None:
         self.step += 1
-        for k, v in held.items():
-            if v.grad is None:
-                continue
-            self.m[k] = 0.9 * self.m[k] + 0.1 * v.grad
-            self.v[k] = 0.999 * self.v[k] + 0.001 * v.grad**2
+        for k, g in grads.items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
             self.params[k] -= self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8)
-        return float(out.value)

@@ -1,8 +1,9 @@
-"""Generic detectors in numpy, fitted on the driver and scored on the executors.
+"""Generic detectors in numpy: what they are, not how Spark fits them (see ``fitting``).
 
-A detector has ``fit(x)`` and ``score(x)`` (higher: more unusual). Fitting takes the training rows in order
-of a hash, the same in every run: the first ``most`` over all entities, or all (None); the fitted detector, of bounded size, goes
-to the tasks with their function. Other estimators plug in the same way."""
+A detector has ``fit(x)`` for arrays and ``score(x)`` (higher: more unusual). Each can also be fitted on a
+DataFrame of any size, with the same result: a forest from the rows that its trees draw, a network from sums of gradients,
+a support vector machine from its bounded sample. The fitted detector, of bounded size, goes to the tasks that score
+with their function."""
 
 from __future__ import annotations
 
@@ -13,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.autodiff import Adam, Var, stack
+from ..functions.autodiff import Adam, Var, as_var, stack
 from .windows import sliding, unslid
 
 FEATURES = ["load", "temp", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
 EULER = 0.5772156649015329
+#: Where a forest's sample is a share of the rows, a tree draws so many at most.
+MOST_TREE_ROWS = 65_536
 
 
 def _path_length(n: np.ndarray | float) -> np.ndarray:
@@ -32,15 +35,25 @@ class IsolationForest:
     def __init__(self, trees: int = 200, sample: int | float | str = 256, seed: int = 0):
         self.trees, self.sample, self.seed = trees, sample, seed
 
+    def rows_a_tree(self, n: int) -> int:
+        """How many of ``n`` rows each tree draws; a share of them is at most MOST_TREE_ROWS."""
+        m = min(int(self.sample * n), MOST_TREE_ROWS) if isinstance(self.sample, float) else 256 if self.sample == "auto" else self.sample
+        return max(2, min(m, n))
+
     def fit(self, x: np.ndarray) -> "IsolationForest":
-        rng = np.random.default_rng(self.seed)
-        m = int(self.sample * len(x)) if isinstance(self.sample, float) else 256 if self.sample == "auto" else self.sample
-        m = max(2, min(m, len(x)))
-        self.limit, self.norm = int(np.ceil(np.log2(m))), float(_path_length(m))
-        self.forest = [self._grow(x[rng.choice(len(x), m, False)], rng) for _ in range(self.trees)]
+        rng, m = np.random.default_rng(self.seed), self.rows_a_tree(len(x))
+        return self.grown(m, [self.tree(x[rng.choice(len(x), min(m, len(x)), False)], m, t) for t in range(self.trees)])
+
+    def grown(self, m: int, forest: list[tuple[np.ndarray, ...]]) -> "IsolationForest":
+        """Takes trees that were grown from ``m`` rows each."""
+        self.norm, self.forest = float(_path_length(m)), forest
         return self
 
-    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    def tree(self, x: np.ndarray, m: int, number: int) -> tuple[np.ndarray, ...]:
+        """The tree of this number from the rows that it drew, in their order."""
+        return self._grow(x, int(np.ceil(np.log2(m))), np.random.default_rng([self.seed, number]))
+
+    def _grow(self, x: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         col, cut, left, right, size = [], [], [], [], []
         todo = [(np.arange(len(x)), 0, -1, False)]
         while todo:
@@ -50,7 +63,7 @@ class IsolationForest:
                 (right if is_right else left)[parent] = me
             lo, hi = (x[at].min(0), x[at].max(0)) if len(at) > 1 else (x[0], x[0])
             open_ = np.nonzero(hi > lo)[0]
-            c = int(rng.choice(open_)) if depth < self.limit and len(open_) else -1
+            c = int(rng.choice(open_)) if depth < limit and len(open_) else -1
             col.append(c)
             size.append(len(at))
             cut.append(rng.uniform(lo[c], hi[c]) if c >= 0 else 0.0)
@@ -114,84 +127,112 @@ class OneClassSVM:
         return np.concatenate([self.rho - self._kernel(x[i : i + 4096], self.x) @ self.a for i in range(0, len(x), 4096)]) if len(x) else np.empty(0)
 
 
-class Autoencoder:
-    """A dense autoencoder whose loss looks at the first feature only; trained by Adam."""
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers to evenly spread ones (the finaliser of splitmix64)."""
+    x = np.asarray(x).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Network:
+    """A network trained by passes over all examples: each pass sums losses and gradients, wherever the examples
+    are, and Adam takes one step. A tenth of the examples, by their keys, is held out; the weights of the best loss on
+    them are kept, and training stops after ``patience`` passes without a better one. With ten examples or
+    fewer, all are trained and held out."""
 
-    def __init__(self, hidden: tuple[int, ...] = (32, 16, 32), epochs: int = 20, batch: int = 256, rate: float = 1e-3, seed: int = 0):
-        self.hidden, self.epochs, self.batch, self.rate, self.seed = hidden, epochs, batch, rate, seed
+    def __init__(self, passes: int = 40, rate: float = 0.03, patience: int = 15, seed: int = 0):
+        self.passes, self.rate, self.patience, self.seed = passes, rate, patience, seed
+
+    def build(self, shape: tuple[int, ...], rng: np.random.Generator) -> dict[str, np.ndarray]:
+        """First weights for examples of this shape."""
+        raise NotImplementedError
+
+    def loss(self, p: dict[str, Var], x: np.ndarray, keys: np.ndarray | None = None, number: int = 0) -> tuple[Var, float]:
+        """(sum of losses, sum of weights) of examples; ``keys`` and the pass number for what is random in training."""
+        raise NotImplementedError
 
-    def _forward(self, x: np.ndarray) -> list[np.ndarray]:
-        out = [x]
-        for i, (w, b) in enumerate(self.layers):
-            z = out[-1] @ w + b
-            out.append(np.maximum(z, 0) if i < len(self.layers) - 1 else z)
+    def sums(self, params: dict[str, np.ndarray], x: np.ndarray, keys: np.ndarray, number: int, hold: bool) -> np.ndarray:
+        """[loss and weight in training, the same held out, gradients]: sums over examples, which add up over parts."""
+        out = np.zeros(4 + sum(v.size for v in params.values()))
+        held = mixed_bits(keys) % np.uint64(10) == 0 if hold else np.ones(len(x), bool)
+        for at in range(0, len(x), 512):
+            some = slice(at, at + 512)
+            train = x[some] if not hold else x[some][~held[some]]
+            if len(train):
+                p = {k: Var(v) for k, v in params.items()}
+                loss, weight = self.loss(p, train, keys[some] if not hold else keys[some][~held[some]], number)
+                loss.backward()
+                out[:2] += float(loss.value), weight
+                out[4:] += np.concatenate([(np.zeros(v.value.shape) if v.grad is None else v.grad).ravel() for v in p.values()])
+            if held[some].any():
+                loss, weight = self.loss({k: Var(v) for k, v in params.items()}, x[some][held[some]])
+                out[2:4] += float(loss.value), weight
         return out
 
-    def fit(self, x: np.ndarray) -> "Autoencoder":
-        rng, sizes = np.random.default_rng(self.seed), [x.shape[1], *self.hidden, x.shape[1]]
-        self.layers = [(rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])]
-        state = [[np.zeros_like(p) for p in layer] * 2 for layer in self.layers]
-        step = 0
-        for _ in range(self.epochs):
-            order = rng.permutation(len(x))
-            for s in range(0, len(x), self.batch):
-                xb = x[order[s : s + self.batch]]
-                acts = self._forward(xb)
-                back = np.zeros_like(acts[-1])
-                back[:, 0] = 2 * (acts[-1][:, 0] - xb[:, 0]) / len(xb)
-                step += 1
-                for i in range(len(self.layers) - 1, -1, -1):
-                    w, b = self.layers[i]
-                    grads = (acts[i].T @ back, back.sum(0))
-                    back = (back @ w.T) * (acts[i] > 0) if i else back
-                    new = []
-                    for k, (p, g) in enumerate(zip((w, b), grads)):
-                        m = state[i][k] = 0.9 * state[i][k] + 0.1 * g
-                        v = state[i][k + 2] = 0.999 * state[i][k + 2] + 0.001 * g * g
-                        new.append(p - self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-                    self.layers[i] = tuple(new)
+    def trained(self, shape: tuple[int, ...], total: Callable[[dict, int], np.ndarray]) -> "Network":
+        """Trains by ``total``, which gives ``sums`` over all examples for weights and a pass number."""
+        params = self.build(shape, np.random.default_rng(self.seed))
+        adam, best, worse = Adam(params, self.rate), (np.inf, params), 0
+        for number in range(self.passes):
+            got = total(params, number)
+            now = got[2] / max(got[3], 1e-12)
+            if now < best[0]:
+                best, worse = (now, {k: v.copy() for k, v in params.items()}), 0
+            elif (worse := worse + 1) >= self.patience:
+                break
+            grads, at = {}, 4
+            for k, v in params.items():
+                grads[k] = got[at : at + v.size].reshape(v.shape) / max(got[1], 1e-12)
+                at += v.size
+            adam.update(grads)
+        self.params = best[1]
         return self
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return np.abs(self._forward(x)[-1][:, 0] - x[:, 0]) if len(x) else np.empty(0)
+    def fit(self, x: np.ndarray, keys: np.ndarray | None = None) -> "Network":
+        keys = np.arange(len(x)) if keys is None else keys
+        return self.trained(x.shape[1:], lambda params, number: self.sums(params, x, keys, number, len(x) > 10))
 
 
-class WindowModel:
-    """A network over windows (n, length, features); the first feature is the load. Training keeps the
-    weights of the best loss on the last tenth of the windows and stops after ``patience`` epochs without
-    a better one."""
+class Autoencoder(Network):
+    """A dense autoencoder whose loss looks at the first feature only."""
 
-    def __init__(self, epochs: int = 20, batch: int = 64, rate: float = 1e-3, patience: int = 5, seed: int = 0):
-        self.epochs, self.batch, self.rate, self.patience, self.seed = epochs, batch, rate, patience, seed
+    def __init__(self, hidden: tuple[int, ...] = (32, 16, 32), **how):
+        super().__init__(**how)
+        self.hidden = hidden
 
-    def build(self, length: int, features: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
-        raise NotImplementedError
+    def build(self, shape, rng):
+        sizes = [shape[0], *self.hidden, shape[0]]
+        out = {}
+        for i, (a, b) in enumerate(zip(sizes, sizes[1:])):
+            out |= {f"{i}w": rng.normal(0, np.sqrt(2 / a), (a, b)), f"{i}b": np.zeros(b)}
+        return out
+
+    def _first(self, p: dict[str, Var], x: np.ndarray) -> Var:
+        out = as_var(x)
+        for i in range(len(self.hidden) + 1):
+            out = out @ p[f"{i}w"] + p[f"{i}b"]
+            out = out.relu() if i < len(self.hidden) else out
+        return out[:, 0]
+
+    def loss(self, p, x, keys=None, number=0):
+        d = self._first(p, x) - x[:, 0]
+        return (d * d).sum(), float(len(x))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.abs(self._first({k: Var(v) for k, v in self.params.items()}, x).value - x[:, 0]) if len(x) else np.empty(0)
+
+
+class WindowModel(Network):
+    """A network over windows (n, length, features); the first feature is the load."""
 
     def predict(self, p: dict, x: np.ndarray) -> Var:
         """The load of each row of each window."""
         raise NotImplementedError
 
-    def loss(self, p: dict, x: np.ndarray, rng: np.random.Generator | None = None) -> Var:
+    def loss(self, p, x, keys=None, number=0):
         d = self.predict(p, x) - x[:, :, 0]
-        return (d * d).mean()
-
-    def fit(self, x: np.ndarray) -> "WindowModel":
-        rng = np.random.default_rng(self.seed)
-        hold = max(1, len(x) // 10)
-        train, val = (x[:-hold], x[-hold:]) if len(x) > 10 else (x, x)
-        self.params = self.build(x.shape[1], x.shape[2], rng)
-        adam, best, worse = Adam(self.params, self.rate), (np.inf, None), 0
-        for _ in range(self.epochs):
-            order = rng.permutation(len(train))
-            for s in range(0, len(train), self.batch):
-                adam.update(lambda p, b=train[order[s : s + self.batch]]: self.loss(p, b, rng))
-            now = float(self.loss({k: Var(v) for k, v in self.params.items()}, val).value)
-            if now < best[0]:
-                best, worse = (now, {k: v.copy() for k, v in self.params.items()}), 0
-            elif (worse := worse + 1) >= self.patience:
-                break
-        self.params = best[1] or self.params
-        return self
+        return (d * d).sum(), float(x.shape[0] * x.shape[1])
 
     def residuals(self, x: np.ndarray) -> np.ndarray:
         """Load minus prediction, (n, length)."""
@@ -209,8 +250,8 @@ class RecurrentAutoencoder(WindowModel):
         super().__init__(**how)
         self.hidden = hidden
 
-    def build(self, length, features, rng):
-        h = self.hidden
+    def build(self, shape, rng):
+        h, features = self.hidden, shape[1]
         w = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
         return {"ex": w(features, 4 * h), "eh": w(h, 4 * h), "eb": np.zeros(4 * h), "dx": w(h, 4 * h), "dh": w(h, 4 * h), "db": np.zeros(4 * h), "ow": w(h, 1), "ob": np.zeros(1)}
 
@@ -248,7 +289,8 @@ class MaskedPatches(WindowModel):
         starts = np.arange(0, max(length - self.patch, 0) + 1, self.stride)
         return starts[:, None] + np.arange(min(self.patch, length))[None]
 
-    def build(self, length, features, rng):
+    def build(self, shape, rng):
+        length, features = shape
         at = self._places(length)
         d, n = self.width, at.shape[1]
         w = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
@@ -294,16 +336,18 @@ class MaskedPatches(WindowModel):
         p = {k: Var(v) for k, v in self.params.items()}
         return x[:, -1, 0] - self._forward(p, x, np.zeros((len(x), len(self._places(x.shape[1]))), bool)).value[:, -1]
 
-    def loss(self, p, x, rng=None):
-        tokens = len(self._places(x.shape[1]))
-        if rng is None or self.hide >= 1:
+    def loss(self, p, x, keys=None, number=0):
+        if keys is None or self.hide >= 1:
             return super().loss(p, x)
-        hidden = rng.random((len(x), tokens)) < self.hide
+        at = self._places(x.shape[1])
+        # a patch of a window is hidden by their hash, so it doesn't matter which task has the window
+        draw = mixed_bits(mixed_bits(keys)[:, None] ^ mixed_bits(np.arange(len(at)) + (number << 20))[None])
+        hidden = draw / 2.0**64 < self.hide
         rows = np.zeros((len(x), x.shape[1]))
-        for t, at in enumerate(self._places(x.shape[1])):
-            rows[:, at] = np.maximum(rows[:, at], hidden[:, t, None])
+        for t, place in enumerate(at):
+            rows[:, place] = np.maximum(rows[:, place], hidden[:, t, None])
         d = (self._forward(p, x, hidden) - x[:, :, 0]) * rows
-        return (d * d).mean() * (rows.size / max(rows.sum(), 1))
+        return (d * d).sum(), float(rows.sum())
 
 
 def windows_of(df: DataFrame, cols: list[str], length: int, stride: int) -> DataFrame:
@@ -315,14 +359,6 @@ def _cube(values: pd.Series) -> np.ndarray:
     return np.array([np.array([np.asarray(r, float) for r in v]) for v in values])
 
 
-def fit_windows(windows: DataFrame, model: WindowModel, most: int | None = 5000) -> WindowModel:
-    """Fit on at most ``most`` windows, those of the smallest hashes; None: on all."""
-    rows = windows.orderBy(F.xxhash64("entity", "start"), "entity", "start")
-    rows = (rows if most is None else rows.limit(most)).toPandas()
-    x = _cube(rows["values"])
-    return model.fit(x[~np.isnan(x).any(axis=(1, 2))])
-
-
 def score_windows(windows: DataFrame, model: WindowModel, how: str = "max", signed: bool = False) -> DataFrame:
     """(entity, idx, x): scores (or signed residuals) of windows, brought back to rows by maximum or mean."""
 
@@ -353,18 +389,6 @@ def point_residuals(windows: DataFrame, model: WindowModel, last: Callable[[np.n
     return out.select("entity", "idx", "x").unionByName(fill)
 
 
-def bounded_sample(df: DataFrame, cols: list[str], most: int | None = 50_000, key: str = "idx") -> np.ndarray:
-    """At most ``most`` rows, those of the smallest hashes: a top-k, so only so many reach the driver; None: all."""
-    h = F.xxhash64("entity", key)
-    rows = df.dropna(subset=cols).select(*cols, h.alias("__h"), "entity", key).orderBy("__h", "entity", key)
-    rows = rows if most is None else rows.limit(most)
-    return rows.select(*cols).toPandas().to_numpy(float)
-
-
-def fit(train: DataFrame, detector, cols: list[str] = FEATURES, most: int | None = 50_000):
-    return detector.fit(bounded_sample(train, cols, most))
-
-
 def score(df: DataFrame, detector, cols: list[str] = FEATURES, out: str = "s") -> DataFrame:
     """Adds the detector's score; rows with a missing feature get null."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -379,29 +403,6 @@ def score(df: DataFrame, detector, cols: list[str] = FEATURES, out: str = "s") -
     return df.mapInPandas(run, f"{schema}, `{out}` double").withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
-def tune(train: DataFrame, val: DataFrame, events: DataFrame, grid: list[Callable], cols: list[str] = FEATURES, window: int = 336, most: int | None = 50_000, length: int = 14, stride: int = 7) -> tuple[int, list[float]]:
-    """The index of the grid's detector with the best micro F1 on validation events (ties: the first), and
-    all objectives. The sample (None: all rows) is drawn once; each detector is scored as one plan.
-    Networks over windows take windows of ``length`` every ``stride`` rows, the load first; validation
-    rows that no such window holds have no score and no flag."""
-    from .evaluate import micro_f1
-    from .windows import trailing_flags
-
-    x = bounded_sample(train, cols, most)
-    got = []
-    for make in grid:
-        model = make()
-        if isinstance(model, WindowModel):
-            s = score_windows(windows_of(val, cols, length, stride), fit_windows(windows_of(train, cols, length, stride), model, most)).withColumnRenamed("x", "s")
-            s = val.select("entity", "idx").join(s, ["entity", "idx"], "left")
-        else:
-            s = score(val, model.fit(x), cols)
-        flags = trailing_flags(s, window=window)
-        row = micro_f1(flags, events).first()
-        got.append(float(row["micro_f1"]) if row and row["micro_f1"] is not None else 0.0)
-    return max(range(len(got)), key=lambda i: (got[i], -i)), got
-
-
 # The configurations that are searched on validation events.
 GRIDS: dict[str, list[Callable]] = {
     "isolation forest": [lambda n=n, m=m: IsolationForest(n, m) for n in (100, 200, 400) for m in ("auto", 256, 0.5)],

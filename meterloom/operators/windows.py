@@ -1,12 +1,15 @@
 """Analytic windows over series, and the interval tables made from them.
 
-All of these partition by entity and order by idx, so one exchange serves a chain of them."""
+All of these partition by entity and order by idx, so one exchange serves a chain of them. Rolling medians are
+kept in an ordered window (see ``rolling``), whose cost a row hardly depends on the window's length."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .rolling import rolling_median_mad
+
 #: The standard normal quantile at 0.99.
 Z99 = 2.3263478740408408
 MAD = 1.4826
@@ -21,19 +24,16 @@ def _enough(v: Column, frame: WindowSpec, least: int, agg: Column) -> Column:
     return F.when(F.count(v).over(frame) >= least, agg.over(frame))
 
 
-def _rolling_z(df: DataFrame, s: str, source: Column, frame: WindowSpec, least: int, fill: WindowSpec | None = None) -> DataFrame:
-    """Adds med, mad and z of s: rolling median and MAD of ``source``, each value of which is compared
+def _rolling_z(df: DataFrame, s: str, window: int, least: int, lag: int = 0, ahead: int = 0, fill: WindowSpec | None = None) -> DataFrame:
+    """Adds med, mad and z of s: rolling median and MAD of s, ``lag`` rows late, each value of which is compared
     with the median at its own row."""
-    p = df.withColumn("__src", source)
-    p = p.withColumn("__med", _enough(F.col("__src"), frame, least, F.percentile("__src", F.lit(0.5))))
-    p = p.withColumn("__dev", F.abs(F.col("__src") - F.col("__med")))
-    p = p.withColumn("__mad", MAD * _enough(F.col("__dev"), frame, least, F.percentile("__dev", F.lit(0.5))))
-    med, mad = F.col("__med"), F.col("__mad")
+    p = rolling_median_mad(df, s, window, least, lag, ahead)
+    med, mad = F.col("__med"), MAD * F.col("__mad")
     if fill is not None:
-        ahead, back = fill.rowsBetween(0, Window.unboundedFollowing), fill.rowsBetween(Window.unboundedPreceding, 0)
-        med, mad = (F.coalesce(F.first(c, True).over(ahead), F.last(c, True).over(back)) for c in (med, mad))
+        later, back = fill.rowsBetween(0, Window.unboundedFollowing), fill.rowsBetween(Window.unboundedPreceding, 0)
+        med, mad = (F.coalesce(F.first(c, True).over(later), F.last(c, True).over(back)) for c in (med, mad))
     p = p.withColumns({"med": med, "mad": mad})
-    return p.withColumn("z", (F.col(s) - F.col("med")) / (F.col("mad") + TINY)).drop("__src", "__med", "__dev", "__mad")
+    return p.withColumn("z", (F.col(s) - F.col("med")) / (F.col("mad") + TINY)).drop("__med", "__mad")
 
 
 def _flagged(df: DataFrame, level: float) -> DataFrame:
@@ -43,21 +43,18 @@ def _flagged(df: DataFrame, level: float) -> DataFrame:
 def trailing_flags(df: DataFrame, s: str = "s", window: int = 336, least: int | None = None, level: float = Z99) -> DataFrame:
     """The strictly trailing flagger: a row is judged by the ``window`` rows before it, never by
     itself. Adds med, mad, z and flag; without enough history there is no flag."""
-    w = by_entity()
-    return _flagged(_rolling_z(df, s, F.lag(s).over(w), w.rowsBetween(-(window - 1), 0), least or window // 4), level)
+    return _flagged(_rolling_z(df, s, window, least or window // 4, lag=1), level)
 
 
 def inclusive_flags(df: DataFrame, s: str = "s", window: int = 336, least: int | None = None, level: float = Z99) -> DataFrame:
     """The older trailing flagger, whose window ends with the row itself."""
-    return _flagged(_rolling_z(df, s, F.col(s), by_entity().rowsBetween(-(window - 1), 0), least or window // 4), level)
+    return _flagged(_rolling_z(df, s, window, least or window // 4), level)
 
 
 def centered_flags(df: DataFrame, s: str = "s", window: int = 336, least: int | None = None, level: float = Z99) -> DataFrame:
     """The transductive flagger: a centred window; medians and MADs missing at the ends are filled
     from the nearest later, then earlier row."""
-    w = by_entity()
-    frame = w.rowsBetween(-(window // 2), (window - 1) // 2)
-    return _flagged(_rolling_z(df, s, F.col(s), frame, least or window // 4, w), level)
+    return _flagged(_rolling_z(df, s, window, least or window // 4, ahead=(window - 1) // 2, fill=by_entity()), level)
 
 
 def trailing_mean_squared(s: str = "s", window: int = 168, least: int = 24) -> Column:

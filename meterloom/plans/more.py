@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..operators import evaluate as E
+from ..operators import fitting as FT
 from ..operators import inject as I
 from ..operators import models as M
 from ..operators import panel as P
@@ -367,9 +368,9 @@ def masked_variants(spark, sf_dir):
     judged row's patches hidden, none hidden, residuals pooled over windows, and the load by itself."""
     train, _ = _windows(spark, sf_dir, 28, 7)
     _, test = _windows(spark, sf_dir, 28, 1)
-    full, some = (M.fit_windows(train, M.MaskedPatches(patch=7, stride=7, hide=h), None) for h in (1.0, 0.4))
+    full, some = (FT.fit_windows(train, M.MaskedPatches(patch=7, stride=7, hide=h)) for h in (1.0, 0.4))
     alone = [w.select("entity", "start", F.transform("values", lambda r: F.array(r[0], F.lit(0.0))).alias("values")) for w in (train, test)]
-    own = M.fit_windows(alone[0], M.MaskedPatches(patch=7, stride=7, hide=0.4), None)
+    own = FT.fit_windows(alone[0], M.MaskedPatches(patch=7, stride=7, hide=0.4))
     parts = {
         "full mask, last row": M.point_residuals(test, full),
         "full mask, pooled": M.score_windows(test, full, "avg", signed=True),
@@ -395,7 +396,7 @@ def network_alarms(spark, sf_dir):
     for name, d in (("measured", warm), ("swapped", base.withColumn("temp", C.climate_proxy(F.col("ts"), F.lit(40.0))))):
         d = P.scale(d.withColumn("load", F.col("x")), ["load", "temp"])
         d = stored(d.withColumns({"load": F.col("z_load"), "temp": F.col("z_temp")}).drop("z_load", "z_temp"), "features")
-        r = stored(M.score(d, M.fit(d.where("span = 'train'"), M.Autoencoder(), most=None), out="r").select("entity", "idx", "span", "span_idx", "slot", F.col("r").alias("x")), "residuals")
+        r = stored(M.score(d, FT.fit(d.where("span = 'train'"), M.Autoencoder()), out="r").select("entity", "idx", "span", "span_idx", "slot", F.col("r").alias("x")), "residuals")
         test, tr = r.where("span = 'test'").drop("idx").withColumnRenamed("span_idx", "idx"), r.where("span = 'train'")
         z = S.long_z(S.slot_z(test, tr, "slot"), tr, window=28, least=7)
         fl = W.trailing_flags(z.withColumn("s", S.fused(0.8)), window=112)

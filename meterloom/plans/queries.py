@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as C
 from ..operators import aggregate as A
 from ..operators import evaluate as E
+from ..operators import fitting as FT
 from ..operators import inject as I
 from ..operators import models as M
 from ..operators import panel as P
@@ -947,7 +948,7 @@ def injected_events(spark, sf_dir):
 def _detector(spark, sf_dir, detector):
     d = daily(spark, sf_dir).withColumns(C.cyclic(F.col("ts"))).withColumns({"load": F.col("x"), "temp": C.climate_proxy(F.col("ts"), F.lit(40.0))})
     d = P.scale(d, ["load", "temp"]).withColumns({"load": F.col("z_load"), "temp": F.col("z_temp")}).drop("z_load", "z_temp")
-    return M.score(d.where("span = 'test'"), M.fit(d.where("span = 'train'"), detector, most=None)).select("entity", "idx", "s")
+    return M.score(d.where("span = 'test'"), FT.fit(d.where("span = 'train'"), detector)).select("entity", "idx", "s")
 
 
 @query
@@ -1008,7 +1009,7 @@ def _windows(spark, sf_dir, length, stride):
 @query
 def recurrent_autoencoder(spark, sf_dir):
     train, test = _windows(spark, sf_dir, 14, 7)
-    return M.score_windows(test, M.fit_windows(train, M.RecurrentAutoencoder(), None))
+    return M.score_windows(test, FT.fit_windows(train, M.RecurrentAutoencoder()))
 
 
 @query
@@ -1016,7 +1017,7 @@ def masked_patches(spark, sf_dir):
     """Residuals of the masked patch model, each from the rows up to it."""
     train, _ = _windows(spark, sf_dir, 28, 7)
     _, test = _windows(spark, sf_dir, 28, 1)
-    return M.point_residuals(test, M.fit_windows(train, M.MaskedPatches(patch=7, stride=7), None))
+    return M.point_residuals(test, FT.fit_windows(train, M.MaskedPatches(patch=7, stride=7)))
 
 
 @query
@@ -1026,7 +1027,7 @@ def injection_draws(spark, sf_dir):
 
 
 @query
-def tuned_forest(spark, sf_dir):
+def tuned_detectors(spark, sf_dir):
     """Micro F1 of every configuration of the grids on planted validation events, and each detector's choice."""
     d = daily(spark, sf_dir)
     ev = planted(d).where("start + 40 < 340")
@@ -1037,7 +1038,7 @@ def tuned_forest(spark, sf_dir):
     train, val = d.where("span = 'train'"), d.where("span = 'val'").drop("idx").withColumnRenamed("span_idx", "idx")
     out = []
     for name, grid in M.GRIDS.items():
-        best, got = M.tune(train, val, ev.drop("add"), grid, M.FEATURES, 112, None)
+        best, got = FT.tune(train, val, ev.drop("add"), grid, M.FEATURES, 112)
         for i, (make, v) in enumerate(zip(grid, got)):
             how = vars(make())
             out.append((name, ", ".join(f"{k}={how[k]}" for k in ("trees", "sample", "nu", "gamma", "hidden") if k in how), v, i == best))

@@ -48,7 +48,7 @@ def test_masks_decide_what_a_residual_depends_on():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 28, 3))
     x[:, :, 0] += x[:, :, 1]
-    m = M.MaskedPatches(width=8, heads=2, layers=1, patch=7, stride=7, hide=0.4, epochs=2).fit(x)
+    m = M.MaskedPatches(width=8, heads=2, layers=1, patch=7, stride=7, hide=0.4, passes=2).fit(x)
     early, last = x.copy(), x.copy()
     early[:, :7, 0] += 3
     last[:, -1, 0] += 3
