@@ -1,46 +1,39 @@
 """Detection measures. Flags: (entity, idx, flag). Events: (entity, event_id, start, end, type,
 severity, true_kwh), half-open intervals of idx.
 
-Interval joins become equi-joins on (entity, idx): events and runs are short, so their rows are listed
-once each, and no pair of a row and an interval that miss each other is ever formed."""
+Rows meet intervals, and intervals each other, by time bins (see ``intervals``), however long the intervals are."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import covered, runs
+from .intervals import rows_in, shared_rows
+from .windows import merged_intervals, runs
 
 
 def f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def event_rows(events: DataFrame) -> DataFrame:
-    """A row for each hour of each event."""
-    return events.withColumn("idx", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
-
-
 def event_detail(flags: DataFrame, events: DataFrame) -> DataFrame:
     """Per event: duration, detected, delay to the first flag (null if none), share of rows flagged."""
-    rows = event_rows(events).join(flags.select("entity", "idx", "flag"), ["entity", "idx"], "left")
-    on = F.coalesce("flag", F.lit(False))
-    out = rows.groupBy(*events.columns).agg(F.min(F.when(on, F.col("idx"))).alias("__hit"), F.avg(on.cast("double")).alias("range_cov"))
-    return out.withColumns({"duration": F.col("end") - F.col("start"), "detected": F.col("__hit").isNotNull(), "delay": F.col("__hit") - F.col("start")}).drop("__hit")
+    hits = rows_in(flags.where("flag").select("entity", "idx"), events).select(*events.columns, F.col("idx").alias("__hit"))
+    every = events.where("end > start").withColumn("__hit", F.lit(None).cast("long"))
+    length = F.col("end") - F.col("start")
+    out = hits.unionByName(every).groupBy(*events.columns).agg(F.min("__hit").alias("__first"), (F.count("__hit") / F.first(length)).alias("range_cov"))
+    return out.withColumns({"duration": length, "detected": F.col("__first").isNotNull(), "delay": F.col("__first") - F.col("start")}).drop("__first")
 
 
 def run_detail(flags: DataFrame, events: DataFrame) -> DataFrame:
     """Per run: whether it meets an event, and the share of its rows that do."""
-    r = runs(flags)
-    hit = covered(events.select("entity", "start", "end")).withColumn("__on", F.lit(1.0))
-    rows = r.withColumn("idx", F.explode(F.sequence(F.col("start"), F.col("end") - 1))).join(hit, ["entity", "idx"], "left")
-    share = F.avg(F.coalesce("__on", F.lit(0.0)))
-    return rows.groupBy("entity", "start", "end").agg(share.alias("overlap")).withColumn("matched", F.col("overlap") > 0)
+    r = shared_rows(runs(flags), events).withColumn("overlap", F.col("shared") / (F.col("end") - F.col("start")))
+    return r.drop("shared").withColumn("matched", F.col("overlap") > 0)
 
 
 def alarm_rate(flags: DataFrame, events: DataFrame) -> DataFrame:
     """(entity, false_alarm_rate): the share of rows outside events that are flagged."""
-    rest = flags.join(covered(events.select("entity", "start", "end")), ["entity", "idx"], "left_anti")
+    rest = rows_in(flags, events, "left_anti")
     return rest.groupBy("entity").agg(F.avg(F.col("flag").cast("double")).alias("false_alarm_rate"))
 
 
@@ -111,10 +104,9 @@ def duration_bins(iv: DataFrame, edges: tuple[int, ...] = (0, 2, 6, 24, 1_000_00
 def alarm_attribution(flags: DataFrame, events: DataFrame, panel: DataFrame, edge: int = 24) -> DataFrame:
     """False alarm rows by hour band, weekend, closeness to an event and length of their run."""
     near = events.select("entity", (F.col("start") - edge).alias("start"), (F.col("end") + edge).alias("end"))
-    false = flags.where("flag").join(covered(events.select("entity", "start", "end")), ["entity", "idx"], "left_anti").select("entity", "idx")
-    at = false.join(panel.select("entity", "idx", "ts"), ["entity", "idx"]).join(covered(near).withColumn("__near", F.lit(True)), ["entity", "idx"], "left")
-    length = covered_runs(flags)
-    at = at.join(length, ["entity", "idx"])
+    false = rows_in(covered_runs(flags), events, "left_anti")
+    close = rows_in(false.select("entity", "idx"), merged_intervals(near, 0)).select("entity", "idx", F.lit(True).alias("__near"))
+    at = false.join(panel.select("entity", "idx", "ts"), ["entity", "idx"]).join(close, ["entity", "idx"], "left")
     h = F.hour("ts")
     return at.groupBy(
         F.when(h < 6, "night").when(h < 9, "morning").when(h < 18, "day").otherwise("evening").alias("band"),
@@ -126,13 +118,13 @@ def alarm_attribution(flags: DataFrame, events: DataFrame, panel: DataFrame, edg
 
 def covered_runs(flags: DataFrame) -> DataFrame:
     """(entity, idx, length): flagged rows with the length of their run."""
-    return runs(flags).select("entity", (F.col("end") - F.col("start")).alias("length"), F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx"))
+    return rows_in(flags.where("flag").select("entity", "idx"), runs(flags)).select("entity", "idx", (F.col("end") - F.col("start")).alias("length"))
 
 
 def alarm_scales(scored: DataFrame, events: DataFrame, short: str = "s", long: str = "long") -> DataFrame:
     """(entity, n, short_driven): false alarm runs, and how many of them have a mean short score that is at
     least their mean long score (a missing mean drives nothing)."""
     false = run_detail(scored, events).where(~F.col("matched")).select("entity", "start", "end")
-    rows = false.withColumn("idx", F.explode(F.sequence(F.col("start"), F.col("end") - 1))).join(scored.select("entity", "idx", F.col(short).alias("__s"), F.col(long).alias("__l")), ["entity", "idx"])
+    rows = rows_in(scored.select("entity", "idx", F.col(short).alias("__s"), F.col(long).alias("__l")), false)
     per = rows.groupBy("entity", "start").agg((F.avg("__s") >= F.avg("__l")).alias("short"))
     return per.groupBy("entity").agg(F.count("*").alias("n"), F.count(F.when(F.col("short"), 1)).alias("short_driven"))

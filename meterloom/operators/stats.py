@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_cdf, t_cdf, t_quantile
+from ..storage import stored
 
 
 def paired(metrics: DataFrame, value: str, models: list[str], entity: str = "entity") -> DataFrame:
@@ -166,14 +167,38 @@ def random_intercept(d: DataFrame, keys: list[str], group: str = "site") -> Data
     return groups.groupBy(*keys).applyInPandas(work, f"{schema}, mixed_est double, p_mixed double")
 
 
+def _same(a: DataFrame, b: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of one name, nulls equal to nulls."""
+    other = b.withColumnsRenamed({c: f"__{c}" for c in cols})
+    on = None
+    for c in cols:
+        one = a[c].eqNullSafe(other[f"__{c}"])
+        on = one if on is None else on & one
+    return a.join(other, on, how).drop(*[f"__{c}" for c in cols])
+
+
+def mid_ranks(df: DataFrame, keys: list[str], x: str, **more: Column) -> DataFrame:
+    """(keys, x, n, mid, off, ...): each distinct value of x in a key, how many rows have it, their mid-rank in the key, how far that
+    is from the key's middle, and what ``more`` aggregates over them.
+
+    No task sees a whole key. Equal values become one row first; the rows are sorted by ranges of (keys, x), over all keys, and
+    stored; a rank is what the key has in earlier ranges (a few counts for each range), plus what comes before the value in its own."""
+    values = df.groupBy(*keys, x).agg(F.count("*").alias("n"), *[c.alias(name) for name, c in more.items()])
+    line = stored(values.repartitionByRange(*keys, x).withColumn("__range", F.spark_partition_id()), "ranks")
+    sizes = line.groupBy(*keys, "__range").agg(F.sum("n").alias("__own"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"__before": F.coalesce(F.sum("__own").over(earlier), F.lit(0)), "__total": F.sum("__own").over(Window.partitionBy(*keys))}).drop("__own")
+    inside = Window.partitionBy(*keys, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("__inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    mid = F.col("__before") + F.col("__inside") + (F.col("n") + 1) / 2
+    return _same(line, sizes, [*keys, "__range"]).select(*keys, x, "n", mid.alias("mid"), (mid - (F.col("__total") + 1) / 2).alias("off"), *more)
+
+
 def signed_rank(d: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, w_plus, z): Wilcoxon's signed-rank statistic of non-zero differences, mid-ranks for
     ties, and its normal score (variance less the ties' part)."""
-    x = d.where(F.col("d") != 0).withColumn("a", F.abs("d"))
-    w = Window.partitionBy(*keys).orderBy("a")
-    tie = Window.partitionBy(*keys, "a")
-    x = x.withColumns({"rk": F.rank().over(w) + (F.count("*").over(tie) - 1) / 2, "c": F.count("*").over(tie)})
-    s = x.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(0.0)).alias("w_plus"), F.sum((F.col("c") * F.col("c") - 1) / 48).alias("tied"))
+    r = mid_ranks(d.where(F.col("d") != 0).withColumn("__a", F.abs("d")), keys, "__a", __plus=F.count(F.when(F.col("d") > 0, 1)))
+    s = r.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("mid") * F.col("__plus")).alias("w_plus"), F.sum(F.col("n") * (F.col("n") * F.col("n") - 1) / 48).alias("tied"))
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tied")
     return s.select(*keys, "n", "w_plus", F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)).alias("z"))
@@ -181,13 +206,18 @@ def signed_rank(d: DataFrame, keys: list[str]) -> DataFrame:
 
 def correlation(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """(keys, n, pearson, spearman, slope, intercept); null where x or y is constant."""
-    w = Window.partitionBy(*keys)
-    mid = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"__rx": mid(x), "__ry": mid(y)})
-    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return r.groupBy(*keys).agg(
-        F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("__rx", "__ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    rx = mid_ranks(r, keys, "__x")
+    # the ranks of x join the rows; those of y needn't, as a value of y asks for the sum of its rows' ranks only
+    both = _same(r, rx.select(*keys, "__x", F.col("off").alias("__off")), [*keys, "__x"])
+    ry = mid_ranks(both, keys, "__y", __sum=F.sum("__off"))
+    squares = F.sum(F.col("n") * F.col("off") * F.col("off"))
+    ranks = _same(ry.groupBy(*keys).agg(F.sum(F.col("off") * F.col("__sum")).alias("__xy"), squares.alias("__yy")), rx.groupBy(*keys).agg(squares.alias("__xx")), keys)
+    plain = r.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y")).alias("pearson"), F.regr_slope("__y", "__x").alias("slope"), F.regr_intercept("__y", "__x").alias("intercept")
     )
+    spearman = F.try_divide(F.col("__xy"), F.sqrt("__xx") * F.sqrt("__yy"))
+    return _same(plain, ranks, keys).select(*keys, "n", "pearson", spearman.alias("spearman"), "slope", "intercept")
 
 
 def best(df: DataFrame, keys: list[str], value: str, order: list[str], largest: bool = True) -> DataFrame:

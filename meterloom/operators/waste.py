@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import event_detail, event_rows
+from .evaluate import event_detail
+from .intervals import rows_in
 from .scoring import median_mad
 from .windows import calm_ends, covered, cusum_ends, merged_intervals, runs
 
@@ -36,7 +37,7 @@ def decomposition(resid: DataFrame, flags: DataFrame, events: DataFrame, rows: D
     added up (default: flagged rows). An event is matched if it has a flagged row."""
     rows = flags.where("flag").select("entity", "idx") if rows is None else rows
     detail = event_detail(flags, events).select("entity", "event_id", "start", "end", "true_kwh", "detected")
-    hours = event_rows(detail).groupBy("entity", "idx").agg(F.max("detected").alias("hit"))
+    hours = rows_in(resid.select("entity", "idx"), detail).groupBy("entity", "idx").agg(F.max("detected").alias("hit"))
     at = resid.select("entity", "idx", clipped().alias("rc")).join(rows.withColumn("__in", F.lit(True)), ["entity", "idx"], "left").join(hours, ["entity", "idx"], "left")
     use, ev = F.coalesce("__in", F.lit(False)), F.col("hit").isNotNull()
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("rc"))), F.lit(0.0))
@@ -59,14 +60,14 @@ def decomposition(resid: DataFrame, flags: DataFrame, events: DataFrame, rows: D
 
 def noise(resid: DataFrame, events: DataFrame) -> DataFrame:
     """(entity, sigma): 1.4826 MAD of residuals outside events."""
-    rest = resid.join(covered(events.select("entity", "start", "end")), ["entity", "idx"], "left_anti")
+    rest = rows_in(resid, events, "left_anti")
     return median_mad(rest, ["entity"], "resid").select("entity", F.col("mad").alias("sigma"))
 
 
 def oracle(resid: DataFrame, events: DataFrame) -> DataFrame:
     """Per entity, over true event windows: truth, and the sums of clipped residuals, of signed ones,
     and of clipped ones less what noise alone adds (per event at least 0)."""
-    rows = event_rows(events).join(resid, ["entity", "idx"], "left").where(F.col("resid").isNotNull() & ~F.isnan("resid")).join(noise(resid, events), "entity")
+    rows = rows_in(resid.where(F.col("resid").isNotNull() & ~F.isnan("resid")), events).join(noise(resid, events), "entity")
     ev = rows.groupBy("entity", "event_id", "true_kwh").agg(F.sum(F.greatest("resid", F.lit(0.0))).alias("clip"), F.sum("resid").alias("signed"), F.count("*").alias("n"), F.first("sigma").alias("sigma"))
     floor = F.greatest(F.col("clip") - F.col("n") * F.col("sigma") / math.sqrt(2 * math.pi), F.lit(0.0))
     return ev.groupBy("entity").agg(F.sum("true_kwh").alias("true_kwh"), F.sum("clip").alias("clip_kwh"), F.sum("signed").alias("signed_kwh"), F.sum(floor).alias("floor_kwh"))
@@ -91,7 +92,7 @@ def chosen_mode(ext: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
 
 def level_bias(resid: DataFrame, events: DataFrame, sd: DataFrame) -> DataFrame:
     """Per event: the mean of (residual - true increment per row) in units of the entity's sd."""
-    rows = event_rows(events).join(resid, ["entity", "idx"]).groupBy("entity", "event_id", "true_kwh").agg(F.avg("resid").alias("m"), F.count("*").alias("n"))
+    rows = rows_in(resid, events).groupBy("entity", "event_id", "true_kwh").agg(F.avg("resid").alias("m"), F.count("*").alias("n"))
     return rows.join(sd, "entity").select("entity", "event_id", ((F.col("m") - F.col("true_kwh") / F.col("n")) / F.col("sd")).alias("level_bias"))
 
 

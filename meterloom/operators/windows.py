@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .intervals import rows_in
 from .rolling import rolling_median_mad
 
 #: The standard normal quantile at 0.99.
@@ -98,7 +99,7 @@ def merged_intervals(iv: DataFrame, gap: int = 6, keys: tuple[str, ...] = ("enti
 
 
 def covered(iv: DataFrame, keys: tuple[str, ...] = ("entity",)) -> DataFrame:
-    """(keys, idx), once each, of the rows that intervals cover: turns interval joins into equi-joins."""
+    """(keys, idx), once each, of the rows that intervals cover."""
     return iv.where("end > start").select(*keys, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx")).distinct()
 
 
@@ -122,8 +123,8 @@ def unslid(windows: DataFrame, values: str = "values", how: str = "avg") -> Data
 
 def windows_ahead(r: DataFrame, z: DataFrame, horizon: int) -> DataFrame:
     """(entity, start, idx, z) for the rows from each run's start on, ``horizon`` at most."""
-    ahead = r.select("entity", "start", F.explode(F.sequence(F.col("start"), F.col("start") + horizon - 1)).alias("idx"))
-    return ahead.join(z.select("entity", "idx", "z"), ["entity", "idx"])
+    ahead = r.select("entity", "start", (F.col("start") + horizon).alias("end"))
+    return rows_in(z.select("entity", "idx", "z"), ahead).select("entity", "start", "idx", "z")
 
 
 def calm_ends(r: DataFrame, z: DataFrame, calm: int, level: float = 2.0, horizon: int = 336) -> DataFrame:

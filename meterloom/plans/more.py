@@ -11,6 +11,7 @@ from ..functions import calendar as C
 from ..operators import evaluate as E
 from ..operators import fitting as FT
 from ..operators import inject as I
+from ..operators import intervals as IV
 from ..operators import models as M
 from ..operators import panel as P
 from ..operators import scoring as S
@@ -237,7 +238,7 @@ SELECT count(*) AS n, CASE WHEN stddev_pop(range_recall) > 0 AND stddev_pop(miss
 def older_waste_errors(spark, sf_dir):
     d = daily(spark, sf_dir)
     ev = planted(d).drop("add")
-    rows = E.event_rows(ev).join(residual(d, planted(d)), ["entity", "idx"], "left")
+    rows = IV.rows_in(residual(d, planted(d)), ev)
     est = rows.groupBy("entity", "event_id", "true_kwh").agg(F.sum(WS.clipped()).alias("est"))
     return WS.relative_errors(est).select("entity", *[F.round(c, 4).alias(c) for c in ("waste_est_kwh", "waste_true_kwh", "waste_error_mean", "waste_error_total")])
 

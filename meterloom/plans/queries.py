@@ -10,6 +10,7 @@ from ..operators import aggregate as A
 from ..operators import evaluate as E
 from ..operators import fitting as FT
 from ..operators import inject as I
+from ..operators import intervals as IV
 from ..operators import models as M
 from ..operators import panel as P
 from ..operators import scoring as S
@@ -40,10 +41,10 @@ def reference(d: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(daily panel, events, injected test rows with slot score s, flags). The flags are stored: what
+    """(daily panel, events, injected test rows with slot score s, flags). Events and flags are stored: what
     judges them reads them several times."""
     d = daily(spark, sf_dir)
-    ev = planted(d)
+    ev = stored(planted(d), "events")
     fl = stored(W.trailing_flags(S.slot_z(test_span(injected(d, ev)), reference(d), "slot")), "flags")
     return d, ev, fl, fl
 
@@ -543,7 +544,7 @@ SQL["type_severity_recall"] = f"""WITH {_DET} SELECT coalesce(type, 'all') AS ty
 @query
 def missed_events(spark, sf_dir):
     _, ev, _, fl = scored(spark, sf_dir)
-    rows = E.event_rows(ev.select("entity", "event_id", "start", "end")).join(fl.where("flag").select("entity", "idx"), ["entity", "idx"], "left_semi")
+    rows = IV.rows_in(fl.where("flag").select("entity", "idx"), ev.select("entity", "event_id", "start", "end"))
     return ev.select("entity", "event_id", *r6("true_kwh")).join(rows.select("entity", "event_id").distinct(), ["entity", "event_id"], "left_anti")
 
 
