@@ -248,6 +248,45 @@ g AS (SELECT entity, sum(e) AS se, sum(t) AS st, avg(abs(e - t) / greatest(t, 1e
 SELECT entity, round(se, 4) AS waste_est_kwh, round(st, 4) AS waste_true_kwh, round(m, 4) AS waste_error_mean, round(abs(se - st) / greatest(st, 1e-6), 4) AS waste_error_total FROM g"""
 
 
+def _long_intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hourly flags, and overlapping intervals of 1 to 8,000 hours."""
+    h = hourly(spark, sf_dir)
+    flags = h.select("entity", "idx", (F.col("x").isNotNull() & (F.col("idx") * 7 % 11 < 4)).alias("flag"))
+    length = 1 + F.col("idx") * F.col("idx") * 31 % 8000
+    return flags, h.where("idx % 29 = 0").select("entity", F.col("idx").alias("event_id"), F.col("idx").alias("start"), (F.col("idx") + length).alias("end"))
+
+
+_LONG_INTERVALS = f"""{_H}, fl AS (SELECT entity, idx, x IS NOT NULL AND idx * 7 % 11 < 4 AS flag FROM h),
+iv AS (SELECT entity, idx AS event_id, idx AS "start", idx + 1 + idx * idx * 31 % 8000 AS "end" FROM h WHERE idx % 29 = 0)"""
+
+
+@query
+def interval_hits(spark, sf_dir):
+    """What flags each of many long, overlapping intervals holds."""
+    flags, iv = _long_intervals(spark, sf_dir)
+    return E.event_detail(flags, iv).select("entity", "event_id", "duration", "detected", "delay", F.round("range_cov", 9).alias("range_cov"))
+
+
+SQL["interval_hits"] = f"""WITH {_LONG_INTERVALS}
+SELECT iv.entity, event_id, any_value("end" - "start") AS duration, count(idx) > 0 AS detected, min(idx) - any_value("start") AS delay, round(count(idx) / any_value("end" - "start")::DOUBLE, 9) AS range_cov
+FROM iv LEFT JOIN fl ON fl.entity = iv.entity AND flag AND idx >= "start" AND idx < "end" GROUP BY 1, 2"""
+
+
+@query
+def interval_overlaps(spark, sf_dir):
+    """Of each run of flags, how many hours some long interval (every third of them) holds; and of each entity, the hours that none does."""
+    flags, iv = _long_intervals(spark, sf_dir)
+    some = iv.where("event_id % 3 = 2")
+    free = IV.rows_in(flags, some, "left_anti").groupBy("entity").agg(F.count("*").alias("free"))
+    return IV.shared_rows(W.runs(flags, gap=2), some).join(free, "entity", "left").select("entity", "start", "end", "shared", F.coalesce("free", F.lit(0)).alias("free"))
+
+
+SQL["interval_overlaps"] = f"""WITH {_LONG_INTERVALS}, {_runs('fl', 'rn', 2)},
+inside AS (SELECT entity, idx FROM h WHERE EXISTS (SELECT 1 FROM iv WHERE iv.entity = h.entity AND event_id % 3 = 2 AND h.idx >= iv."start" AND h.idx < iv."end")),
+free AS (SELECT entity, count(*) AS free FROM h ANTI JOIN inside USING (entity, idx) GROUP BY 1)
+SELECT rn.entity, rn."start", rn."end", (SELECT count(*) FROM inside i WHERE i.entity = rn.entity AND i.idx >= rn."start" AND i.idx < rn."end") AS shared, coalesce(free, 0) AS free FROM rn LEFT JOIN free ON free.entity = rn.entity"""
+
+
 def _strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """m0 less the best of the other models (by mean, then name), for entities that have both."""
     mt = metric_table(spark, sf_dir)
