@@ -3,11 +3,14 @@
 Sizes (words) are summed per source; each source's target follows from its weight, capped at a
 multiple of its own size, the excess going to the others by weight; target / size is the source's
 repetition rate. A document is taken floor(rate) times, and once more if a number from the hash of its
-doc_id and a seed is below the rate's fraction. Nothing depends on row order or partitioning.
+doc_id, text, source and a seed is below the rate's fraction. Rows that are equal in these three are numbered, and the
+number is hashed too, so that each has a draw of its own. Results don't depend on row order or partitioning, but
+for which of such equal rows has which draw.
 
 Sources are ordered by code point, null last (the null source is a source); they take the weights in
-turn. A null text has size 0; a null doc_id hashes like the text "null". Rows with one doc_id share
-their draw. Sources without words have target 0 and rate 0 while there are words elsewhere.
+turn. A null text has size 0; a null doc_id, text or source hashes like the text "null". Sources without words have target 0
+and rate 0 while there are words elsewhere. Very long texts are read whole; an empty table gives no rows; other columns, of
+whatever names, are kept.
 """
 
 from __future__ import annotations
@@ -21,12 +24,37 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 
 
-def draw(doc_id: Column, seed: str) -> Column:
+def identity(doc_id: Column, text: Column, source: Column) -> Column:
+    """What tells documents apart: id, text (its MD5 value) and source."""
+    null = F.lit("null")
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), null), F.coalesce(F.md5(text), null), F.coalesce(source, null))
+
+
+def draw(key: Column, number: Column, seed: str) -> Column:
     """A number in [0, 1) from the first 48 bits of an MD5 value."""
-    h = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"|{seed}")))
+    h = F.md5(F.concat(key, F.lit("|"), number.cast("string"), F.lit(f"|{seed}")))
     return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
+def numbered(docs: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds ``out``: rows of one ``key`` are counted from 1. Few rows have a key that others have, and only these move. They are counted
+    within the partitions that they come from, which are then shifted by the counts before: a key that a third
+    of all rows have is many groups."""
+    keyed = docs.select(F.col(key).alias("k"), F.spark_partition_id().alias("p"))
+    counts = stored(keyed.groupBy("k", "p").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("k"))).where("n > 1"), "repeated-rows")
+    if counts.isEmpty():
+        return docs.withColumn(out, F.lit(1).cast("long"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tmp = {c: fresh(docs, c) for c in ("__k", "__p", "__q", "__before")}
+    shift = small(stored(counts.select(F.col("k").alias(tmp["__k"]), F.col("p").alias(tmp["__p"]), before.alias(tmp["__before"])), "repeated-shifts"))
+    at = docs.withColumn(tmp["__q"], F.spark_partition_id())
+    joined = at.join(shift, (F.col(key) == F.col(tmp["__k"])) & (F.col(tmp["__q"]) == F.col(tmp["__p"])), "left")
+    alone = joined.where(F.col(tmp["__before"]).isNull()).withColumn(out, F.lit(1).cast("long"))
+    own = F.row_number().over(Window.partitionBy(key, tmp["__q"]).orderBy(F.lit(1)))
+    several = joined.where(F.col(tmp["__before"]).isNotNull()).withColumn(out, (F.col(tmp["__before"]) + own).cast("long"))
+    return alone.unionByName(several).drop(*tmp.values())
+
+
 def ranked(sources: DataFrame) -> DataFrame:
     """Adds i, the 0-based rank by code point, null last, however many sources there are: ranges of
     sources are numbered within themselves and shifted by the sizes of the ranges before."""
@@ -64,17 +92,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", prefix: str = "mix_") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns size, source_size, target and copies, and the names that these have: with
     ``prefix``, and underscores after them where ``docs`` has such a column."""
-    new = {c: fresh(docs, prefix + c) for c in ("size", "source_size", "target", "copies", "key", "source")}
+    new = {c: fresh(docs, prefix + c) for c in ("size", "source_size", "target", "copies", "key", "source", "identity", "number")}
     sized = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     name = F.col("source").cast("string")
     sources = stored(docs.select(name.alias("source"), sized.alias("n")).groupBy("source").agg(F.sum("n").alias("source_size")), "sources")
     plan = stored(targets(sources, weights, most), "targets")
     plan = plan.select(*[F.col(c).alias(new[c]) for c in ("source", "source_size", "target")])
-    out = null_safe(docs.withColumn(new["key"], name), small(plan), {new["key"]: new["source"]}, "left")
+    rows = docs.withColumn(new["key"], name)
+    rows = numbered(rows.withColumn(new["identity"], identity(F.col("doc_id"), F.col("text").cast("string"), F.col(new["key"]))), new["identity"], new["number"])
+    out = null_safe(rows, small(plan), {new["key"]: new["source"]}, "left")
     rate = F.when(F.col(new["source_size"]) > 0, F.col(new["target"]) / F.col(new["source_size"])).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    more = draw(F.col("doc_id"), seed) < rate - whole
-    return out.withColumn(new["size"], sized).withColumn(new["copies"], (whole + more.cast("long")).cast("long")).drop(new["key"], new["source"]), new
+    more = draw(F.col(new["identity"]), F.col(new["number"]), seed) < rate - whole
+    return out.withColumn(new["size"], sized).withColumn(new["copies"], (whole + more.cast("long")).cast("long")).drop(new["key"], new["source"], new["identity"], new["number"]), new
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:

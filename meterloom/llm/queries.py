@@ -99,7 +99,7 @@ _TERM, _UPPER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQR
 
 SQL = {
     "op4_source_mixing": f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_W})), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_W})), 0)::BIGINT AS size, coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(md5(text), 'null') || '|' || coalesce(source, 'null') AS k FROM documents),
 s AS (SELECT source, sum(size)::HUGEINT AS ss FROM d GROUP BY source),
 w AS (SELECT source, ss, 1 + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 AS w, sum(ss) OVER () AS total FROM s),
 o AS (SELECT *, coalesce(sum(3 * ss) OVER (ORDER BY ss::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
@@ -107,7 +107,7 @@ o AS (SELECT *, coalesce(sum(3 * ss) OVER (ORDER BY ss::DOUBLE / w, source NULLS
 f AS (SELECT before, rest FROM o WHERE (total - before) * w <= 3 * ss * rest ORDER BY ss::DOUBLE / w LIMIT 1),
 t AS (SELECT source, ss, CASE WHEN (total - f.before) * w > 3 * ss * f.rest THEN (3 * ss)::DOUBLE ELSE (total - f.before)::DOUBLE * w / f.rest::DOUBLE END AS target FROM o, f),
 r AS (SELECT d.doc_id, d.size, t.ss, t.target, CASE WHEN t.ss > 0 THEN t.target / t.ss ELSE 0 END AS rate,
-  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || '|mix'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
+  ('0x' || substr(md5(k || '|' || row_number() OVER (PARTITION BY k) || '|mix'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, ss::BIGINT AS source_size, target, (floor(rate) + (u < rate - floor(rate))::INT)::BIGINT AS copies,
   (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM r""",

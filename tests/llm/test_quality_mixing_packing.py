@@ -149,6 +149,19 @@ def test_mixing(spark):
     assert mixing.mixed(clash).columns == clash.columns and {tuple(r)[-3:] for r in mixing.mixed(clash).collect()} == {(1, 2, 3)}
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+@pytest.mark.parametrize("same", [False, True])
+def test_rows_of_one_id_have_draws_of_their_own(spark, doc_id, same):
+    rows = [(doc_id, "one two three four" if same else f"one two three {i}", lang, f"s{i % 2}", 0) for i, lang in enumerate(["en", "de"] * 2000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    for mixed in (mixing.mixed(df), mixing.mixed(df.repartition(2))):
+        taken = {r["source"]: 4 * r["count"] for r in mixed.groupBy("source").count().collect()}
+        want = {r["source"]: r["mix_target"] for r in mixing.mix(df)[0].select("source", "mix_target").distinct().collect()}
+        assert set(taken) == set(want) == {"s0", "s1"} and all(abs(taken[s] - want[s]) <= 0.05 * want[s] for s in want)
+    count = lambda d: sorted(map(tuple, d.groupBy("doc_id", "text", "source", "mix_copies").count().collect()), key=str)
+    assert count(mixing.mix(df)[0]) == count(mixing.mix(df.repartition(3))[0])
+
+
 def test_mixing_caps_small_sources(spark):
     rows = [(i, "w " * 50, "en", "big", 0) for i in range(100)] + [(1000 + i, "w " * 2, "en", f"s{i}", 0) for i in range(9)]
     t = {r["source"]: r["mix_target"] for r in mixing.mix(spark.createDataFrame(rows, DOCS))[0].collect()}

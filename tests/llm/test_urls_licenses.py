@@ -1,6 +1,7 @@
 import math
 import random
-from itertools import combinations
+import time
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,44 @@ def plain_rules(rows, support, confidence, lift):
     return {x: p for x, p in rules.items() if not any(y < x and q >= p for y, q in rules.items())}
 
 
+def spelled(rules):
+    """Each rule with each token of its classes."""
+    return {frozenset(x): r["confidence"] for r in rules.collect() for x in product(*r["classes"])}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1])
+def test_tokens_that_go_together_equal_every_combination(spark, share):
+    """Templates of several tokens, in good URLs too, or in bad ones only."""
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        kind = rng.random()
+        if kind < 0.2:
+            rows.append(("http://s.biz/win?a=1&b=2&c=3" + rng.choice(["&d=1", "", "&e=2"]), rng.random() >= share))
+        else:
+            rows.append((f"http://{rng.choice('xyz')}.org/{rng.choice(['read', 'now'])}" + ("/win" if kind > 0.9 else ""), rng.random() < 0.05))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = [(frozenset(r["t"]), r["bad"]) for r in df.select(urls.tokens_of(F.col("url")).alias("t"), "bad").collect()]
+    rules = urls.mined_rules(df)
+    got, want = spelled(rules), plain_rules(tokens, urls.MIN_SUPPORT, urls.MIN_CONFIDENCE, urls.MIN_LIFT)
+    assert want and set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+    more = spark.createDataFrame([("http://new.biz/x?c=9",), ("http://q.org/?b=1&d=2",), ("http://s.net/read",)], "url string")
+    best = {r["url"]: r["confidence"] for r in urls.matched(more, rules).collect()}
+    asked = [(r["url"], frozenset(r["t"])) for r in more.select("url", urls.tokens_of(F.col("url")).alias("t")).collect()]
+    assert best == {u: pytest.approx(max(p for x, p in want.items() if x <= t)) for u, t in asked if any(x <= t for x in want)}
+
+
+@pytest.mark.parametrize("good", [0, 4])
+def test_a_campaign_of_many_tokens_ends(spark, good):
+    template = "http://a.b.c.spam.biz/x/y/z?" + "&".join(f"k{chr(97 + i)}=1" for i in range(26))
+    dropped = [template.replace(f"k{chr(97 + i % 26)}=1&", "") for i in range(60)] if not good else [template] * 60
+    rows = [(u, True) for u in dropped] + [(template, False)] * good + [(f"http://ok.org/p{i}", False) for i in range(200)]
+    began = time.time()
+    rules = urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert time.time() - began < 60
+    assert rules and all(len(r["tokens"]) == 1 for r in rules)
+    assert sum(len(c) for r in rules for c in r["classes"]) >= 26
+
+
 def test_mined_rules_equal_every_combination(spark):
     rng = random.Random(3)
     rows = []
@@ -83,7 +122,7 @@ def test_mined_rules_equal_every_combination(spark):
         rows.append((f"http://{host}/{path}", bad))
     df = spark.createDataFrame(rows, "url string, bad boolean")
     tokens = [(frozenset(r["t"]), r["bad"]) for r in df.select(urls.tokens_of(F.col("url")).alias("t"), "bad").collect()]
-    got = {frozenset(r["tokens"]): r["confidence"] for r in urls.mined_rules(df).collect()}
+    got = spelled(urls.mined_rules(df))
     want = plain_rules(tokens, urls.MIN_SUPPORT, urls.MIN_CONFIDENCE, urls.MIN_LIFT)
     assert want and set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
     best = {r["url"]: r["confidence"] for r in urls.matched(df, urls.mined_rules(df)).collect()}
