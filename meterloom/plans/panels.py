@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
-from ..storage import shared_dir
+from ..storage import released, shared_dir, stored
 
 #: Planted events: how many, where the first begins in the test span, their spacing and lengths.
 N_EVENTS, FIRST, SPACING, SHORTEST, LONGER = 6, 180, 60, 4, 6
@@ -64,15 +64,33 @@ def test_span(d: DataFrame) -> DataFrame:
     return d.where("span = 'test'").drop("idx").withColumnRenamed("span_idx", "idx")
 
 
-def drained(spark: SparkSession, sf_dir: str, plan, mode: str, source: DataFrame | None = None) -> DataFrame:
-    """What a streaming plan gives once it has read all of the events files (or of ``source``, which is
-    written first): files in the folder that driver and executors share."""
+def drained(spark: SparkSession, sf_dir: str, plan, mode: str, source: DataFrame | None = None, files: int = 6, late: int = 40) -> DataFrame:
+    """What a streaming plan gives once it has read all of the events (or of ``source``), ordered by ts but for
+    up to ``late`` minutes, in ``files`` files, one a micro-batch. After half of them the query ends; it is started again from its
+    checkpoint once the others have come. All is in the folder that driver and executors share."""
+    from ..streaming.online import PROVIDER
+
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    if source is None:
-        source = table(spark, sf_dir, "events")
-    source.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{base}/in")
-    out = plan(stream)
-    q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").format("parquet").trigger(availableNow=True).start(f"{base}/out")
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    source = table(spark, sf_dir, "events") if source is None else source
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    come = seconds + F.pmod(F.xxhash64(*[F.col(c) for c in source.columns]), F.lit(60 * late))
+    source = stored(source.withColumn("__come", come), "stream-source")
+    lo, hi = source.agg(F.min("__come"), F.max("__come")).first()
+    lo, hi = lo or 0, hi or 0
+    cuts = [lo + (hi + 1 - lo) * k // files for k in range(files + 1)]
+    schema = source.drop("__come").schema
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    try:
+        for part in (range(files // 2), range(files // 2, files)):
+            for k in part:  # files are read in the order of their times
+                source.where((F.col("__come") >= cuts[k]) & (F.col("__come") < cuts[k + 1])).drop("__come").coalesce(1).write.mode("append").parquet(f"{base}/in")
+            out = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+            q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").format("parquet").trigger(availableNow=True).start(f"{base}/out")
+            q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    released(source)
+    got = spark.read.schema(out.schema).parquet(f"{base}/out")
+    got._batches = q.lastProgress["batchId"] + 1 if q.lastProgress else 0
+    return got

@@ -989,15 +989,35 @@ def stream_sessions(spark, sf_dir):
     return panels.drained(spark, sf_dir, lambda s: sessions(s, "ts", "user_id", "30 minutes"), "append").select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
+# windows that touch are one session; the watermark keeps the last ones open
+SQL["stream_sessions"] = """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true)::INT AS new FROM events),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e)
+SELECT user_id, count(*) AS n, strftime(min(ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start FROM k GROUP BY user_id, k.k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+
 @query
 def stream_online_flags(spark, sf_dir):
-    """The online detector over the hourly panel as a stream, with the profile frozen on its first rows."""
+    """The online detector over the hourly panel as a stream whose rows come up to two and a half hours late, with the profile
+    frozen on the panel's first rows."""
     from ..streaming.online import online_flags
 
     h = P.split(P.interpolated(hourly(spark, sf_dir)).withColumn("slot", C.hour_slot(F.col("ts"))))
-    profile = S.median_mad(reference(h), ["entity", "slot"]).drop("n")
+    profile = stored(S.median_mad(reference(h), ["entity", "slot"]).drop("n"), "profile")
     rows = h.where("span = 'test'").select("entity", "ts", "x")
-    return panels.drained(spark, sf_dir, lambda s: online_flags(s, profile, C.hour_slot, window=72), "append", rows)
+    out = panels.drained(spark, sf_dir, lambda s: online_flags(s, profile, C.hour_slot, window=72, delay="3 hours"), "append", rows, late=150)
+    return out.select("entity", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("hour"), *r6("s", "mad"), F.when(F.col("mad") > 0, F.round("z", 4)).alias("z"), "flag")
+
+
+SQL["stream_online_flags"] = f"""WITH {_H},
+k AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN x IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS i0,
+  first_value(x IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN x IS NOT NULL THEN idx END IGNORE NULLS) OVER f AS i1 FROM h
+  WINDOW b AS (PARTITION BY entity ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY entity ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+i AS (SELECT entity, idx, ts, hour(ts) AS slot, count(*) OVER (PARTITION BY entity) AS n_,
+  CASE WHEN x IS NOT NULL THEN x WHEN i0 IS NULL THEN v1 WHEN i1 IS NULL THEN v0 ELSE v0 + (v1 - v0) / (i1 - i0) * least(idx - i0, 6) END AS x FROM k),
+ref AS (SELECT * FROM i WHERE idx < floor(n_ * 0.75::DOUBLE)), {_mad('sm', 'ref', 'entity, slot')},
+t AS (SELECT i.entity, i.idx, i.ts, (x - med) / (mad + 1e-9) AS s FROM i LEFT JOIN sm ON sm.entity = i.entity AND sm.slot = i.slot WHERE i.idx >= floor(n_ * 0.75::DOUBLE)),
+{_flagger('t', _LAG, '71 PRECEDING AND CURRENT ROW').replace('>= 84', '>= 18')}
+SELECT entity, strftime(ts, '%Y-%m-%d %H:%M:%S') AS hour, round(s, 6) AS s, round(mad, 6) AS mad, CASE WHEN mad > 0 THEN round(z, 4) END AS z, flag FROM fl WHERE ts <= (SELECT max(ts) FROM t) - INTERVAL 3 HOUR"""
 
 
 def _windows(spark, sf_dir, length, stride):
