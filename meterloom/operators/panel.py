@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import climate_proxy
+from ..storage import stored
 
 
 def resample(df: DataFrame, entity: str, ts: str, value: str, unit: str = "hour", how: str = "avg", digits: int | None = None) -> DataFrame:
@@ -128,14 +129,28 @@ def with_delta(panel: DataFrame, delta: DataFrame, scale_by: Column | None = Non
     return panel.join(delta, ["entity", "idx"], "left").withColumn(out, F.col(x) + d).drop("delta")
 
 
+def site_hours(sites: DataFrame, weather: DataFrame, limit: int | None = 6) -> DataFrame:
+    """(site_id, ts, temp): each site's readings by its own wall time, gaps filled, once a site however many entities it has.
+
+    Null readings are none. Of a site's readings of one local time (those of a repeated UTC time, and both hours that the end of
+    summer time shows twice) the one of the earliest UTC time stays, at the same UTC time the lowest. The grid runs over all readings' hours."""
+    zones = sites.where("site_id is not null").groupBy("site_id").agg(F.min("timezone").alias("timezone"))
+    local = F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), F.col("timezone")).cast("timestamp_ntz")
+    known = weather.where(F.col("airTemperature").isNotNull() & ~F.isnan("airTemperature")).join(zones, "site_id").withColumn("ts", local).where("ts is not null")
+    first = Window.partitionBy("site_id", "ts").orderBy("timestamp", "airTemperature")
+    known = known.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(F.col("site_id").alias("entity"), "ts", F.col("airTemperature").alias("x"))
+    return interpolated(dense(known, per_entity=True), limit=limit).select(F.col("entity").alias("site_id"), "ts", F.col("x").alias("temp"))
+
+
 def with_weather(panel: DataFrame, sites: DataFrame, weather: DataFrame, limit: int = 6, out: str = "temp") -> DataFrame:
-    """``panel`` (entity, idx, ts, ...) with its site's temperature in ``out``, and ``measured``: whether the site
-    has any. sites: (entity, site_id, lat), a row an entity; weather: (site_id, timestamp, airTemperature), the
-    first reading of an hour counts. Gaps are interpolated as those of the load are (up to ``limit`` hours, then
-    the nearest reading); a site without readings gets the climatological proxy of its latitude."""
-    first = Window.partitionBy("site_id", "timestamp").orderBy("airTemperature")
-    hours = weather.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("site_id", F.col("timestamp").alias("ts"), F.col("airTemperature").alias("__t"))
-    rows = panel.join(sites.select("entity", "site_id", "lat"), "entity", "left").join(hours, ["site_id", "ts"], "left")
-    filled = interpolated(rows.select("entity", "idx", F.col("__t").alias("x")), limit=limit).select("entity", "idx", F.col("x").alias("__t"))
-    rows = rows.drop("__t").join(filled, ["entity", "idx"])
-    return rows.withColumns({"measured": F.col("__t").isNotNull(), out: F.coalesce("__t", climate_proxy(F.col("ts"), F.col("lat")))}).drop("__t")
+    """``panel`` (entity, idx, ts, ...; wall times) with its site's temperature in ``out``, and ``measured``: whether the site
+    has any. sites: (entity, site_id, lat, timezone), a row an entity; weather: (site_id, timestamp, airTemperature) in UTC. Gaps between
+    readings are interpolated for up to ``limit`` hours, then the last reading holds, as it does after the last one; before the first,
+    the first counts. A site without readings gets the climatological proxy of its latitude."""
+    hours = stored(site_hours(sites, weather, limit), "site-hours")
+    ends = hours.groupBy("site_id").agg(F.min(F.struct("ts", "temp")).alias("__lo"), F.max(F.struct("ts", "temp")).alias("__hi"))
+    rows = panel.join(sites.select("entity", "site_id", "lat"), "entity", "left")
+    rows = rows.join(hours.select("site_id", "ts", F.col("temp").alias("__t")), ["site_id", "ts"], "left").join(ends, "site_id", "left")
+    outside = F.when(F.col("ts") < F.col("__lo.ts"), F.col("__lo.temp")).when(F.col("ts") > F.col("__hi.ts"), F.col("__hi.temp"))
+    rows = rows.withColumn("__t", F.coalesce("__t", outside))
+    return rows.withColumns({"measured": F.col("__t").isNotNull(), out: F.coalesce("__t", climate_proxy(F.col("ts"), F.col("lat")))}).drop("__t", "__lo", "__hi")

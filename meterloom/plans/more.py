@@ -96,27 +96,40 @@ SQL["results_by_seed"] = f"WITH {_MT} SELECT entity, site, model, seed, round(v,
 
 @query
 def weather_join(spark, sf_dir):
-    """Weather and metadata from CSV files, joined to the load by site and hour; gaps filled, sites without
-    readings by the proxy of their latitude."""
-    h, base = hourly(spark, sf_dir), _folder(spark, "weather")
-    site = F.when(F.col("entity").isin("click", "view"), "near").otherwise("far")
-    meta = h.select("entity").distinct().select(F.col("entity").alias("building_id"), F.lit("Office").alias("primaryspaceusage"), (F.length("entity") + 35.0).alias("lat"), F.lit("UTC").alias("timezone"), site.alias("site_id"))
+    """Weather in UTC and metadata from CSV files, joined to the load by site and wall time in three zones, over the end of summer
+    time: repeated hours, null and repeated readings; gaps filled, sites without readings by the proxy of their latitude."""
+    base = _folder(spark, "weather")
+    # the hours of the panel, from the day before clocks go back (2024-10-27 in Europe, 2024-11-03 in America)
+    h = hourly(spark, sf_dir).withColumn("ts", F.expr("timestamp_ntz'2024-10-26 00:00:00' + make_dt_interval(0, cast(idx as int)) "))
+    e = F.col("entity")
+    site = F.when(e.isin("click", "view"), "east").when(e == "purchase", "paris").otherwise("far")
+    zone = F.when(e.isin("click", "view"), "America/New_York").when(e == "purchase", "Europe/Paris").otherwise("Asia/Kolkata")
+    meta = h.select("entity").distinct().select(e.alias("building_id"), F.lit("Office").alias("primaryspaceusage"), (F.length("entity") + 35.0).alias("lat"), zone.alias("timezone"), site.alias("site_id"))
     meta.write.option("header", True).csv(f"{base}/metadata")
-    w = h.where("entity = 'click' and x is not null and idx % 5 <> 0").select(F.col("ts").alias("timestamp"), F.lit("near").alias("site_id"), (F.round("x", 2) / 10).alias("airTemperature"))
-    w.write.option("header", True).csv(f"{base}/weather")
+    w = h.where("entity in ('click', 'purchase') and idx % 5 <> 0").select(F.col("ts").alias("timestamp"), F.when(e == "click", "east").otherwise("paris").alias("site_id"), F.when(F.col("idx") % 7 != 0, F.round(F.coalesce("x", F.lit(0.0)), 2) / 10).alias("airTemperature"), "idx")
+    again = w.where("idx % 9 = 1").withColumn("airTemperature", F.col("airTemperature") + 1)
+    w.unionByName(again).drop("idx").write.option("header", True).csv(f"{base}/weather")
     sites = SRC.read_metadata(spark, f"{base}/metadata").withColumnRenamed("building_id", "entity")
     out = P.with_weather(h, sites, SRC.read_weather(spark, f"{base}/weather"))
     return out.select("entity", "idx", "site_id", "measured", *r6("x", "temp"))
 
 
 SQL["weather_join"] = f"""WITH {_H},
-s AS (SELECT entity, CASE WHEN entity IN ('click', 'view') THEN 'near' ELSE 'far' END AS site_id, len(entity) + 35.0::DOUBLE AS lat FROM (SELECT DISTINCT entity FROM h)),
-w AS (SELECT ts, 'near' AS site_id, round(x, 2) / 10 AS t FROM h WHERE entity = 'click' AND x IS NOT NULL AND idx % 5 <> 0),
-g AS (SELECT h.*, s.site_id, s.lat, w.t FROM h JOIN s USING (entity) LEFT JOIN w ON w.site_id = s.site_id AND w.ts = h.ts),
+hh AS (SELECT entity, idx, TIMESTAMP '2024-10-26 00:00:00' + to_hours(idx::INT) AS ts, x FROM h),
+s AS (SELECT entity, CASE WHEN entity IN ('click', 'view') THEN 'east' WHEN entity = 'purchase' THEN 'paris' ELSE 'far' END AS site_id, len(entity) + 35.0::DOUBLE AS lat FROM (SELECT DISTINCT entity FROM h)),
+w0 AS (SELECT entity, idx, ts AS utc, CASE entity WHEN 'click' THEN 'east' ELSE 'paris' END AS site_id, CASE entity WHEN 'click' THEN 'America/New_York' ELSE 'Europe/Paris' END AS zone, CASE WHEN idx % 7 <> 0 THEN round(coalesce(x, 0), 2) / 10 END AS t
+  FROM hh WHERE entity IN ('click', 'purchase') AND idx % 5 <> 0),
+w1 AS (SELECT site_id, utc, timezone(zone, timezone('UTC', utc)) AS ts, t FROM w0 WHERE t IS NOT NULL),
+w AS (SELECT site_id, ts, t FROM w1 QUALIFY row_number() OVER (PARTITION BY site_id, ts ORDER BY utc) = 1),
+gr AS (SELECT site_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM w GROUP BY 1),
+g AS (SELECT gr.site_id, gr.ts, t, row_number() OVER (PARTITION BY gr.site_id ORDER BY gr.ts) - 1 AS idx FROM gr LEFT JOIN w USING (site_id, ts)),
 k AS (SELECT *, last_value(t IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN t IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS i0,
   first_value(t IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN t IS NOT NULL THEN idx END IGNORE NULLS) OVER f AS i1 FROM g
-  WINDOW b AS (PARTITION BY entity ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY entity ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-m AS (SELECT *, CASE WHEN t IS NOT NULL THEN t WHEN i0 IS NULL THEN v1 WHEN i1 IS NULL THEN v0 ELSE v0 + (v1 - v0) / (i1 - i0) * least(idx - i0, 6) END AS got, least(greatest(0.3::DOUBLE * lat + 4.0::DOUBLE, 4.0::DOUBLE), 30.0::DOUBLE) AS swing FROM k)
+  WINDOW b AS (PARTITION BY site_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY site_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+q AS (SELECT site_id, ts, CASE WHEN t IS NOT NULL THEN t ELSE v0 + (v1 - v0) / (i1 - i0) * least(idx - i0, 6) END AS got FROM k),
+z AS (SELECT site_id, min(ts) AS lo, arg_min(got, ts) AS first_, max(ts) AS hi, arg_max(got, ts) AS last_ FROM q GROUP BY 1),
+m AS (SELECT hh.entity, hh.idx, hh.ts, hh.x, s.site_id, lat, coalesce(got, CASE WHEN hh.ts < lo THEN first_ WHEN hh.ts > hi THEN last_ END) AS got, least(greatest(0.3::DOUBLE * lat + 4.0::DOUBLE, 4.0::DOUBLE), 30.0::DOUBLE) AS swing
+  FROM hh JOIN s USING (entity) LEFT JOIN q ON q.site_id = s.site_id AND q.ts = hh.ts LEFT JOIN z ON z.site_id = s.site_id)
 SELECT entity, idx, site_id, got IS NOT NULL AS measured, round(x, 6) AS x, round(coalesce(got, 28.0::DOUBLE - 0.55::DOUBLE * lat + swing * sin((dayofyear(ts) + hour(ts) / 24.0::DOUBLE - 100) * (2 * pi() / 365.25)) + 0.15::DOUBLE * swing * sin((hour(ts) - 5) * (2 * pi() / 24))), 6) AS temp FROM m"""
 
 
