@@ -229,7 +229,7 @@ def test_cyclic_decoding(spark):
     assert wrong.count() == 0
 
 
-@pytest.mark.parametrize("detector", [M.IsolationForest(50), M.OneClassSVM(0.1, most=300), M.Autoencoder((8, 4, 8))])
+@pytest.mark.parametrize("detector", [M.IsolationForest(50), M.OneClassSVM(0.1, most=300), M.Autoencoder()])
 def test_detectors_rank_outliers_high(detector):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(500, 4))
