@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import hash01
 from ..functions.special import normal_cdf, t_cdf, t_quantile
 from ..storage import stored
 
@@ -77,11 +78,6 @@ def holm(p: DataFrame, family: list[str], value: str = "p", name: str = "contras
     return p.withColumn("__s", step).withColumn(out, F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
 
 
-def _hash01(*parts: Column) -> Column:
-    """A number in [0, 1) from MD5 of the parts: the same in every engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("double") / float(2**48)
-
-
 def _replicates(d: DataFrame, n: int) -> DataFrame:
     return d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
@@ -89,7 +85,7 @@ def _replicates(d: DataFrame, n: int) -> DataFrame:
 def sign_flip(d: DataFrame, keys: list[str], entity: str = "entity", n: int = 10_000) -> DataFrame:
     """(keys, p_perm): sign-flip permutation p values, (1 + hits) / (n + 1)."""
     obs = d.groupBy(*keys).agg(F.abs(F.avg("d")).alias("obs"))
-    sign = F.when(_hash01(F.lit("flip"), F.col(entity), F.col("rep")) < 0.5, -1.0).otherwise(1.0)
+    sign = F.when(hash01(F.lit("flip"), F.col(entity), F.col("rep")) < 0.5, -1.0).otherwise(1.0)
     null = _replicates(d, n).groupBy(*keys, "rep").agg(F.abs(F.avg(sign * F.col("d"))).alias("m"))
     hits = null.join(obs, keys).groupBy(*keys).agg(F.count(F.when(F.col("m") >= F.col("obs") - 1e-15, 1)).alias("k"))
     return hits.select(*keys, ((1 + F.col("k")) / (n + 1)).alias("p_perm"))
@@ -100,7 +96,7 @@ def bootstrap(d: DataFrame, keys: list[str], unit: str = "entity", n: int = 2000
     sites for the cluster bootstrap; a site brings all its rows)."""
     u = d.groupBy(*keys, unit).agg(F.sum("d").alias("s"), F.count("d").alias("c"))
     u = u.withColumns({"i": F.row_number().over(Window.partitionBy(*keys).orderBy(unit)) - 1, "m": F.count("*").over(Window.partitionBy(*keys))})
-    draws = _replicates(u, n).withColumn("pick", F.floor(_hash01(F.lit("boot"), F.col("rep"), F.col("i")) * F.col("m")).cast("int")).select(*keys, "rep", "pick")
+    draws = _replicates(u, n).withColumn("pick", F.floor(hash01(F.lit("boot"), F.col("rep"), F.col("i")) * F.col("m")).cast("int")).select(*keys, "rep", "pick")
     got = draws.join(u.select(*keys, F.col("i").alias("pick"), "s", "c"), [*keys, "pick"])
     means = got.groupBy(*keys, "rep").agg((F.sum("s") / F.sum("c")).alias("mean"))
     a = (1 - level) / 2

@@ -1,3 +1,3 @@
-"""The registered queries: ``queries.Q`` and ``queries.SQL``, which ``more`` adds to."""
+"""The registered queries: ``queries.Q`` and ``queries.SQL``, which the other modules add to."""
 
-from . import queries, more  # noqa: F401, I001
+from . import queries, more, injection  # noqa: F401, I001

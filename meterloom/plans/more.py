@@ -1,4 +1,4 @@
-"""More registered queries: files of panels, weather, comparisons of detectors, the synthetic panel."""
+"""More registered queries: files of panels, weather, comparisons of detectors."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import calendar as C
 from ..operators import evaluate as E
 from ..operators import fitting as FT
-from ..operators import inject as I
 from ..operators import intervals as IV
 from ..operators import models as M
 from ..operators import panel as P
@@ -372,47 +371,7 @@ def temperature_detector(spark, sf_dir):
     return z.groupBy("entity").agg(F.count("*").alias("n"), F.count(F.when(F.col("z") > 3.5, 1)).alias("alarms"))
 
 
-# ---------------------------------------------------------------- without SQL: random draws and fits
-
-
-def _synthetic(spark: SparkSession) -> DataFrame:
-    p = SRC.synthetic_panel(spark).select(F.col("building_id").alias("entity"), F.col("timestamp").alias("ts"), F.col("load").alias("x"), "temp", "btype")
-    return P.split(P.positions(p))
-
-
-@query
-def synthetic_panel(spark, sf_dir):
-    """The synthetic panel (it has no input), by building and span: rows and means."""
-    return _synthetic(spark).groupBy("entity", "btype", "span").agg(F.count("*").alias("n"), *r6_means("x", "temp"))
-
-
-def r6_means(*cols: str):
-    return [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in cols]
-
-
-def _synthetic_detail(spark: SparkSession, additive: bool) -> DataFrame:
-    """Event detail of the slot detector on the synthetic panel with events of the sampler in its test span."""
-    p = stored(_synthetic(spark).withColumn("slot", C.hour_of_week(F.col("ts"))), "synthetic")
-    events, delta, _ = I.inject(p, additive=additive)
-    t = P.with_delta(test_span(p), delta)
-    fl = stored(W.trailing_flags(S.slot_z(t, reference(p), "slot")), "flags")
-    return E.event_detail(fl, events)
-
-
-@query
-def synthetic_recall(spark, sf_dir):
-    """Recall by type and severity on the synthetic panel, six events a building."""
-    return E.recall_by(_synthetic_detail(spark, False), "type", "severity", total=True).select(F.coalesce("type", F.lit("all")).alias("type"), F.coalesce(F.col("severity").cast("string"), F.lit("all")).alias("severity"), "n", *r6("recall", "delay"))
-
-
-@query
-def additive_schedules(spark, sf_dir):
-    """Recall by type when off-hours are lifted by a share of the day-night difference, and when up to a level."""
-    out = None
-    for name, additive in (("level", False), ("additive", True)):
-        r = E.recall_by(_synthetic_detail(spark, additive), "type").select(F.lit(name).alias("schedule"), "type", "n", *r6("recall", "delay"))
-        out = r if out is None else out.unionByName(r)
-    return out
+# ---------------------------------------------------------------- without SQL: fits
 
 
 @query

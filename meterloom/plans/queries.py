@@ -9,7 +9,6 @@ from ..functions import calendar as C
 from ..operators import aggregate as A
 from ..operators import evaluate as E
 from ..operators import fitting as FT
-from ..operators import inject as I
 from ..operators import intervals as IV
 from ..operators import models as M
 from ..operators import panel as P
@@ -940,12 +939,6 @@ def waste_intervals(spark, sf_dir):
     return X.ratio_bootstrap(ops, ["model"])
 
 
-@query
-def injected_events(spark, sf_dir):
-    h = P.split(P.interpolated(hourly(spark, sf_dir)))
-    return I.inject(h.where("span <> 'test'").unionByName(h.where("span = 'test'")).withColumn("span", F.when(F.col("span") == "test", "test").otherwise("train")), n_events=2, span="train", ref="train")[0]
-
-
 def _detector(spark, sf_dir, detector):
     d = daily(spark, sf_dir).withColumns(C.cyclic(F.col("ts"))).withColumns({"load": F.col("x"), "temp": C.climate_proxy(F.col("ts"), F.lit(40.0))})
     d = P.scale(d, ["load", "temp"]).withColumns({"load": F.col("z_load"), "temp": F.col("z_temp")}).drop("z_load", "z_temp")
@@ -1041,12 +1034,6 @@ def masked_patches(spark, sf_dir):
     return M.point_residuals(test, FT.fit_windows(train, M.MaskedPatches(patch=7, stride=7)))
 
 
-@query
-def injection_draws(spark, sf_dir):
-    h = P.split(P.interpolated(hourly(spark, sf_dir)), 1.0, 0.0)
-    return A.draw_counts(I.inject(h, n_events=2, span="train", ref="train")[2], ["entity"])
-
-
 @query
 def tuned_detectors(spark, sf_dir):
     """Micro F1 of every configuration of the grids on planted validation events, and each detector's choice."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,54 +78,3 @@ def write_results(df: DataFrame, path: str, keys: tuple[str, ...] = ("seed",), f
     """Results partitioned by seed: a rerun replaces its own seed's part only, and reading the folder
     is the union of all parts."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).format(format).save(path)
-
-
-# Fixed values of the synthetic panel: hours, building types, and ranges of the buildings' parameters.
-HOURS, START = 8760, "2016-01-01"
-KINDS = ("office",) * 6 + ("retail",) * 2
-SCHEDULES = {
-    "office": {"opens": (7, 10), "closes": (16, 20), "peak": (60, 120), "weekend": (0.05, 0.15)},
-    "retail": {"opens": (9, 11), "closes": (20, 22), "peak": (80, 160), "weekend": (0.5, 0.8)},
-}
-BASE_KW, COOL_FROM, HEAT_FROM, COOL_K, HEAT_K, NOISE_KW = (15, 35), (16, 22), (14, 19), (1.5, 4.0), (0.8, 2.5), (1.5, 3.0)
-PERSISTENCE, FLOOR_KW = 0.6, 1.0
-
-
-def outdoor_temp(rng: np.random.Generator) -> np.ndarray:
-    """A year of hourly temperatures: a yearly wave, a daily wave and noise."""
-    day = np.arange(HOURS) / 24
-    return 12 + 12 * np.sin(2 * np.pi * (day - 100) / 365) + 5 * np.sin(2 * np.pi * (day % 1 - 0.35)) + rng.normal(0, 1.5, HOURS)
-
-
-def occupancy(rng: np.random.Generator, kind: str) -> np.ndarray:
-    """A year of hourly occupancy load: open hours with soft edges, weaker at weekends."""
-    s = SCHEDULES[kind]
-    opens, closes = int(rng.integers(*s["opens"])), int(rng.integers(*s["closes"]))
-    peak, weekend = rng.uniform(*s["peak"]), rng.uniform(*s["weekend"])
-    hour, day = np.arange(HOURS) % 24, np.arange(HOURS) // 24 % 7
-    inside = np.pad(((hour >= opens) & (hour <= closes)).astype(float), 2, "edge")
-    soft = np.lib.stride_tricks.sliding_window_view(inside, 5).mean(axis=1)
-    return soft * np.where(day < 5, 1.0, weekend) * peak
-
-
-def synthetic(seed: int = 42) -> pd.DataFrame:
-    """The synthetic panel: eight buildings, one year of hours, weekday 0 on the first day."""
-    rng = np.random.default_rng(seed)
-    temp, hour, day = outdoor_temp(rng), np.arange(HOURS) % 24, np.arange(HOURS) // 24 % 7
-    ts = pd.date_range(START, periods=HOURS, freq="h")
-    out = []
-    for i, kind in enumerate(KINDS):
-        base, use = rng.uniform(*BASE_KW), occupancy(rng, kind)
-        cool_from, heat_from, cool_k, heat_k = (rng.uniform(*r) for r in (COOL_FROM, HEAT_FROM, COOL_K, HEAT_K))
-        shock, noise = rng.normal(0, 1.0, HOURS), np.zeros(HOURS)
-        for k in range(1, HOURS):
-            noise[k] = PERSISTENCE * noise[k - 1] + shock[k]
-        weather = cool_k * np.maximum(temp - cool_from, 0) + heat_k * np.maximum(heat_from - temp, 0)
-        load = np.maximum(base + use + weather + noise * rng.uniform(*NOISE_KW), FLOOR_KW)
-        angles = {"hour_sin": np.sin(hour * np.pi / 12), "hour_cos": np.cos(hour * np.pi / 12), "dow_sin": np.sin(2 * np.pi * day / 7), "dow_cos": np.cos(2 * np.pi * day / 7)}
-        out.append(pd.DataFrame({"timestamp": ts, "load": load, "temp": temp, "btype": kind, "building_id": f"B{i + 1:02d}", **angles}))
-    return pd.concat(out, ignore_index=True)
-
-
-def synthetic_panel(spark: SparkSession, seed: int = 42) -> DataFrame:
-    return spark.createDataFrame(synthetic(seed)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

@@ -31,18 +31,6 @@ def test_injection_is_one_pass_and_its_parts_agree(spark):
     assert len(delta) == (events.end - events.start).sum() and set(draws.reason) <= {"", "overlap", "peak<0.5kW"}
 
 
-def test_synthetic_panel_has_its_shape(spark):
-    got = Q["synthetic_panel"](spark, DIR).toPandas()
-    assert got.groupby("span")["n"].first().to_dict() == {"train": 5256, "val": 1314, "test": 2190} and got["entity"].nunique() == 8
-    assert got.groupby("btype")["entity"].nunique().to_dict() == {"office": 6, "retail": 2} and (got["mean_x"] > 1).all()
-
-
-def test_synthetic_recall_counts_all_events(spark):
-    got = {(r["type"], r["severity"]): r for r in Q["synthetic_recall"](spark, DIR).collect()}
-    assert got["all", "all"]["n"] == 48 == sum(r["n"] for (t, s), r in got.items() if t != "all" and s == "all")
-    assert all(0 <= r["recall"] <= 1 for r in got.values())
-
-
 def test_masks_decide_what_a_residual_depends_on():
     """A change of the load before the judged row: no matter to a full mask, seen by the others."""
     rng = np.random.default_rng(1)

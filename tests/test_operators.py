@@ -198,7 +198,7 @@ def test_injection_properties(spark):
         assert total == pytest.approx(g["true_kwh"].sum())
     assert draws["accepted"].sum() == len(ev)
     with pytest.raises(ValueError):
-        I.Sampler(np.asarray(x), ts.hour.to_numpy(), rng, additive=True)
+        I.inject(df, ref=None, additive=True)
 
 
 def test_distributions():

@@ -1,17 +1,16 @@
-"""Round trips of the panel sources, and the synthetic panel."""
+"""Round trips of the panel sources."""
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
-from meterloom.operators.inject import Sampler
 from meterloom.sources import panels as S
 
 
 def test_panel_csv_and_parquet(spark, tmp_path):
-    pdf = S.synthetic()
-    two = pdf[pdf["building_id"].isin(["B01", "B07"])].groupby("building_id").head(50)
+    ts = pd.date_range("2016-01-01", periods=50, freq="h")
+    angles = {"hour_sin": 0.5, "hour_cos": 0.5, "dow_sin": 0.1, "dow_cos": -0.1}
+    two = pd.concat([pd.DataFrame({"timestamp": ts, "load": np.linspace(1, k, 50), "temp": 20.25, "btype": "office", "building_id": b, **angles}) for k, b in ((7, "B01"), (9, "B07"))], ignore_index=True)
     (tmp_path / "csv").mkdir()
     for b, g in two.groupby("building_id"):
         g[g.columns[::-1]].assign(extra=1).to_csv(tmp_path / "csv" / f"{b}.csv", index=False)
@@ -42,15 +41,3 @@ def test_labels_and_missing_values(spark, tmp_path):
     (tmp_path / "l.csv").write_text("building_id,timestamp,meter_reading,anomaly\n1,2016-01-01 00:00:00,,0\n1,2016-01-01 01:00:00,nan,1\n1,2016-01-01 02:00:00,4.5,1\n")
     got = S.read_labelled(spark, f"{tmp_path}/l.csv").orderBy("ts").collect()
     assert [r["x"] for r in got] == [None, None, 4.5] and [r["anomaly"] for r in got] == [0, 1, 1]
-
-
-def test_synthetic_panel_and_its_faults():
-    pdf = S.synthetic(42)
-    assert len(pdf) == 8 * 8760 and pdf["load"].min() >= 1.0 and pdf.equals(S.synthetic(42))
-    rng, n = np.random.default_rng(123), 0
-    for _, g in pdf.groupby("building_id"):
-        test = g.iloc[len(g) - len(g) // 4 :]
-        events, _ = Sampler(test["load"].to_numpy(), test["timestamp"].dt.hour.to_numpy(), rng).run(6)
-        n += len(events)
-        assert all(e["true_kwh"] > 0 for e in events)
-    assert n == 48
