@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import hash01
+from ..functions.special import let
 
 # Types, names of severities, ranges of strength by severity (standard deviations; share of the median a day; share of
 # the median or of the day-night difference), and of length (hours; days; days), the upper end left out; working hours, the least
@@ -35,11 +36,6 @@ DRAWS = ("entity", "draw", "type", "severity", "accepted", "reason")
 _FOLDED = "array<struct<draw:int,kind:int,severity:int,start:bigint,end:bigint,reason:string,add:array<double>>>"
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x), with x computed once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
 def pick(values: list, at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), at)
 
@@ -76,13 +72,10 @@ def schedule(rows: Column, lift: Callable[[Column], Column]) -> Column:
     return let(F.transform(rows, lambda r: F.when(working(r["hour"]), 0.0).otherwise(lift(r["x"]))), mean3)
 
 
-def drawn_numbers(seed: int) -> Column:
-    """All draws an entity can need: array of (draw, kind from 1, severity, hours, strength, place in [0, 1))."""
+def drawn(seed: int, k: Column) -> Column:
+    """The draw of number k: (draw, kind from 1, severity, hours, strength, place in [0, 1))."""
     u = lambda k, what: hash01(F.lit(seed), F.col("entity"), k, F.lit(what))
-    first = F.transform(
-        F.sequence(F.lit(0), F.lit(MOST_DRAWS - 1)),
-        lambda k: F.struct(k.alias("draw"), (F.floor(u(k, "type") * 3) + 1).cast("int").alias("kind"), (F.floor(u(k, "severity") * 3) + 1).cast("int").alias("severity")),
-    )
+    first = F.struct(k.alias("draw"), (F.floor(u(k, "type") * 3) + 1).cast("int").alias("kind"), (F.floor(u(k, "severity") * 3) + 1).cast("int").alias("severity"))
 
     def sized(d: Column) -> Column:
         lo, hi = (pick([LENGTH[k][i] for k in KINDS], d["kind"]) for i in (0, 1))
@@ -93,7 +86,7 @@ def drawn_numbers(seed: int) -> Column:
             (weak + u(d["draw"], "strength") * (strong - weak)).alias("strength"), u(d["draw"], "start").alias("place"),
         )
 
-    return F.transform(first, sized)
+    return let(first, sized)
 
 
 def sampled(panel: DataFrame, n_events: int = 6, seed: int = 123, span: str = "test", ref: str | None = "train", additive: bool = False, least_share: float | None = None) -> DataFrame:
@@ -142,8 +135,9 @@ def sampled(panel: DataFrame, n_events: int = 6, seed: int = 123, span: str = "t
         return let(add, lambda a: let(reason(a), lambda why: row(a, why)))
 
     def folded(sc: Column) -> Column:
-        step = lambda acc, d: F.when(F.size(accepted(acc)) >= n_events, acc).otherwise(F.concat(acc, F.array(judged(sc, acc, d)).cast(_FOLDED)))
-        return F.aggregate(drawn_numbers(seed), F.array().cast(_FOLDED), step)
+        more = lambda acc, k: let(drawn(seed, k), lambda d: F.concat(acc, F.array(judged(sc, acc, d)).cast(_FOLDED)))
+        step = lambda acc, k: F.when(F.size(accepted(acc)) >= n_events, acc).otherwise(more(acc, k))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(MOST_DRAWS - 1)), F.array().cast(_FOLDED), step)
 
     return one.select("entity", F.explode(let(scales, folded)).alias("d")).select("entity", "d.*")
 

@@ -1,19 +1,17 @@
 """Statistics over entities: paired contrasts, tests, resampling.
 
 Moments are relational. Resampling draws by hash (replicate, position), so replicates are rows that
-Spark distributes, and a rerun agrees. Distribution functions run in pandas on one row a contrast."""
+Spark distributes, and a rerun agrees. Distribution functions are expressions too."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import hash01
-from ..functions.special import normal_cdf, t_cdf, t_quantile
+from ..functions.special import normal_cdf, t_cdf, t_central, t_two_tails
 from ..storage import stored
 
 
@@ -49,25 +47,22 @@ def moments(d: DataFrame, keys: list[str]) -> DataFrame:
 
 def t_tests(m: DataFrame, margin: float = 0.03, level: float = 0.95) -> DataFrame:
     """Adds p_t (two-sided), the confidence interval, and the TOST p value and interval for
-    equivalence within ``margin``."""
-    add = "p_t double, ci_lo double, ci_hi double, p_tost double, tost_lo double, tost_hi double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            for n, est, sd in zip(x["n"], x["estimate"], x["sd"]):
-                if n < 2 or not sd > 0:
-                    out.append((np.nan,) * 6)
-                    continue
-                se, df = sd / np.sqrt(n), n - 1
-                q, q90 = t_quantile(0.5 + level / 2, df), t_quantile(level, df)
-                tost = max(1 - t_cdf((est + margin) / se, df), t_cdf((est - margin) / se, df))
-                out.append((2 * (1 - t_cdf(abs(est / se), df)), est - q * se, est + q * se, tost, est - q90 * se, est + q90 * se))
-            cols = [c.split()[0] for c in add.split(", ")]
-            yield pd.concat([x.reset_index(drop=True), pd.DataFrame(out, columns=cols, dtype=float)], axis=1)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in m.schema.fields)
-    return m.mapInPandas(run, f"{schema}, {add}")
+    equivalence within ``margin``; null for fewer than two values and for those that don't vary."""
+    n, est, sd, df = F.col("n"), F.col("estimate"), F.col("sd"), F.col("n") - 1
+    good, se = (n >= 2) & (sd > 0), sd / F.sqrt(n)
+    add = {"p_t": t_two_tails(est / se, df), "p_tost": F.greatest(t_cdf(-(est + margin) / se, df), t_cdf((est - margin) / se, df))}
+    out = m.withColumns({c: F.when(good, v) for c, v in add.items()})
+    for lo, hi, share in (("ci_lo", "ci_hi", level), ("tost_lo", "tost_hi", 2 * level - 1)):
+        q = F.when(good, F.col("__q") * se)
+        out = out.withColumn("__q", F.when(good, t_central(share, df))).withColumns({lo: est - q, hi: est + q}).drop("__q")
+    return out
+
+
+def pairs(cells: DataFrame, models: list[str], entity: str = "entity") -> DataFrame:
+    """(entity, family, contrast, d): the difference of each two models, earlier less later, all in one family."""
+    two = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
+    made = F.array(*[F.struct(F.lit("pairs").alias("family"), F.lit(f"{a} - {b}").alias("contrast"), (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("d")) for a, b in two])
+    return cells.select(entity, F.inline(made))
 
 
 def holm(p: DataFrame, family: list[str], value: str = "p", name: str = "contrast", out: str = "holm_p") -> DataFrame:

@@ -918,13 +918,51 @@ SQL["gross_error"] = f"""WITH {_DET}{_RES}, w AS ({_decomp(_FLAGGED)})
 SELECT 'slot' AS model, round(sum(abs(matched_err_kwh) + abs(false_add_kwh) + abs(missed_kwh)) / sum(true_kwh), 6) AS gross_rel, round((sum(est_kwh) - sum(true_kwh)) / sum(true_kwh), 6) AS bias FROM w"""
 
 
-# ---------------------------------------------------------------- without SQL: folds, fits, random draws, streams
+@query
+def equivalence_tests(spark, sf_dir):
+    """t tests with intervals, equivalence within 0.03, and Holm's adjustment within families."""
+    m = X.holm(X.t_tests(X.moments(contrasts(spark, sf_dir), ["family", "contrast"])), ["family"], "p_t")
+    return m.select("family", "contrast", "n", "wins", "losses", *[F.round(c, 8).alias(c) for c in ("estimate", "sd", "p_t", "ci_lo", "ci_hi", "p_tost", "tost_lo", "tost_hi", "holm_p")], *r6("t"))
+
+
+def _central(t: str) -> str:
+    """P(|T| <= t) for whole degrees of freedom: the finite sums of the even and of the odd case."""
+    powers = lambda c, n: f"coalesce(list_sum(list_transform(range({n}), lambda j: exp({c}) * pow(df / (df + ({t}) * ({t})), j))), 0)"
+    even, odd = powers("lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)", "df // 2"), powers("lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)", "(df - 1) // 2")
+    return f"""CASE WHEN df % 2 = 0 THEN abs({t}) / sqrt(df + ({t}) * ({t})) * {even} ELSE 2 / pi() * (atan(abs({t}) / sqrt(df)) + abs({t}) * sqrt(df) / (df + ({t}) * ({t})) * {odd}) END"""
+
+
+def _below(t: str) -> str:
+    return f"(0.5 + sign({t}) * ({_central(t)}) / 2)"
+
+
+# quantiles by Newton's steps from 0; mo has the moments of each contrast
+_T = f"""tm AS (SELECT *, n - 1 AS df, sd / sqrt(n) AS se FROM mo),
+tq AS (SELECT df, level, 0 AS i, 0::DOUBLE AS q FROM (SELECT DISTINCT df FROM tm), (VALUES (0.95::DOUBLE), (0.9::DOUBLE)) AS l(level)
+  UNION ALL SELECT df, level, i + 1, q + (level - ({_central('q')})) / (2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + q * q / df, -(df + 1) / 2)) FROM tq WHERE i < 60),
+tt AS (SELECT tm.*, 1 - ({_central('estimate / se')}) AS p_t, greatest(1 - {_below('(estimate + 0.03) / se')}, {_below('(estimate - 0.03) / se')}) AS p_tost,
+  (SELECT q FROM tq WHERE tq.df = tm.df AND i = 60 AND level = 0.95::DOUBLE) AS q95, (SELECT q FROM tq WHERE tq.df = tm.df AND i = 60 AND level = 0.9::DOUBLE) AS q90 FROM tm),
+ts AS (SELECT *, least((count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p_t, contrast) + 1) * p_t, 1.0) AS st FROM tt),
+th AS (SELECT *, max(st) OVER (PARTITION BY family ORDER BY p_t, contrast ROWS UNBOUNDED PRECEDING) AS holm_p FROM ts)"""
+SQL["equivalence_tests"] = f"""WITH RECURSIVE {_MT}, {_T} SELECT family, contrast, n, wins, losses, round(estimate, 8) AS estimate, round(sd, 8) AS sd, round(p_t, 8) AS p_t, round(estimate - q95 * se, 8) AS ci_lo, round(estimate + q95 * se, 8) AS ci_hi,
+  round(p_tost, 8) AS p_tost, round(estimate - q90 * se, 8) AS tost_lo, round(estimate + q90 * se, 8) AS tost_hi, round(holm_p, 8) AS holm_p, round(estimate / se, 6) AS t FROM th"""
 
 
 @query
-def equivalence_tests(spark, sf_dir):
-    m = X.t_tests(X.moments(contrasts(spark, sf_dir), ["family", "contrast"]))
-    return X.holm(m, ["family"], "p_t")
+def pairwise_tests(spark, sf_dir):
+    """Paired t tests of each two models over entities, Holm's adjustment over the six."""
+    cells = X.paired(metric_table(spark, sf_dir), "v", MODELS)
+    m = X.holm(X.t_tests(X.moments(X.pairs(cells, MODELS), ["family", "contrast"])), ["family"], "p_t")
+    return m.select("contrast", "n", *[F.round(c, 8).alias(c) for c in ("estimate", "p_t", "holm_p")])
+
+
+SQL["pairwise_tests"] = f"""WITH RECURSIVE {_MT.partition(",\nfx AS")[0]},
+lo AS (UNPIVOT cells ON m0, m1, m2, m3 INTO NAME model VALUE v),
+mo AS (SELECT 'pairs' AS family, a.model || ' - ' || b.model AS contrast, count(*) AS n, avg(a.v - b.v) AS estimate, stddev_samp(a.v - b.v) AS sd FROM lo a JOIN lo b ON a.entity = b.entity AND a.model < b.model GROUP BY 2), {_T}
+SELECT contrast, n, round(estimate, 8) AS estimate, round(p_t, 8) AS p_t, round(holm_p, 8) AS holm_p FROM th"""
+
+
+# ---------------------------------------------------------------- without SQL: fits; streams
 
 
 @query

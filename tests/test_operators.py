@@ -1,6 +1,7 @@
 """Properties and small hand-made cases of the panel operators."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterloom.functions import calendar as C
-from meterloom.functions.special import betainc, t_cdf, t_quantile
+from meterloom.functions.special import betainc, log_gamma, t_cdf, t_central, t_two_tails
 from meterloom.operators import evaluate as E
 from meterloom.operators import inject as I
 from meterloom.operators import models as M
@@ -201,11 +202,25 @@ def test_injection_properties(spark):
         I.inject(df, ref=None, additive=True)
 
 
-def test_distributions():
-    assert t_cdf(0, 5) == 0.5
-    assert t_quantile(0.975, 10) == pytest.approx(2.228138852, abs=1e-8)
-    assert t_quantile(0.95, 40) == pytest.approx(1.683851013, abs=1e-8)
-    assert betainc(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-10)
+def test_distributions(spark):
+    d = lambda v: F.lit(v).cast("double")
+    made = [
+        (t_cdf(d(0), d(5)), 0.5), (t_central(0.95, d(10)), 2.2281388519649385), (t_central(0.9, d(40)), 1.6838510133356528), (t_central(0.95, d(1)), 12.706204736432095),
+        (t_central(0.95, d(1e6)), 1.959966357), (betainc(d(2), d(3), d(0.4)), 0.5248), (t_cdf(d(-1), d(1)), 0.25), (t_cdf(d(1), d(2)), 0.5 + 0.5 / math.sqrt(3)),
+        (betainc(d(2), d(3), d(0)), 0.0), (betainc(d(2), d(3), d(1)), 1.0), (t_two_tails(d(1e4), d(2)), 1 - 1 / math.sqrt(1 + 2e-8)),
+        *[(log_gamma(d(x)), math.lgamma(x)) for x in (0.5, 1, 1.5, 2, 10, 1e5)],
+    ]
+    got = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(made)]).first()
+    for g, (_, want) in zip(got, made):
+        assert g == pytest.approx(want, rel=1e-8, abs=1e-11)
+
+
+def test_t_tests_of_few_or_equal_values_are_null(spark):
+    rows = [("f", "one", 0.5), ("f", "same", 0.2), ("f", "same", 0.2), ("f", "two", 0.1), ("f", "two", 0.3)]
+    m = X.t_tests(X.moments(spark.createDataFrame(rows, "family string, contrast string, d double"), ["family", "contrast"]))
+    got = {r["contrast"]: r for r in m.collect()}
+    assert all(got[c][k] is None for c in ("one", "same") for k in ("p_t", "ci_lo", "ci_hi", "p_tost", "tost_lo", "tost_hi"))
+    assert got["two"]["p_t"] == pytest.approx(0.29516723530086653) and got["two"]["ci_hi"] == pytest.approx(0.2 + 0.1 * 12.706204736432095)
 
 
 def test_holm_is_monotone(spark):
