@@ -58,8 +58,11 @@ def betainc(a: Column, b: Column, x: Column) -> Column:
     def of(p: Column) -> Column:
         a, b, x = p["a"], p["b"], p["x"]
         front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
-        lower = F.when(x < (a + 1) / (a + b + 2), front * _fraction(a, b, x) / a).otherwise(1 - front * _fraction(b, a, 1 - x) / b)
-        return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(lower)
+        # the fraction is taken on the side where it converges fast
+        low = x < (a + 1) / (a + b + 2)
+        side = F.when(low, F.struct(a.alias("a"), b.alias("b"), x.alias("x"))).otherwise(F.struct(b.alias("a"), a.alias("b"), (1 - x).alias("x")))
+        part = let(side, lambda s: front * _fraction(s["a"], s["b"], s["x"]) / s["a"])
+        return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(let(part, lambda v: F.when(low, v).otherwise(1 - v)))
 
     return let(F.struct(*[v.cast("double").alias(n) for n, v in (("a", a), ("b", b), ("x", x))]), of)
 
@@ -73,7 +76,7 @@ def t_cdf(t: Column, df: Column) -> Column:
     return let(t_two_tails(t, df), lambda p: F.when(t > 0, 1 - p / 2).otherwise(p / 2))
 
 
-def t_central(level: float, df: Column) -> Column:
+def t_central(level: Column, df: Column) -> Column:
     """q with P(|T| <= q) = level. The tails fall and are convex, so Newton's steps from 0 come nearer from one side."""
     scale = let(log_gamma((df + 1) / 2) - log_gamma(df / 2), lambda g: F.exp(g) / F.sqrt(df * math.pi))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import hash01
-from ..functions.special import normal_cdf, t_cdf, t_central, t_two_tails
+from ..functions.special import normal_cdf, t_cdf, t_central
 from ..storage import stored
 
 
@@ -50,12 +50,14 @@ def t_tests(m: DataFrame, margin: float = 0.03, level: float = 0.95) -> DataFram
     equivalence within ``margin``; null for fewer than two values and for those that don't vary."""
     n, est, sd, df = F.col("n"), F.col("estimate"), F.col("sd"), F.col("n") - 1
     good, se = (n >= 2) & (sd > 0), sd / F.sqrt(n)
-    add = {"p_t": t_two_tails(est / se, df), "p_tost": F.greatest(t_cdf(-(est + margin) / se, df), t_cdf((est - margin) / se, df))}
-    out = m.withColumns({c: F.when(good, v) for c, v in add.items()})
-    for lo, hi, share in (("ci_lo", "ci_hi", level), ("tost_lo", "tost_hi", 2 * level - 1)):
-        q = F.when(good, F.col("__q") * se)
-        out = out.withColumn("__q", F.when(good, t_central(share, df))).withColumns({lo: est - q, hi: est + q}).drop("__q")
-    return out
+    # one expression each, over the values to test and over the levels
+    tails = F.transform(F.array(-F.abs(est / se), -(est + margin) / se, (est - margin) / se), lambda t: t_cdf(t, df))
+    central = F.transform(F.array(F.lit(level), F.lit(2 * level - 1)), lambda share: t_central(share, df) * se)
+    p, q = F.col("__p"), F.col("__q")
+    out = m.withColumns({"__p": F.when(good, tails), "__q": F.when(good, central)})
+    return out.withColumns({
+        "p_t": 2 * p[0], "ci_lo": est - q[0], "ci_hi": est + q[0], "p_tost": F.greatest(p[1], p[2]), "tost_lo": est - q[1], "tost_hi": est + q[1]
+    }).drop("__p", "__q")
 
 
 def pairs(cells: DataFrame, models: list[str], entity: str = "entity") -> DataFrame:
