@@ -21,7 +21,7 @@ from ..sources import panels as SRC
 from ..storage import shared_dir, stored
 from . import panels
 from .panels import daily, hourly, planted, table, test_span
-from .queries import _D, _EV, _FL, _FUSE, _FUSED, _H, _LAG, _MT, _PROXY, _RES, SQL, Q, _boot, _flagger, _runs, _windows, metric_table, query, r6, reference, residual, scored, validation_scores
+from .queries import _D, _EV, _FL, _FUSE, _FUSED, _H, _LAG, _MT, _PROXY, _RES, SQL, Q, _boot, _flagger, _mad, _runs, _windows, metric_table, query, r6, reference, residual, scored, validation_scores
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -371,6 +371,15 @@ def temperature_detector(spark, sf_dir):
     return z.groupBy("entity").agg(F.count("*").alias("n"), F.count(F.when(F.col("z") > 3.5, 1)).alias("alarms"))
 
 
+SQL["temperature_detector"] = f"""WITH {_D}, e AS (SELECT *, {_PROXY} AS t1 FROM d), f AS (SELECT *, t1 * t1 AS t2, idx < floor(count(*) OVER (PARTITION BY entity) * 0.7::DOUBLE) AS train FROM e),
+m AS (SELECT entity, slot, avg(t1) AS a, avg(t2) AS b, avg(x) AS y FROM f WHERE train GROUP BY 1, 2),
+c AS (SELECT f.entity, idx, train, t1 - a AS a, t2 - b AS b, x - y AS v FROM f LEFT JOIN m ON m.entity = f.entity AND m.slot = f.slot),
+s AS (SELECT entity, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * v) AS av, sum(b * v) AS bv FROM c WHERE train GROUP BY 1),
+r AS (SELECT c.entity, train, v - (av * bb - bv * ab) / (aa * bb - ab * ab) * a - (bv * aa - av * ab) / (aa * bb - ab * ab) * b AS r FROM c JOIN s ON s.entity = c.entity),
+rt AS (SELECT * FROM r WHERE train), {_mad('rm', 'rt', 'entity', 'r')}
+SELECT r.entity, count(*) AS n, count(*) FILTER (abs(r - med) / (mad + 1e-9) > 3.5) AS alarms FROM r JOIN rm ON rm.entity = r.entity WHERE NOT train GROUP BY 1"""
+
+
 # ---------------------------------------------------------------- without SQL: fits
 
 
