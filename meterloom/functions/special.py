@@ -1,4 +1,4 @@
-"""Distribution functions that Spark lacks, as expressions: Student's t by the incomplete beta function."""
+"""Distribution functions that Spark lacks, as expressions: Student's t by the incomplete beta function, the normal tails."""
 
 from __future__ import annotations
 
@@ -89,5 +89,14 @@ def t_central(level: Column, df: Column) -> Column:
     return let(scale, solved)
 
 
-def normal_cdf(z: float) -> float:
-    return 0.5 * math.erfc(-z / math.sqrt(2))
+def normal_two_tails(z: Column) -> Column:
+    """P(|Z| >= |z|): near 0 by the series of odd powers, beyond by the continued fraction, which is exact for small values too."""
+
+    def of(x: Column) -> Column:
+        density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        term = lambda s, j: let(s["t"] * x * x / (2 * j + 1), lambda t: F.struct((s["s"] + t).alias("s"), t.alias("t")))
+        near = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(x.alias("s"), x.alias("t")), term, lambda s: 1 - 2 * density * s["s"])
+        far = F.aggregate(F.sequence(F.lit(100), F.lit(1), F.lit(-1)), x, lambda s, j: x + j / s, lambda s: 2 * density / s)
+        return F.when(x < 3, near).otherwise(far)
+
+    return let(F.abs(z).cast("double"), of)

@@ -5,13 +5,11 @@ Spark distributes, and a rerun agrees. Distribution functions are expressions to
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import hash01
-from ..functions.special import normal_cdf, t_cdf, t_central
+from ..functions.special import normal_two_tails, t_cdf, t_central
 from ..storage import stored
 
 
@@ -100,64 +98,90 @@ def bootstrap(d: DataFrame, keys: list[str], unit: str = "entity", n: int = 2000
     return means.groupBy(*keys).agg(F.percentile("mean", F.lit(a)).alias("boot_lo"), F.percentile("mean", F.lit(1 - a)).alias("boot_hi"))
 
 
-def ratio_bootstrap(ops: DataFrame, keys: list[str], unit: str = "entity", n: int = 2000) -> DataFrame:
-    """Waste errors over entities with positive truth, each with a percentile interval: bias (sum of
-    estimates over sum of truths, less 1), gross error of the totals' parts, gross error of the
-    entities' parts, and the median relative error. Long format: (keys, stat, value, lo, hi)."""
+def _drawn_units(units: DataFrame, keys: list[str], unit: str, n: int) -> DataFrame:
+    """(keys, unit, rep, times): how often each of n replicates draws a unit (those it doesn't draw are left out), and a replicate -1
+    that has each unit once. Units get their numbers by ranges, so no task sees all units of a key."""
+    at = mid_ranks(units, keys, unit).select(*keys, unit, (F.col("mid") - 1).cast("long").alias("i"), F.round(2 * (F.col("mid") - F.col("off")) - 1).cast("long").alias("m"))
+    pick = F.floor(hash01(F.lit("boot"), F.col("rep"), F.col("i")) * F.col("m")).cast("long")
+    times = _replicates(at, n).select(*keys, "rep", pick.alias("i")).groupBy(*keys, "rep", "i").agg(F.count("*").alias("times"))
+    drawn = _same(times, at.drop("m"), [*keys, "i"]).select(*keys, unit, "rep", "times")
+    return drawn.unionByName(at.select(*keys, unit, F.lit(-1).alias("rep"), F.lit(1).cast("long").alias("times")))
+
+
+def ratio_bootstrap(ops: DataFrame, keys: list[str], unit: str = "entity", n: int = 2000, block: int = 1024) -> DataFrame:
+    """Waste errors over entities with positive truth, each with a percentile interval from resampled units (entities, or sites, which
+    bring all their entities): bias (sum of estimates over sum of truths, less 1), gross error of the totals' parts, gross error of the
+    entities' parts, and the median relative error. Long format: (keys, stat, value, lo, hi).
+
+    A replicate is rows of (unit, how often it is drawn). Sums are weighted by that; a median is found among blocks of about ``block``
+    neighbouring values by the blocks' weights, then by prefix sums within the one or two blocks that hold the middle. No task
+    holds all entities of a key. Entities whose truth is null or not positive are left out."""
     parts = ["est_kwh", "true_kwh", "matched_err_kwh", "false_add_kwh", "missed_kwh"]
-    per = ops.groupBy(*keys, "entity", *([unit] if unit != "entity" else [])).agg(*[F.sum(c).alias(c) for c in parts]).where("true_kwh > 0")
-    names = ["agg_bias", "agg_gross_rel", "pb_gross_rel", "median_abs_rel_err"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in per.select(*keys).schema.fields)
-
-    def stat(a: np.ndarray) -> np.ndarray:
-        tot = a.sum(0)
-        return np.array([tot[0] / tot[1] - 1, np.abs(tot[2:]).sum() / tot[1], np.abs(a[:, 2:]).sum() / tot[1], np.median(np.abs(a[:, 0] / a[:, 1] - 1))])
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entity")
-        a, (codes, units) = pdf[parts].to_numpy(float), pd.factorize(pdf[unit], sort=True)
-        rows = [np.nonzero(codes == k)[0] for k in range(len(units))]
-        rng = np.random.default_rng(0)
-        reps = np.array([stat(a[np.concatenate([rows[i] for i in rng.integers(0, len(rows), len(rows))])]) for _ in range(n)])
-        out = pd.DataFrame({"stat": names, "value": stat(a), "lo": np.percentile(reps, 2.5, axis=0), "hi": np.percentile(reps, 97.5, axis=0)})
-        return pd.concat([pd.concat([pdf[keys].iloc[:1]] * len(names), ignore_index=True), out], axis=1)
-
-    return per.groupBy(*keys).applyInPandas(work, f"{schema}, stat string, value double, lo double, hi double")
-
-
-def random_intercept(d: DataFrame, keys: list[str], group: str = "site") -> DataFrame:
-    """(keys, mixed_est, p_mixed): the mean of d with a random intercept per group, by REML. The ratio of
-    the two variances is the one free parameter; its profile likelihood is searched on a log grid
-    and refined by golden section. The fit needs each group's count, mean and sum of squares only, so a task
-    holds a row for each group, not the rows of d."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keys).schema.fields)
-
-    def fit(n: np.ndarray, mean: np.ndarray, within: float, lam: float) -> tuple[float, float, float]:
-        w = n / (1 + lam * n)
-        mu = (w * mean).sum() / w.sum()
-        q = within + (w * (mean - mu) ** 2).sum()
-        df = n.sum() - 1
-        s2 = q / df
-        return -0.5 * (df * np.log(s2) + np.log1p(lam * n).sum() + np.log(w.sum())), mu, np.sqrt(s2 / w.sum())
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, within = pdf["n"].to_numpy(float), pdf["mean"].to_numpy(float), float(pdf["ss"].sum())
-        out = pdf[keys].iloc[:1].copy()
-        if n.sum() < 2 or within + (n * (mean - np.average(mean, weights=n)) ** 2).sum() <= 1e-24:
-            return out.assign(mixed_est=np.nan, p_mixed=np.nan)
-        grid = np.concatenate([[0.0], np.logspace(-6, 4, 201)])
-        k = int(np.argmax([fit(n, mean, within, x)[0] for x in grid]))
-        lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
-        ratio = (np.sqrt(5) - 1) / 2
-        for _ in range(80):
-            x, y = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-            lo, hi = (lo, y) if fit(n, mean, within, x)[0] >= fit(n, mean, within, y)[0] else (x, hi)
-        best = max(((lo + hi) / 2, 0.0, grid[k]), key=lambda v: fit(n, mean, within, v)[0])
-        _, mu, se = fit(n, mean, within, best)
-        return out.assign(mixed_est=mu, p_mixed=2 * (1 - normal_cdf(abs(mu / se))))
+    own = ["entity"] if unit == "entity" else ["entity", unit]
+    per = ops.groupBy(*keys, *own).agg(*[F.sum(c).alias(c) for c in parts]).where("true_kwh > 0")
+    per = stored(per.select(*keys, *own, *parts, F.abs(F.col("est_kwh") / F.col("true_kwh") - 1).alias("rel")), "ratios")
+    per = _same(per, mid_ranks(per, keys, "rel").select(*keys, "rel", F.floor(F.col("mid") / block).alias("block")), [*keys, "rel"])
+    rows = _same(per, _drawn_units(per.select(*keys, unit).distinct(), keys, unit, n), [*keys, unit])
+
+    k, alone = F.col("times"), F.abs("matched_err_kwh") + F.abs("false_add_kwh") + F.abs("missed_kwh")
+    sums = [F.sum(k * F.col(c)).alias(c) for c in parts] + [F.sum(k * alone).alias("alone"), F.sum(k).alias("w")]
+    blocks = stored(rows.groupBy(*keys, "rep", "block").agg(*sums), "blocks")
+    one = Window.partitionBy(*keys, "rep")
+    total, before = F.sum("w").over(one), F.coalesce(F.sum("w").over(one.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the two middle places of the weighted values (one and the same for odd weights)
+    held = blocks.select(*keys, "rep", "block", "w", before.alias("before"), F.floor((total + 1) / 2).alias("low"), (F.floor(total / 2) + 1).alias("high"))
+    held = held.where("before < high and before + w >= low").drop("w")
+    near = _same(rows, held, [*keys, "rep", "block"]).groupBy(*keys, "rep", "block", "before", "low", "high", "rel").agg(F.sum(k).alias("w"))
+    upto = F.col("before") + F.sum("w").over(Window.partitionBy(*keys, "rep", "block").orderBy("rel").rowsBetween(Window.unboundedPreceding, 0))
+    holds = lambda place: F.min(F.when((F.col("upto") - F.col("w") < F.col(place)) & (F.col("upto") >= F.col(place)), F.col("rel")))
+    middle = near.withColumn("upto", upto).groupBy(*keys, "rep").agg(((holds("low") + holds("high")) / 2).alias("median"))
+
+    whole = blocks.groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in [*parts, "alone"]])
+    stats = {
+        "agg_bias": F.col("est_kwh") / F.col("true_kwh") - 1, "agg_gross_rel": alone / F.col("true_kwh"), "pb_gross_rel": F.col("alone") / F.col("true_kwh"), "median_abs_rel_err": F.col("median")
+    }
+    made = F.array(*[F.struct(F.lit(name).alias("stat"), c.alias("v")) for name, c in stats.items()])
+    each = _same(whole, middle, [*keys, "rep"]).select(*keys, "rep", F.inline(made))
+    drawn = F.when(F.col("rep") >= 0, F.col("v"))
+    return each.groupBy(*keys, "stat").agg(
+        F.max(F.when(F.col("rep") < 0, F.col("v"))).alias("value"), F.percentile(drawn, F.lit(0.025)).alias("lo"), F.percentile(drawn, F.lit(0.975)).alias("hi")
+    )
 
+
+def random_intercept(d: DataFrame, keys: list[str], group: str = "site", rounds: int = 5, points: int = 64) -> DataFrame:
+    """(keys, mixed_est, p_mixed): the mean of d with a random intercept per group, by REML; null for fewer than two values and for
+    values that don't vary.
+
+    The ratio of the two variances is the one free parameter. Its profile likelihood needs four sums over groups of a group's count,
+    mean and sum of squares, so the candidates are rows: a logarithmic grid (and 0), then ``rounds`` grids of ``points`` between the neighbours of the best
+    so far, each one aggregation over groups times candidates. Group summaries are stored; no task holds all groups of a key."""
     groups = d.where("d is not null").groupBy(*keys, group).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), (F.var_pop("d") * F.count("d")).alias("ss"))
-    return groups.groupBy(*keys).applyInPandas(work, f"{schema}, mixed_est double, p_mixed double")
+    groups = stored(groups, "groups")
+    whole = groups.groupBy(*keys).agg(F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"), F.sum("ss").alias("within"))
+    rows = _same(groups.drop(group), whole, keys).withColumn("c", F.col("mean") - F.col("centre"))
+
+    def likeliest(grid: DataFrame) -> DataFrame:
+        """(keys, best): of the candidates (keys, j, lam, below, above) the one of the greatest likelihood, the first of equals."""
+        lam, n, c = F.col("lam"), F.col("n"), F.col("c")
+        w = n / (1 + lam * n)
+        at = _same(rows, grid, keys).groupBy(*keys, "j", "lam", "below", "above", "all", "centre", "within").agg(
+            F.sum(w).alias("w"), F.sum(w * c).alias("wc"), F.sum(w * c * c).alias("wcc"), F.sum(F.log1p(lam * n)).alias("logs")
+        )
+        q, df = F.col("within") + F.greatest(F.col("wcc") - F.col("wc") * F.col("wc") / F.col("w"), F.lit(0.0)), F.col("all") - 1
+        like = -0.5 * (df * F.log(q / df) + F.col("logs") + F.log("w"))
+        est, se = F.col("centre") + F.col("wc") / F.col("w"), F.sqrt(q / df / F.col("w"))
+        return at.where((F.col("all") >= 2) & (q > 1e-24)).groupBy(*keys).agg(F.max(F.struct(like.alias("like"), (-F.col("j")).alias("first"), "below", "above", est.alias("est"), se.alias("se"))).alias("best"))
+
+    def candidates(frame: DataFrame, last: int, value) -> DataFrame:
+        near = lambda j: F.struct(j.alias("j"), value(j).alias("lam"), value(F.greatest(j - 1, F.lit(0))).alias("below"), value(F.least(j + 1, F.lit(last))).alias("above"))
+        return frame.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(last)), near)))
+
+    best = likeliest(candidates(whole, 201, lambda j: F.when(j == 0, 0.0).otherwise(F.pow(F.lit(10.0), -6 + (j - 1) / 20))))
+    for _ in range(rounds):
+        lo, hi = F.col("best.below"), F.col("best.above")
+        best = likeliest(candidates(best, points, lambda j: lo + (hi - lo) * j / points))  # noqa: B023
+    est, se = F.col("best.est"), F.col("best.se")
+    return _same(whole.select(*keys), best.select(*keys, est.alias("mixed_est"), normal_two_tails(est / se).alias("p_mixed")), keys, "left")
 
 
 def _same(a: DataFrame, b: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:

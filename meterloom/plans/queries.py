@@ -962,19 +962,70 @@ mo AS (SELECT 'pairs' AS family, a.model || ' - ' || b.model AS contrast, count(
 SELECT contrast, n, round(estimate, 8) AS estimate, round(p_t, 8) AS p_t, round(holm_p, 8) AS holm_p FROM th"""
 
 
-# ---------------------------------------------------------------- without SQL: fits; streams
+def _over(sum_of: str) -> str:
+    """A sum over the groups g of (n, c)."""
+    return f"list_sum(list_transform(g, lambda v: {sum_of}))"
+
+
+_REML_W, _REML_WC = _over("v.n / (1 + {x} * v.n)"), _over("v.n / (1 + {x} * v.n) * v.c")
+_REML_MU = f"({_REML_WC} / {_REML_W})"
+_REML_Q = f"(within + {_over('v.n / (1 + {x} * v.n) * v.c * v.c')} - {_REML_WC} * {_REML_MU})"
+_REML = f"(-0.5 * ((total - 1) * ln({_REML_Q} / (total - 1)) + {_over('ln(1 + {x} * v.n)')} + ln({_REML_W})))"
 
 
 @query
 def mixed_effects(spark, sf_dir):
-    return X.random_intercept(contrasts(spark, sf_dir).withColumn("site", C.site_of(F.col("entity"))), ["family", "contrast"])
+    """Contrasts with a random intercept for each site, by REML."""
+    d = contrasts(spark, sf_dir).withColumn("site", C.site_of(F.col("entity")))
+    return X.random_intercept(d, ["family", "contrast"]).select("family", "contrast", F.round("mixed_est", 7).alias("mixed_est"), *r6("p_mixed"))
+
+
+# the best of a grid of variance ratios, then thirds of the space between its neighbours; the normal tails by their series
+SQL["mixed_effects"] = f"""WITH RECURSIVE {_MT},
+gs AS (SELECT family, contrast, split_part(entity, '_', 1) AS site, count(*) AS n, avg(d) AS mean, sum(d * d) - count(*) * avg(d) * avg(d) AS ss FROM fx GROUP BY 1, 2, 3),
+gw AS (SELECT family, contrast, sum(n)::DOUBLE AS n, sum(n * mean) / sum(n) AS mid, sum(ss) AS within FROM gs GROUP BY 1, 2),
+gl AS (SELECT family, contrast, any_value(gw.n) AS total, any_value(mid) AS mid, any_value(within) AS within, list({{'n': gs.n::DOUBLE, 'c': mean - mid}} ORDER BY site) AS g FROM gs JOIN gw USING (family, contrast) GROUP BY 1, 2),
+gg AS (SELECT *, CASE WHEN j = 0 THEN 0 ELSE pow(10.0::DOUBLE, -6 + (j - 1) / 20) END AS lam FROM gl, range(202) AS r(j)),
+gb AS (SELECT family, contrast, total, within, g, mid, j FROM gg QUALIFY row_number() OVER (PARTITION BY family, contrast ORDER BY {_REML.format(x='lam')} DESC, j) = 1),
+th AS (SELECT family, contrast, total, within, g, mid, 0 AS i, CASE WHEN j <= 1 THEN 0 ELSE pow(10.0::DOUBLE, -6 + (j - 2) / 20) END AS lo, pow(10.0::DOUBLE, -6 + least(j, 200) / 20) AS hi FROM gb
+  UNION ALL SELECT family, contrast, total, within, g, mid, i + 1, CASE WHEN {_REML.format(x='(lo + (hi - lo) / 3)')} < {_REML.format(x='(hi - (hi - lo) / 3)')} THEN lo + (hi - lo) / 3 ELSE lo END,
+    CASE WHEN {_REML.format(x='(lo + (hi - lo) / 3)')} < {_REML.format(x='(hi - (hi - lo) / 3)')} THEN hi ELSE hi - (hi - lo) / 3 END FROM th WHERE i < 60),
+mx AS (SELECT *, CASE WHEN {_REML.format(x='0.0::DOUBLE')} >= {_REML.format(x='(lo + hi) / 2')} THEN 0 ELSE (lo + hi) / 2 END AS lam FROM th WHERE i = 60),
+mz AS (SELECT family, contrast, mid + {_REML_MU.format(x='lam')} AS est, abs(mid + {_REML_MU.format(x='lam')}) / sqrt({_REML_Q.format(x='lam')} / (total - 1) / {_REML_W.format(x='lam')}) AS z FROM mx)
+SELECT family, contrast, round(est, 7) AS mixed_est, round(CASE WHEN z > 9 THEN 0 ELSE 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(200), lambda k: exp((2 * k + 1) * ln(greatest(z, 1e-300)) + k * ln(2.0::DOUBLE) + lgamma(k + 1) - lgamma(2 * k + 2)))) END, 6) AS p_mixed FROM mz"""
 
 
 @query
 def waste_intervals(spark, sf_dir):
-    d, ev, _, fl = scored(spark, sf_dir)
-    ops = WS.decomposition(residual(d, ev), fl, ev.drop("add")).withColumn("model", F.lit("slot"))
-    return X.ratio_bootstrap(ops, ["model"])
+    """Errors of the estimated excess under each extension rule and the chosen one, with intervals over resampled entities and sites."""
+    d, ev, t, fl = scored(spark, sf_dir)
+    x = stored(WS.extensions(residual(d, ev), t.select("entity", "idx", F.col("s").alias("z")), fl, ev.drop("add")), "extensions")
+    chosen = x.join(F.broadcast(WS.chosen_mode(x).select("mode")), "mode").withColumn("mode", F.lit("chosen"))  # one row
+    ops = x.unionByName(chosen).withColumn("site", F.concat(F.lit("s"), (F.ascii("entity") % 2).cast("string")))
+    one, many = (X.ratio_bootstrap(ops, ["mode"], unit) for unit in ("entity", "site"))
+    both = one.join(many.select("mode", "stat", F.col("lo").alias("site_lo"), F.col("hi").alias("site_hi")), ["mode", "stat"])
+    return both.select("mode", "stat", *r6("value", "lo", "hi", "site_lo", "site_hi"))
+
+
+def _ratios(unit: str, a: str) -> str:
+    """Replicates as repeated rows: sums and medians over them."""
+    return f"""{a}i AS (SELECT mode, un, row_number() OVER (PARTITION BY mode ORDER BY un) - 1 AS i, count(*) OVER (PARTITION BY mode) AS m FROM (SELECT DISTINCT mode, {unit} AS un FROM po)),
+{a}d AS (SELECT mode, rep, floor({_U.format("'boot|' || rep || '|' || i")} * m)::INT AS pick FROM {a}i, range(2000) AS r(rep)),
+{a}r AS (SELECT po.*, rep FROM {a}d x JOIN {a}i y ON x.mode = y.mode AND x.pick = y.i JOIN po ON po.mode = y.mode AND po.{unit} = y.un UNION ALL SELECT po.*, -1 FROM po),
+{a}s AS (SELECT mode, rep, sum(est_kwh) / sum(true_kwh) - 1 AS agg_bias, (abs(sum(matched_err_kwh)) + abs(sum(false_add_kwh)) + abs(sum(missed_kwh))) / sum(true_kwh) AS agg_gross_rel,
+  sum(abs(matched_err_kwh) + abs(false_add_kwh) + abs(missed_kwh)) / sum(true_kwh) AS pb_gross_rel, median(abs(est_kwh / true_kwh - 1)) AS median_abs_rel_err FROM {a}r GROUP BY 1, 2),
+{a}l AS (UNPIVOT {a}s ON agg_bias, agg_gross_rel, pb_gross_rel, median_abs_rel_err INTO NAME stat VALUE v),
+{a} AS (SELECT mode, stat, max(v) FILTER (rep < 0) AS value, quantile_cont(v, 0.025::DOUBLE) FILTER (rep >= 0) AS lo, quantile_cont(v, 0.975::DOUBLE) FILTER (rep >= 0) AS hi FROM {a}l GROUP BY 1, 2)"""
+
+
+SQL["waste_intervals"] = SQL["waste_extensions"].rpartition(" SELECT entity, mode")[0] + f""",
+ch AS (SELECT mode FROM (SELECT mode, median(abs((est_kwh - true_kwh) / true_kwh)) AS obj FROM u GROUP BY 1) ORDER BY round(obj, 9), list_position(['none', 'z6', 'z12', 'cusum'], mode) LIMIT 1),
+po AS MATERIALIZED (SELECT mode, entity, 's' || (ascii(entity) % 2) AS site, est_kwh, true_kwh, matched_err_kwh, false_add_kwh, missed_kwh FROM (SELECT * FROM u UNION ALL SELECT * REPLACE ('chosen' AS mode) FROM u WHERE mode = (SELECT mode FROM ch)) WHERE true_kwh > 0),
+{_ratios('entity', 'ra')}, {_ratios('site', 'rb')}
+SELECT mode, stat, round(ra.value, 6) AS value, round(ra.lo, 6) AS lo, round(ra.hi, 6) AS hi, round(rb.lo, 6) AS site_lo, round(rb.hi, 6) AS site_hi FROM ra JOIN rb USING (mode, stat)"""
+
+
+# ---------------------------------------------------------------- without SQL: fits; streams
 
 
 def _detector(spark, sf_dir, detector):
