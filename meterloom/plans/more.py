@@ -407,6 +407,20 @@ def masked_variants(spark, sf_dir):
     return out
 
 
+@query
+def channel_patches(spark, sf_dir):
+    """Residuals of the last rows of windows by the model with a token for each patch and channel, their own patches
+    hidden: channels mixed, and each by itself."""
+    train, _ = _windows(spark, sf_dir, 28, 7)
+    _, test = _windows(spark, sf_dir, 28, 1)
+    out = None
+    for name, mix in (("mixed", True), ("alone", False)):
+        m = FT.fit_windows(train, M.ChannelPatches(patch=7, stride=7, mix=mix))
+        r = M.point_residuals(test, m, m.target_residuals).select(F.lit(name).alias("channels"), "entity", "idx", "x")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query
 def network_alarms(spark, sf_dir):
     """Residuals of the dense autoencoder, scored by slot like any others, fused and flagged; with the measured

@@ -76,7 +76,7 @@ def test_network_equals_the_local_fit(spark, points, monkeypatch, fan):
     assert all(np.allclose(got.params[k], want.params[k], atol=1e-9) for k in want.params)
 
 
-@pytest.mark.parametrize("model", [lambda: M.RecurrentAutoencoder(3, passes=4), lambda: M.MaskedPatches(8, 2, 1, patch=4, stride=2, hide=0.4, passes=4)])
+@pytest.mark.parametrize("model", [lambda: M.RecurrentAutoencoder(3, passes=4), lambda: M.MaskedPatches(8, 2, 1, patch=4, stride=2, hide=0.4, passes=4), lambda: M.ChannelPatches(8, 2, 1, patch=4, stride=2, passes=4)])
 def test_window_network_equals_the_local_fit(spark, points, model):
     series = points.where("entity <> 'e9'").withColumn("idx", F.floor(F.col("idx") / 4).cast("long"))
     windows = M.windows_of(series, COLS, 12, 6)
