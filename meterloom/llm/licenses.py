@@ -7,8 +7,9 @@ than m minus that many it has at least one: a template is only compared around l
 *probes*, the words of its rarest such bigrams (by how many templates have them). Bigrams are multisets,
 so repeated phrases count as often as they occur.
 
-Versions and variants decide between siblings: a stretch that names none of the template's version numbers,
-or not just its variant words (Lesser, Affero; NonCommercial, ShareAlike, NoDerivatives), isn't that licence.
+Versions, variants and names decide between siblings: a stretch that names none of the template's version numbers
+("version 3", "v3", "GPLv3"), or, from its first to its last bigram of the template, lacks a licence's name that the template has (GPL,
+MIT, Apache) or has not just its variant words (Lesser, Affero; NonCommercial, ShareAlike, NoDerivatives, in one word or two), isn't that licence.
 
 Where no stretch of lines has a licence, its templates are slid over the text by word, within lines
 that are together too long for the template (shorter ones have been judged whole): the best stretch
@@ -117,20 +118,35 @@ MORE: dict[str, tuple[str, ...]] = {
     "EPL-1.0": ("Licensed under the Eclipse Public License, version 1.0.",),
     "EPL-2.0": ("Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 }
+# Short notices of licences by their abbreviations; SPDX identifiers that aren't of GNU.
+NOTICES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT licensed.",),
+    "Apache-2.0": ("Licensed under the Apache License 2.0.", "Licensed under Apache 2.0."),
+    "BSD-2-Clause": ("Released under the Simplified BSD License.", "Licensed under the Simplified BSD License."),
+    "BSD-3-Clause": ("Released under the New BSD License.", "Licensed under the New BSD License."),
+    "MPL-2.0": ("Licensed under the MPL 2.0.",),
+}
+GNU_NOTICES = (
+    "Licensed under the {}v{}.", "This file is licensed under the {}v{}.", "Licensed under the GNU {} v{}.", "Licensed under the GNU {} v{} or later.", "Licensed under the GNU {} version {}.", "Licensed under the GNU {} version {} or later."
+)
+SPDX = ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0", "Unlicense", *(f"CC-{x}-4.0" for x in CC))
 
 
 def siblings() -> dict[str, tuple[str, ...]]:
     """Notices of the other versions and variants of the families above, and how their whole texts begin."""
-    out = {k: list(v) for k, v in MORE.items()}
+    out = {k: [*MORE.get(k, ()), *NOTICES.get(k, ())] for k in {*MORE, *NOTICES}}
     for family, (name, versions) in GNU.items():
         for v in versions:
             number, key = v.removesuffix(".0"), f"{family}-{v}"
             header = TEMPLATES[f"{family}-3.0"][0].replace("version 3 of the License", f"version {number} of the License")
             begins = f"GNU {name} Version {number}, {GNU_DATES[key]}"
-            out[key] = [f"This work is licensed under the GNU {name}, version {number}.", f"Licensed under the GNU {name}, version {number}.", header, begins]
+            short = [x.format(family, number) for x in GNU_NOTICES] + [f"SPDX-License-Identifier: {key}{x}" for x in ("", "-only", "-or-later")]
+            out[key] = [*short, f"This work is licensed under the GNU {name}, version {number}.", f"Licensed under the GNU {name}, version {number}.", header, begins]
     for short, name in CC.items():
         for v, scope in CC_VERSIONS.items():
             out[f"CC-{short}-{v}"] = [f"This work is licensed under a Creative Commons {name} {v} {scope} License.", f"Licensed under CC {short} {v}."]
+    for key in SPDX:
+        out.setdefault(key, []).append(f"SPDX-License-Identifier: {key}")
     return {k: tuple(t for t in v if t not in TEMPLATES.get(k, ())) for k, v in out.items()}
 
 
@@ -138,9 +154,13 @@ TEMPLATES = {k: (*TEMPLATES.get(k, ()), *siblings().get(k, ())) for k in sorted(
 # Words that ordinary texts have.
 ORDINARY = {*COMMON["en"], *"under which may not or any all you your this these if no more use used work works made make free available terms program version file files see name names own part new nd sa nc".split()}
 #: Words that tell variants of a family apart, by how the licence's name begins.
-VARIANTS = {"CC-": {"noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd", "non", "share", "no"}, "GPL": {"lesser", "affero"}, "LGPL": {"lesser", "affero"}, "AGPL": {"lesser", "affero"}}
+VARIANTS = {"CC-": {"noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd"}, "GPL": {"lesser", "affero"}, "LGPL": {"lesser", "affero"}, "AGPL": {"lesser", "affero"}}
+
+#: Licences' names, of which a stretch must have those that the template has.
+NAMES = {"mit", "isc", "bsd", "apache", "mozilla", "eclipse", "gpl", "lgpl", "agpl", "mpl", "epl", "cc0", "unlicense"}
 
-_WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
+_WORD = re.compile(r"[^\W\d_]*\d+(?:\.\d+)+|[^\W_]+")
+_VERSIONED = re.compile(r"([a-z]*)v(\d+(?:\.\d+)*)")
 
 # Bytes other than ASCII letters and digits become spaces.
 _BLANKED = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256))
@@ -160,10 +180,16 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 def versions(words: list[str]) -> set[str]:
-    """The version numbers that words name, without their ``.0``: dotted ones, and whole ones after
-    "version" or before "clause"."""
+    """The version numbers that words name, without their ``.0``: dotted ones, whole ones after
+    "version" or before "clause", and those after a name and a v."""
     near = zip(words, ["", *words], [*words[1:], ""])
-    return {w.removesuffix(".0") for w, before, after in near if w[0].isdigit() and ("." in w or before in ("version", "v") or after == "clause")}
+    plain = {w.removesuffix(".0") for w, before, after in near if w[0].isdigit() and ("." in w or before in ("version", "v") or after == "clause")}
+    return plain | {m[2].removesuffix(".0") for m in map(_VERSIONED.fullmatch, words) if m}
+
+
+def names(words: list[str]) -> set[str]:
+    """The licences' names among words, with or without a version."""
+    return NAMES.intersection(m[1] if m else w for m, w in zip(map(_VERSIONED.fullmatch, words), words))
 
 
 class Template:
@@ -171,7 +197,7 @@ class Template:
         words = words_of(re.sub(r"<[^>]*>", " ", text))
         self.license, self.words, self.bigrams = license, words, bigrams(words)
         self.apart = next((v for k, v in VARIANTS.items() if license.startswith(k)), set())
-        self.versions, self.variants = versions(words), self.apart.intersection(words)
+        self.versions, self.variants, self.names = versions(words), self._variants(words), names(words)
         m = len(words) - 1
         self.low, self.high = math.ceil(threshold * m / (2 - threshold) - 1e-9), math.floor((2 - threshold) * m / threshold + 1e-9)
         # more of the rarest bigrams than a stretch can be without
@@ -184,10 +210,17 @@ class Template:
             take -= self.bigrams[g]
             self.probes.add(rarest[g])
 
+    def _variants(self, words: list[str]) -> set[str]:
+        return self.apart.intersection(words) | self.apart.intersection(a + b for a, b in zip(words, words[1:]))
 
     def fits(self, words: list[str]) -> bool:
-        """Whether words have a version of the template's, and its variant words only."""
-        return (not self.versions or not self.versions.isdisjoint(versions(words))) and self.apart.intersection(words) == self.variants
+        """Whether words have a version of the template's, and between its first and last bigram its names, and its variant
+        words only."""
+        if self.versions and self.versions.isdisjoint(versions(words)):
+            return False
+        at = [i for i, g in enumerate(zip(words, words[1:])) if g in self.bigrams]
+        span = words[at[0] : at[-1] + 2] if at else []
+        return self.names <= names(span) and self._variants(span) == self.variants
 
 
 class Scanner:

@@ -83,3 +83,34 @@ def test_whole_texts_from_a_folder(tmp_path):
     assert list(licenses.templates_from(str(tmp_path))) == ["Own-1.0"]
     own = licenses.Scanner(licenses.templates_from(str(tmp_path)), 0.8)
     assert [x[0] for x in own.scan("anyone may use the well known words\nof this own licence as they like, for ever and a day, version 1.0")] == ["Own-1.0"]
+
+
+def test_abbreviations_and_words_beside_a_notice(spark):
+    texts = [
+        ("This file is licensed under the GPLv3.", ["GPL-3.0"]),
+        ("Licensed under the GNU GPL version 3.", ["GPL-3.0"]),
+        ("Licensed under the GNU GPL v2 or later", ["GPL-2.0"]),
+        ("This file is licensed under the LGPLv2.1.", ["LGPL-2.1"]),
+        ("This file is licensed under the AGPLv3.", ["AGPL-3.0"]),
+        ("MIT licensed", ["MIT"]),
+        ("The parser is small, fast, MIT licensed and has no dependencies.", ["MIT"]),
+        ("Licensed under the Apache License 2.0", ["Apache-2.0"]),
+        ("Released under the New BSD license", ["BSD-3-Clause"]),
+        ("Released under the Simplified BSD license", ["BSD-2-Clause"]),
+        ("SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later\nimport os", ["GPL-2.0"]),
+        ("// SPDX-License-Identifier: LGPL-3.0-only", ["LGPL-3.0"]),
+        ("Licensed under CC BY 4.0, no warranty", ["CC-BY-4.0"]),
+        ("Please share: licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under the MIT License, no warranty", ["MIT"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-No Derivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+        # names that no template has
+        ("This file is licensed under the EUPLv3.", []),
+        ("This project is licensed under the terms of the Foo license.", []),
+        ("SPDX-License-Identifier: Zlib", []),
+        ("Licensed under the GNU GPL v4 or later", []),
+        ("He is licensed under the law of the land, and shares no part of it.", []),
+    ]
+    got = found(spark, [t for t, _ in texts])
+    assert [(t, got[i]["licenses"]) for i, (t, _) in enumerate(texts)] == texts

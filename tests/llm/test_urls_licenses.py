@@ -129,20 +129,22 @@ def test_mined_rules_equal_every_combination(spark):
     assert best == {u: pytest.approx(max(p for x, p in want.items() if x <= t)) for (u, _), (t, _) in zip(rows, tokens) if any(x <= t for x in want)}
 
 
+EVERY = [(name, licenses.bigrams(licenses.words_of(x)), licenses.Template(name, x, 0.8, licenses.Counter())) for name, texts in licenses.TEMPLATES.items() for x in texts]
+
+
 def brute_best(text, t=0.8):
     """The best stretch of lines of each template, every stretch tried."""
-    lines = text.split("\n")
+    lines = [licenses.words_of(x) for x in text.split("\n")]
     best = {}
-    for name, texts in licenses.TEMPLATES.items():
-        for x in texts:
-            b, own = licenses.bigrams(licenses.words_of(x)), licenses.Template(name, x, t, licenses.Counter())
-            for i in range(len(lines)):
-                for j in range(i, len(lines)):
-                    if licenses.words_of(lines[i]) and licenses.words_of(lines[j]):
-                        words = licenses.words_of("\n".join(lines[i : j + 1]))
-                        d = licenses.dice(licenses.bigrams(words), b)
-                        if d >= t and own.fits(words):
-                            best[name] = max(best.get(name, 0), d)
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            if lines[i] and lines[j]:
+                words = [w for x in lines[i : j + 1] for w in x]
+                own = licenses.bigrams(words)
+                for name, b, template in EVERY:
+                    d = licenses.dice(own, b)
+                    if d >= t and template.fits(words):
+                        best[name] = max(best.get(name, 0), d)
     return best
 
 
