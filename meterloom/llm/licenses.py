@@ -152,7 +152,7 @@ def siblings() -> dict[str, tuple[str, ...]]:
 
 TEMPLATES = {k: (*TEMPLATES.get(k, ()), *siblings().get(k, ())) for k in sorted({*TEMPLATES, *siblings()})}
 # Words that ordinary texts have.
-ORDINARY = {*COMMON["en"], *"under which may not or any all you your this these if no more use used work works made make free available terms program version file files see name names own part new nd sa nc".split()}
+ORDINARY = {*COMMON["en"], *"under which may not or any all you your this these if no more use used work works made make free available terms program version file files see name names own part new only later nd sa nc".split()}
 #: Words that tell variants of a family apart, by how the licence's name begins.
 VARIANTS = {"CC-": {"noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd"}, "GPL": {"lesser", "affero"}, "LGPL": {"lesser", "affero"}, "AGPL": {"lesser", "affero"}}
 
@@ -202,7 +202,7 @@ class Template:
         self.low, self.high = math.ceil(threshold * m / (2 - threshold) - 1e-9), math.floor((2 - threshold) * m / threshold + 1e-9)
         # more of the rarest bigrams than a stretch can be without
         take, self.probes = m - self.low + 1, set()
-        whole = {g: [w for w in g if "." not in w] for g in self.bigrams}
+        whole = {g: [w for w in g if "." not in w or not w[0].isdigit()] for g in self.bigrams}
         rarest = {g: min(x, key=lambda w: (often[w], -len(w), w)) for g, x in whole.items() if x}
         for g in sorted(rarest, key=lambda g: (often[rarest[g]], g)):
             if take <= 0:
@@ -230,7 +230,8 @@ class Scanner:
         often.update({w: 1000 if w in ORDINARY else 100 for w in list(often) if w in ORDINARY or len(w) < 4 or w[0].isdigit()})
         self.threshold = threshold
         self.templates = [Template(k, t, threshold, often) for k, texts in templates.items() for t in texts]
-        self.probes = {w.encode() for t in self.templates for w in t.probes}
+        # what comes before a dot is a word of its own to the first look at a text
+        self.probes = {w.partition(".")[0].encode() for t in self.templates for w in t.probes}
         self.index: dict[tuple[str, str], list[int]] = defaultdict(list)
         for i, t in enumerate(self.templates):
             for g in t.bigrams:
