@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions import calendar as C
+from meterloom.operators import evaluate as E
 from meterloom.operators import fitting as FT
 from meterloom.operators import models as M
 from meterloom.operators import panel as P
+from meterloom.operators import windows as W
 from meterloom.plans import panels
 from meterloom.plans.queries import Q
 
@@ -137,3 +139,33 @@ def test_registered_detectors_are_fitted_on_all_rows_without_the_driver(spark, m
     want = dict(zip([(r[0], r[1]) for r in test], model.score(np.array([r[2:] for r in test], float))))
     got = {(r["entity"], r["idx"]): r["s"] for r in collect(out)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+
+
+def test_tuning_scores_each_configuration_and_reads_the_events_once(spark):
+    rng = np.random.default_rng(5)
+    loads = {e: rng.normal(size=200) for e in ("a", "b", None)}
+    for x in loads.values():
+        x[120:126] += 9
+    rows = spark.createDataFrame([(e, i, float(v), float(np.sin(i))) for e, x in loads.items() for i, v in enumerate(x)], "entity string, idx long, load double, other double").persist()
+    asked, scored = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    class Counted(M.IsolationForest):
+        def score(self, x):
+            scored.add(len(x))
+            return M.IsolationForest.score(self, x)
+
+    schema = "entity string, event_id int, start long, end long, type string, severity int, true_kwh double"
+    plain = spark.createDataFrame([(e, k, s, s + 6, "spike", 1, 1.0) for e in loads for k, s in enumerate((120, 160))], schema)
+    grid = [lambda n=n: Counted(n, 64) for n in (3, 20, 8)]
+    best, got = FT.tune(rows, rows, plain.mapInArrow(count, schema), grid, ["load", "other"], 60)
+    assert (asked.value, scored.value) == (6, 3 * 600)
+    want = []
+    for make in grid:
+        s = M.score(rows, FT.fit(rows, make(), ["load", "other"]), ["load", "other"])
+        want.append(E.micro_f1(W.trailing_flags(s, window=60), plain).first()["micro_f1"])
+    assert got == want and best == want.index(max(want)) and max(want) > 0
