@@ -169,3 +169,14 @@ def test_tuning_scores_each_configuration_and_reads_the_events_once(spark):
         s = M.score(rows, FT.fit(rows, make(), ["load", "other"]), ["load", "other"])
         want.append(E.micro_f1(W.trailing_flags(s, window=60), plain).first()["micro_f1"])
     assert got == want and best == want.index(max(want)) and max(want) > 0
+
+
+def test_every_core_gets_examples(spark, points, monkeypatch):
+    """A pass over few bytes is work for all cores, and the fit is the same."""
+    parts, run = [], FT.gradient_pass
+    monkeypatch.setattr(FT, "gradient_pass", lambda rows, n, *how: parts.append(n) or run(rows, n, *how))
+    got = FT.fit(points.coalesce(1), M.Autoencoder((4,), passes=2), COLS)
+    keys, x = collected(FT.examples(points, COLS))
+    want = M.Autoencoder((4,), passes=2).fit(x, keys)
+    assert min(parts) >= spark.sparkContext.defaultParallelism
+    assert all(np.allclose(got.params[k], want.params[k], atol=1e-9) for k in want.params)
